@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, neardup, tokenfile
+from . import bpe, embdup, langid, neardup, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.stored_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.similar_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_token_files": op4_token_files,
+    "op7_embedding_duplicates": op7_embedding_duplicates,
     "op10_language_id": op10_language_id,
 }
 

@@ -1,21 +1,23 @@
 """Near-duplicate documents: a chosen-path similarity join over minwise tokens.
 
 A document's set of word shingles is turned into ``TOKENS`` minwise tokens.  In
-each of ``trees`` independent trees a node of documents branches on a few token
+each of several independent trees a node of documents branches on a few token
 positions, chosen by a hash of the node itself, 1 / similarity of them on
 average; documents go to the child named by the token that they have there, so a
 pair at the threshold is expected to stay together in one child at each level.
-The first level alone makes ``FIRST`` positions, all different, so a pair at 0.8
-shares none of their nodes with a chance of 0.2 ** FIRST = 3e-18.
+The first level of all trees makes ``FIRST`` positions, all different, so a pair
+at 0.8 shares none of their nodes with a chance of 0.2 ** FIRST = 3e-18.  Since a
+path depends on nothing but the node and the document's own tokens, a document
+goes down ``STEP`` levels at once without meeting the others in between.
 
 Documents with equal sets are one from the start, so a node holds different sets
-only.  In every node all are compared with one member, its pivot; nodes of at
+only.  In every node all are compared with a few members, its pivots; nodes of at
 most ``SMALL`` sets are compared exhaustively; larger ones branch further while
 they hold more than one component.  A pair that is in one component already is
 never compared, nor one whose set sizes rule it out or whose tokens agree so
-seldom that the threshold is out of reach (chance below 1e-7 to err).  At depth
-``DEPTH`` what is left is compared exhaustively, whatever its size.  Links are
-confirmed on full sets.
+seldom that the threshold is out of reach (chance below 1e-7 to err).  After
+``ROUNDS`` descents what is left is compared exhaustively, whatever its size.
+Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ from .common import Written, arrow_rows
 
 TOKENS = 64
 FIRST = 25
-SMALL = 24
-DEPTH = 8
+SMALL = 128
+STEP = 8
+ROUNDS = 3
+PIVOTS = 4
 BITMAP = 1 << 25
 
 _rng = np.random.default_rng(20240607)
@@ -152,38 +156,67 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def _first_nodes(sets: DataFrame, trees: int) -> DataFrame:
-    """Children of the roots: the positions of all trees together, none twice."""
-    keys = [F.xxhash64(F.lit(i % trees), F.lit(i), F.get("tokens", F.lit(i))) for i in range(FIRST)]
-    return sets.select("rep", "n", F.explode(F.array(*keys)).alias("node"))
+def _first_nodes(sets: DataFrame) -> DataFrame:
+    """(node, rep): children of the roots of all trees, each position used once."""
+    keys = [F.xxhash64(F.lit(i), F.get("tokens", F.lit(i))) for i in range(FIRST)]
+    return sets.select(F.explode(F.array(*keys)).alias("node"), "rep")
 
 
-def _children(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Children of inner nodes: one position, and with chance 1/4 a second, by a hash of the node."""
-    joined = members.select("node", "rep").join(sets.select("rep", "n", "tokens"), "rep")
-    position = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(TOKENS)).cast("int")
-    child = lambda salt: F.xxhash64("node", position(salt), F.get("tokens", position(salt)))
-    two = F.when(F.pmod(F.xxhash64("node", F.lit(99)), F.lit(4)) == 0, F.array(child(1), child(2))).otherwise(F.array(child(1)))
-    return joined.select("rep", "n", F.explode(two).alias("node"))
+def _lower_nodes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, rep): where the documents of inner nodes are ``STEP`` levels below.
+
+    Each node on the way has one child position, and with a chance that makes
+    100 / percent positions on average a second one.
+    """
+    second = np.uint64(min(1.0, max(0.0, 100 / percent - 1)) * float(1 << 32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                node = part.column(0).to_numpy().view(np.uint64)
+                toks = np.asarray(part.column(2).flatten()).reshape(len(node), TOKENS).astype(np.int64).view(np.uint64)
+                row = np.arange(len(node))
+                for _ in range(STEP):
+                    h = _mix(node)
+                    one = (h % np.uint64(TOKENS)).astype(np.int64)
+                    two = (one + 1 + (h >> np.uint64(8)).astype(np.int64) % (TOKENS - 1)) % TOKENS
+                    more = np.flatnonzero((h >> np.uint64(32)) < second)
+                    nodes = [_mix(node[i] + np.uint64(0x632BE59BD9B4E019) * (pos.astype(np.uint64) + np.uint64(1)) ^ _mix(toks[row[i], pos])) for i, pos in ((np.arange(len(node)), one), (more, two[more]))]
+                    node, row = np.concatenate(nodes), np.concatenate((row, row[more]))
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column(1).take(pa.array(row))], names=["node", "rep"])
+
+    return members.select("node", "rep").join(sets.select("rep", "tokens"), "rep").select("node", "rep", "tokens").mapInArrow(run, "node long, rep long")
+
+
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """node, rep, size, pivots of the nodes that hold two sets at least.
+
+    A pivot is the member that comes first in one of PIVOTS orders of all doc_ids.
+    """
+    first = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in (0, 0x2545F4914F6CDD1D, 0x5DEECE66DAB54F07, 0x1A2B3C4D5E6F7081)[:PIVOTS]]
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.array(*first).alias("pivots")).filter("size > 1")
+    return rows.join(nodes, "node")
 
 
-def _with_pivot(rows: DataFrame) -> DataFrame:
-    """rep, n, node, size, pivot, pivot_n of the nodes that hold two sets at least."""
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep").alias("o"), "rep", "n")).alias("p"))
-    return rows.join(nodes.filter("size > 1").select("node", "size", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pivot_n")), "node")
+def _starred(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member and the pivots of its node."""
+    star = members.select("rep", F.explode(F.array_distinct("pivots")).alias("p")).filter("rep <> p")
+    return star.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those that may reach the threshold by their tokens, with how many agree.
+    """Of ``pairs(a, b)`` those that may reach the threshold, with how many tokens agree.
 
     At the threshold t the number that agree is binomial; five and a half
     standard deviations below its mean stays in.
     """
     t = percent / 100
     least = int(max(0.0, TOKENS * t - 5.5 * (TOKENS * t * (1 - t)) ** 0.5))
-    side = lambda c: sets.select(F.col("rep").alias(c), F.col("tokens").alias(f"t_{c}"))
+    side = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
     agree = F.size(F.filter(F.zip_with("t_a", "t_b", lambda x, y: x == y), lambda x: x))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", agree.alias("agree")).filter(F.col("agree") >= least)
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return joined.select("a", "b", agree.alias("agree")).filter(F.col("agree") >= least)
 
 
 def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -195,16 +228,16 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
 
 
 def _within(small: DataFrame) -> DataFrame:
-    """All pairs of sets in each node of bounded size."""
-    listed = small.groupBy("node").agg(F.collect_list(F.struct("rep", "n")).alias("all"))
-    two = listed.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: y.rep > F.col("x.rep"))).alias("y"))
-    return two.select(F.col("x.rep").alias("a"), F.col("x.n").alias("n_a"), F.col("y.rep").alias("b"), F.col("y.n").alias("n_b"))
+    """Pairs (a, b) of different components in each node of bounded size."""
+    listed = small.groupBy("node").agg(F.collect_list(F.struct("rep", "component")).alias("all"))
+    two = listed.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: (y.rep > F.col("x.rep")) & (y.component != F.col("x.component")))).alias("y"))
+    return two.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def _within_any(members: DataFrame) -> DataFrame:
-    """The same for nodes of any size, for what is left at the last depth."""
-    side = lambda c: members.select("node", F.col("rep").alias(c), F.col("n").alias(f"n_{c}"))
-    return side("a").join(side("b"), "node").filter("a < b").select("a", "n_a", "b", "n_b")
+    """The same for nodes of any size, for what is left after the last descent."""
+    side = lambda c: members.select("node", F.col("rep").alias(c), F.col("component").alias(f"c_{c}"))
+    return side("a").join(side("b"), "node").filter("a < b and c_a <> c_b").select("a", "b")
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -215,13 +248,13 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """(node, rep) of the nodes that hold more than one component."""
-    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+    """The members, with their components so far, of nodes that hold more than one."""
+    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "size", "pivots", F.coalesce("component", "rep").alias("component"))
     nodes = placed.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
-    return members.select("node", "rep").join(nodes, "node")
+    return placed.join(nodes, "node")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs(doc_id, text)``.
 
     Two documents are linked if 100 * |A & B| >= percent * |A | B| for their
@@ -235,36 +268,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, trees: int =
     out = Written(spark, "neardup")
     sigs = out.table(signatures(docs, k), "signatures")
     sets = out.table(sigs.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")), "sets")
-    comp = spark.createDataFrame([], "node long, component long")
-    links = spark.createDataFrame([], "u long, v long")
-    shingles = spark.createDataFrame([], "doc_id long, shingles array<long>")
-    members = out.table(_with_pivot(_first_nodes(sets, trees)), "nodes")
-    for depth in range(1, DEPTH + 1):
-        star = members.filter(F.col("rep") != F.col("pivot")).select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("pivot").alias("b"), F.col("pivot_n").alias("n_b"))
-        within = _within(members.filter(F.col("size") <= SMALL)) if depth < DEPTH else _within_any(members)
-        both = star.union(within).filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = out.table(_agreeing(_apart(both, comp), sets, percent), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(shingles.select("doc_id"), "doc_id", "left_anti")
-        if depth == 1 or wanted.first() is not None:
+    members = out.table(_with_pivots(_first_nodes(sets)), "nodes")
+    pairs = out.table(_agreeing(_starred(members).distinct(), sets, percent), "pairs")
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    shingles = out.table(full_sets(docs, ends(pairs), k), "shingles")
+    # First each set against the pivot that its tokens agree with most, later what that leaves apart.
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
+    links = out.table(_confirmed(best, shingles, percent), "links")
+    comp = out.table(connected_components(links, out.table, out.drop), "components")
+    more = _apart(pairs.join(best, ["a", "b"], "left_anti"), comp)
+    for descents in range(ROUNDS + 1):
+        active = out.table(_mixed(members, comp), "active")
+        out.drop(members)
+        if active.first() is None and descents:
+            break
+        small, large = active.filter(F.col("size") <= SMALL), active.filter(F.col("size") > SMALL)
+        inner = _within(small) if descents < ROUNDS else _within(small).union(_within_any(large))
+        if descents:
+            inner = inner.union(_apart(_starred(large).distinct(), comp))
+        fresh = out.table(_agreeing(inner.distinct(), sets, percent).select("a", "b").union(more.select("a", "b")), "pairs")
+        more = spark.createDataFrame([], "a long, b long")
+        wanted = ends(fresh).join(shingles.select("doc_id"), "doc_id", "left_anti")
+        if wanted.first() is not None:
             shingles = shingles.union(out.table(full_sets(docs, wanted, k), "shingles"))
-        if depth == 1:  # first each set against the one that its tokens agree with most, then what that leaves apart
-            best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-            links = out.table(_confirmed(best, shingles, percent), "links")
-            comp = out.table(connected_components(links, out.table, out.drop), "components")
-            pairs = pairs.join(best, ["a", "b"], "left_anti")
-        more = out.table(_confirmed(_apart(pairs.select("a", "b"), comp), shingles, percent), "links")
-        if more.first() is not None:
-            links = links.union(more)
+        found = out.table(_confirmed(fresh.distinct(), shingles, percent), "links")
+        if found.first() is not None:
+            links = links.union(found)
             comp = out.table(connected_components(links, out.table, out.drop), "components")
-        large = _mixed(members.filter(F.col("size") > SMALL), comp)
-        if depth == DEPTH:
-            break
-        below = out.table(_with_pivot(_children(large, sets)), "nodes")
-        out.drop(members)
-        members = below
-        if members.first() is None:
+        if descents == ROUNDS or large.first() is None:
             break
+        members = out.table(_with_pivots(_lower_nodes(large, sets, percent)), "nodes")
+        out.drop(active)
 
     named = sets.join(comp, sets.rep == comp.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     joined = sigs.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")

@@ -90,9 +90,9 @@ def test_large_nodes_branch(spark, monkeypatch):
     assert run(spark, rows, 4) == brute(rows, 4)
 
 
-def test_last_depth_is_exhaustive(spark, monkeypatch):
+def test_last_descent_is_exhaustive(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 2)
-    monkeypatch.setattr(neardup, "DEPTH", 1)
+    monkeypatch.setattr(neardup, "ROUNDS", 0)
     rows = corpus(11, 4, 20)
     assert run(spark, rows, 4) == brute(rows, 4)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embdup, langid, neardup, quality, tokenfile
+from . import bpe, embdup, langid, mixing, neardup, quality, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.similar_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_table(spark, sf_dir, "documents"), mixing.PRODUCTION)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_token_files": op4_token_files,
     "op7_embedding_duplicates": op7_embedding_duplicates,
+    "op8_mixing": op8_mixing,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle_sql(mixing.PRODUCTION)}

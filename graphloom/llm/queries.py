@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embdup, langid, mixing, neardup, quality, tokenfile
+from . import bpe, embdup, langid, licenses, mixing, neardup, quality, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.stored_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.similar_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -48,9 +52,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_token_files": op4_token_files,
+    "op5_licenses": op5_licenses,
     "op7_embedding_duplicates": op7_embedding_duplicates,
     "op8_mixing": op8_mixing,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.oracle_sql(mixing.PRODUCTION)}
+ORACLE_SQL: dict[str, str] = {
+    "op5_licenses": licenses.oracle_sql(),
+    "op8_mixing": mixing.oracle_sql(mixing.PRODUCTION),
+}

@@ -18,9 +18,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import Memo, arrow_rows
 
@@ -142,9 +144,30 @@ def _worker_memo(path: str, pattern: str) -> Memo:
     return Memo(_Digests(BytePairCodec.load(path, pattern)))
 
 
+class _Ids:
+    """Per piece its ids as little-endian int32 bytes."""
+
+    def __init__(self, codec: BytePairCodec):
+        self.digests, self.codec = _Digests(codec), codec
+
+    def __call__(self, pieces: list[str]) -> list[bytes]:
+        codec, known, out = self.codec, self.digests.tokens, []
+        for piece in pieces:
+            ids: list[int] = []
+            for m in codec.pattern.findall(piece):
+                got = known.get(m)
+                if got is None:
+                    got = codec.encode_piece(m.encode("utf-8", "replace"))
+                    if len(m) <= 48 and len(known) < 1 << 19:
+                        known[m] = got
+                ids += got
+            out.append(np.array(ids, "<i4").tobytes())
+        return out
+
+
 @lru_cache(maxsize=2)
-def _worker_codec(path: str, pattern: str) -> BytePairCodec:
-    return BytePairCodec.load(path, pattern)
+def _worker_ids(path: str, pattern: str) -> Memo:
+    return Memo(_Ids(BytePairCodec.load(path, pattern)))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -154,19 +177,17 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     dropped nor merged, so repeated rows stay.  One narrow pass, no shuffle.
     """
     kept = [c for c in docs.columns if c != out]
-    fields = [f for f in docs.schema.fields if f.name != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f"{', ' if fields else ''}`{out}` array<int>"
+    schema = T.StructType([f for f in docs.schema.fields if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _worker_codec(ranks_path, pattern)
-        memo = Memo(lambda pieces: [codec.encode(p) for p in pieces], limit=1 << 18)
+        memo = _worker_ids(ranks_path, pattern)
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 256):
+            for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = part.column(part.schema.get_field_index(text)).to_pylist()
-                ids = [[i for piece in memo.whole(t or "") for i in piece] for t in texts]
-                cols = [part.column(part.schema.get_field_index(c)) for c in kept]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(ids, pa.list_(pa.int32()))], names=[*kept, out])
+                raw = [b"".join(memo.whole(t)) if t else b"" for t in part.column(part.schema.get_field_index(text)).to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+                yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), ids], names=[*kept, out])
 
     return docs.select(*kept, *([text] if text == out else [])).mapInArrow(run, schema)
 

@@ -66,8 +66,8 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _order(seed: int, epoch: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "source", "lang").cast("binary"))
+def _order(seed: int, epoch: Column, source: str, lang: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), source, lang).cast("binary"))
 
 
 def shared_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
@@ -108,47 +108,60 @@ def _leaf_table(leaves: DataFrame, most: int = 20_000) -> DataFrame:
     return F.broadcast(leaves) if leaves.limit(most + 1).count() <= most else leaves
 
 
-def mixed(docs: DataFrame, mixture: Mixture = PRODUCTION) -> DataFrame:
-    """doc_id, domain, lang, source, n_tokens, copies for each row of ``docs(doc_id, text, lang, source)``.
+def _keyed(docs: DataFrame, mixture: Mixture, *keep: str) -> DataFrame:
+    """keep.., and the leaf and tokens of each document, under names of this module's own."""
+    leaf = {"__loom_lang": F.coalesce("lang", F.lit(NONE)), "__loom_source": F.coalesce("source", F.lit(NONE)), "__loom_n": token_count(F.col("text"))}
+    return docs.select(*keep, *(c.alias(k) for k, c in leaf.items()), domain_of(leaf["__loom_source"]).alias("__loom_domain"))
 
-    copies is how often the document is taken.  A null lang or source counts as
-    a leaf of its own, named "(none)".  A document without tokens is taken as
-    often as whole epochs are, and in the last one if it begins within the rest.
-    Repeated rows are separate documents with the same place in the order, and
-    are taken together.  Other columns are ignored.
-    """
-    named = docs.select("doc_id", F.coalesce("lang", F.lit(NONE)).alias("lang"), F.coalesce("source", F.lit(NONE)).alias("source"), token_count(F.col("text")).alias("n_tokens"))
+
+def _marks(docs: DataFrame, mixture: Mixture) -> DataFrame:
+    """For each leaf: whole epochs, the rest, and the last place of its order that is taken in the last epoch."""
     out = Written(docs.sparkSession, "mixing")
-    named = out.table(named.withColumn("domain", domain_of(F.col("source"))), "sizes")
+    named = _keyed(docs, mixture, "doc_id").select("doc_id", *(F.col(f"__loom_{k}").alias(k) for k in LEVELS), F.col("__loom_n").alias("n_tokens"))
+    named = out.table(named, "sizes")
     plan = budgets(named.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), mixture)
     whole = F.when(F.col("tokens") > 0, F.expr("given div tokens")).otherwise(F.lit(0))
     plan = plan.select(*LEVELS, whole.alias("whole"), (F.col("given") - whole * F.col("tokens")).alias("rest"))
     plan = _leaf_table(out.table(plan, "plan"))
-    placed = named.join(plan, list(LEVELS)).withColumn("place", _order(mixture.seed, F.col("whole"))).withColumn("slot", F.substring("place", 1, SLOT_DIGITS))
+    placed = named.join(plan, list(LEVELS)).withColumn("place", _order(mixture.seed, F.col("whole"), "source", "lang")).withColumn("slot", F.substring("place", 1, SLOT_DIGITS))
     slots = placed.groupBy(*LEVELS, "slot").agg(F.sum("n_tokens").alias("t"))
     w = W.partitionBy(*LEVELS).orderBy("slot")
     slots = slots.withColumn("before", F.sum("t").over(w) - F.col("t"))
     cut = slots.join(plan, list(LEVELS)).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("t") >= F.col("rest")))
     cut = cut.groupBy(*LEVELS).agg(F.min(F.struct("slot", "before")).alias("c")).select(*LEVELS, F.col("c.slot").alias("cut"), F.col("c.before").alias("before"))
     # Only documents of the slots where a rest ends are put in order, by their distinct places.
-    last = placed.join(cut, list(LEVELS)).filter("slot = cut").groupBy(*LEVELS, "place", "before", "rest").agg(F.sum("n_tokens").alias("t"))
+    last = placed.join(_leaf_table(out.table(cut, "cuts")), list(LEVELS)).filter("slot = cut").groupBy(*LEVELS, "place", "before", "rest").agg(F.sum("n_tokens").alias("t"))
     within = last.withColumn("from", F.col("before") + F.sum("t").over(W.partitionBy(*LEVELS).orderBy("place")) - F.col("t")).filter("from < rest")
     edge = within.groupBy(*LEVELS).agg(F.max("place").alias("edge"))
-    marks = _leaf_table(out.table(plan.join(edge, list(LEVELS), "left").select(*LEVELS, "whole", "edge", "rest"), "marks"))
-    found = named.join(marks, list(LEVELS)).withColumn("place", _order(mixture.seed, F.col("whole")))
-    taken = F.when((F.col("rest") > 0) & F.col("edge").isNotNull() & (F.col("place") <= F.col("edge")), 1).otherwise(0)
-    return found.select("doc_id", "domain", "lang", "source", "n_tokens", (F.col("whole") + taken).cast("long").alias("copies"))
+    return _leaf_table(out.table(plan.join(edge, list(LEVELS), "left").select(*(F.col(k).alias(f"__loom_{k}") for k in LEVELS), F.col("whole").alias("__loom_whole"), F.col("rest").alias("__loom_rest"), F.col("edge").alias("__loom_edge")), "marks"))
+
+
+def _with_copies(docs: DataFrame, mixture: Mixture, *keep: str) -> DataFrame:
+    joined = _keyed(docs, mixture, *keep).join(_marks(docs, mixture), [f"__loom_{k}" for k in LEVELS])
+    place = _order(mixture.seed, F.col("__loom_whole"), "__loom_source", "__loom_lang")
+    taken = F.when((F.col("__loom_rest") > 0) & (place <= F.col("__loom_edge")), 1).otherwise(0)
+    return joined.withColumn("__loom_copies", (F.col("__loom_whole") + taken).cast("long"))
+
+
+def mixed(docs: DataFrame, mixture: Mixture = PRODUCTION) -> DataFrame:
+    """doc_id, domain, lang, source, n_tokens, copies for each row of ``docs(doc_id, text, lang, source)``.
+
+    copies is how often the document is taken.  A null lang or source counts as
+    a leaf of its own, named "(none)".  A document without tokens is taken as
+    often as whole epochs are, and in the last one if it begins within the rest.
+    Repeated rows are separate documents with the same place in the order, and
+    are taken together.  Other columns are ignored.
+    """
+    return _with_copies(docs, mixture, "doc_id").select("doc_id", *(F.col(f"__loom_{k}").alias(k) for k in LEVELS), F.col("__loom_n").alias("n_tokens"), F.col("__loom_copies").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, mixture: Mixture = PRODUCTION) -> DataFrame:
-    """The rows of ``docs`` as often as the mixture takes them, with all their columns."""
-    spare = "__loom_copies"
-    flags = mixed(docs, mixture).select("doc_id", "lang", "source", "n_tokens", "copies")
-    flags = flags.groupBy("doc_id", "lang", "source", "n_tokens").agg(F.max("copies").alias(spare))
-    keys = docs.withColumns({"__loom_lang": F.coalesce("lang", F.lit(NONE)), "__loom_source": F.coalesce("source", F.lit(NONE)), "__loom_n": token_count(F.col("text"))}).alias("d")
-    on = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("__loom_lang") == F.col("f.lang")) & (F.col("__loom_source") == F.col("f.source")) & (F.col("__loom_n") == F.col("f.n_tokens"))
-    joined = keys.join(flags.alias("f"), on).filter(F.col(spare) > 0)
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col(spare))).alias("__loom_copy")).select(*docs.columns)
+    """The rows of ``docs`` as often as the mixture takes them, with all their columns.
+
+    Whether a row is taken follows from its leaf's marks alone, so no text is shuffled.
+    """
+    rows = _with_copies(docs, mixture, *docs.columns).filter("__loom_copies > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__loom_copies"))).alias("__loom_copy")).select(*docs.columns)
 
 
 def oracle_sql(mixture: Mixture = PRODUCTION) -> str:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embdup, langid, licenses, mixing, neardup, pii, quality, tokenfile
+from . import bpe, embdup, langid, licenses, media, mixing, neardup, pii, quality, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(_table(spark, sf_dir, "documents"))
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.similar_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -57,10 +62,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_duplicates": op3_near_duplicates,
     "op4_token_files": op4_token_files,
     "op5_licenses": op5_licenses,
+    "op6_media": op6_media,
     "op7_embedding_duplicates": op7_embedding_duplicates,
     "op8_mixing": op8_mixing,
     "op9_personal_data": op9_personal_data,
     "op10_language_id": op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {

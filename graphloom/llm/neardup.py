@@ -15,8 +15,10 @@ only.  In every node all are compared with a few members, its pivots; nodes of a
 most ``SMALL`` sets are compared exhaustively; larger ones branch further while
 they hold more than one component.  A pair that is in one component already is
 never compared, nor one whose set sizes rule it out or whose tokens agree so
-seldom that the threshold is out of reach (chance below 1e-7 to err).  After
-``ROUNDS`` descents what is left is compared exhaustively, whatever its size.
+seldom that the threshold is out of reach (chance below 1e-7 to err).  Before a
+large node branches, documents leave it that can link to nothing in it: those with
+so many shingles that no other document of the large nodes has that no set of any
+size found there can reach the threshold, which is exact.  After ``ROUNDS`` descents what is left is compared exhaustively, whatever its size.
 Links are confirmed on full sets.
 """
 
@@ -38,6 +40,7 @@ FIRST = 25
 SMALL = 128
 STEP = 8
 ROUNDS = 3
+PEELS = 1
 PIVOTS = 4
 BITMAP = 1 << 25
 
@@ -254,6 +257,26 @@ def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     return placed.join(nodes, "node")
 
 
+def _open(large: DataFrame, sets: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Members of large nodes that may still link to another member of the node.
+
+    Of n shingles a document shares s at most, those that some other document of
+    the large nodes has.  With a set of m shingles it has at most min(s, m) in
+    common, so it needs (100 + percent) * min(s, m) >= percent * (n + m) for some
+    m that is not below the node's smallest set.
+    """
+    there = large.select("rep").distinct()
+    own = shingles.join(there, shingles.doc_id == there.rep, "left_semi").select("doc_id", F.explode("shingles").alias("s"))
+    alone = own.groupBy("s").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep = last").groupBy("rep").agg(F.count("*").alias("alone"))
+    sized = sets.groupBy("rep").agg(F.max("n").alias("n"), F.min("n").alias("n_least")).join(there, "rep", "left_semi").join(alone, "rep", "left")
+    sized = sized.select("rep", "n", "n_least", (F.col("n") - F.when(F.col("n") == F.col("n_least"), F.coalesce("alone", F.lit(0))).otherwise(0)).alias("s"))
+    placed = large.join(sized, "rep")
+    least = placed.groupBy("node").agg(F.min("n_least").alias("m"))
+    t = F.lit(percent)
+    may = F.when(F.col("m") <= F.col("s"), 100 * F.col("s") >= t * F.col("n")).otherwise((100 + t) * F.col("s") >= t * (F.col("n") + F.col("m")))
+    return placed.join(least, "node").filter(may).select("node", "rep", "size", "pivots")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs(doc_id, text)``.
 
@@ -297,8 +320,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             comp = out.table(connected_components(links, out.table, out.drop), "components")
         if descents == ROUNDS or large.first() is None:
             break
-        members = out.table(_with_pivots(_lower_nodes(large, sets, percent)), "nodes")
-        out.drop(active)
+        wanted = large.select(F.col("rep").alias("doc_id")).distinct().join(shingles.select("doc_id"), "doc_id", "left_anti")
+        if wanted.first() is not None:
+            shingles = shingles.union(out.table(full_sets(docs, wanted, k), "shingles"))
+        still = large
+        for _ in range(PEELS):  # those that leave make further shingles singular
+            still = out.table(_mixed(_open(still, sets, shingles, percent), comp), "open")
+        if still.first() is None:
+            break
+        members = out.table(_with_pivots(_lower_nodes(still, sets, percent)), "nodes")
+        out.drop(active, still)
 
     named = sets.join(comp, sets.rep == comp.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     joined = sigs.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")

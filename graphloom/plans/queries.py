@@ -82,10 +82,10 @@ SELECT concat_ws('::', src, type, dst) AS id, src, dst, type, evidence FROM w WH
 
 def _broken(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     n, e = _graph(spark, sf_dir)
-    return n.filter("not (type = 'handler' and module in ('CHINA', 'INDIA', 'NATION1', 'NATION2'))").withColumn("label", F.when(F.col("id") == "nation:3", F.lit("")).otherwise(F.col("label"))), e
+    return n.filter("not (type = 'handler' and module in ('NATION_1', 'NATION_2'))").withColumn("label", F.when(F.col("id") == "nation:3", F.lit("")).otherwise(F.col("label"))), e
 
 
-_BROKEN_SQL = ", bn AS (SELECT id, CASE WHEN id = 'nation:3' THEN '' ELSE label END AS label, type, layer, module, path FROM n WHERE NOT (type = 'handler' AND module IN ('CHINA', 'INDIA', 'NATION1', 'NATION2')))"
+_BROKEN_SQL = ", bn AS (SELECT id, CASE WHEN id = 'nation:3' THEN '' ELSE label END AS label, type, layer, module, path FROM n WHERE NOT (type = 'handler' AND module IN ('NATION_1', 'NATION_2')))"
 
 
 @query(_BROKEN_SQL + """ SELECT id, 'from' AS "end", src AS missing FROM e WHERE src NOT IN (SELECT id FROM bn) UNION ALL SELECT id, 'to', dst FROM e WHERE dst NOT IN (SELECT id FROM bn)""")
@@ -389,11 +389,11 @@ def reachable_bounded(spark, sf_dir):
     return trace.reachable(e, n.filter("type = 'page'"))
 
 
-@query(_hops_sql("SELECT id, 0 FROM n WHERE module = 'CHINA'", _OUT, 28, "bfs") + """, st(id) AS (SELECT id FROM n WHERE type = 'table' UNION SELECT e.src FROM st JOIN e ON e.dst = st.id), bk(id) AS (SELECT id FROM n WHERE module = 'CHINA' UNION SELECT e.src FROM bk JOIN e ON e.dst = bk.id), og(id) AS (SELECT id FROM n WHERE type = 'route' UNION SELECT e.dst FROM og JOIN e ON e.src = og.id)
+@query(_hops_sql("SELECT id, 0 FROM n WHERE module = 'NATION_7'", _OUT, 28, "bfs") + """, st(id) AS (SELECT id FROM n WHERE type = 'table' UNION SELECT e.src FROM st JOIN e ON e.dst = st.id), bk(id) AS (SELECT id FROM n WHERE module = 'NATION_7' UNION SELECT e.src FROM bk JOIN e ON e.dst = bk.id), og(id) AS (SELECT id FROM n WHERE type = 'route' UNION SELECT e.dst FROM og JOIN e ON e.src = og.id)
 SELECT id FROM bfs_m WHERE id IN (SELECT id FROM st) UNION SELECT id FROM bk WHERE id IN (SELECT id FROM og)""")
 def trace_all_nodes(spark, sf_dir):
     n, e = _graph(spark, sf_dir)
-    return trace.all_trace_nodes(e, n.filter("module = 'CHINA'"), n.filter("type = 'route'"), n.filter("type = 'table'"))
+    return trace.all_trace_nodes(e, n.filter("module = 'NATION_7'"), n.filter("type = 'route'"), n.filter("type = 'table'"))
 
 
 @query("RECURSIVE" + _TRACE_SQL + """, w AS (SELECT src, dst, 1.0 + CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 3 END + CASE WHEN type = 'queries-table' THEN CASE WHEN src_type = 'repository' THEN 2 ELSE 8 END WHEN type = 'uses-entity' THEN CASE WHEN src_type = 'repository' THEN 0 ELSE 4 END ELSE 0 END AS weight FROM te),
@@ -404,11 +404,11 @@ def shortest_trace_cost(spark, sf_dir):
     return trace.cheapest(weighted, n.filter("id = 'nation:3'")).select("id", "cost")
 
 
-@query("RECURSIVE, " + """up(id) AS (SELECT id FROM n WHERE module = 'CHINA' UNION SELECT e.src FROM up JOIN e ON e.dst = up.id), dn(id) AS (SELECT id FROM n WHERE module = 'CHINA' UNION SELECT e.dst FROM dn JOIN e ON e.src = dn.id), st(id) AS (SELECT id FROM n WHERE type IN ('table', 'entity') UNION SELECT e.src FROM st JOIN e ON e.dst = st.id)
-SELECT id FROM n WHERE module = 'CHINA' UNION SELECT up.id FROM up JOIN n USING (id) WHERE n.path LIKE 'front/%' UNION SELECT id FROM dn WHERE id IN (SELECT id FROM st)""")
+@query("RECURSIVE, " + """up(id) AS (SELECT id FROM n WHERE module = 'NATION_7' UNION SELECT e.src FROM up JOIN e ON e.dst = up.id), dn(id) AS (SELECT id FROM n WHERE module = 'NATION_7' UNION SELECT e.dst FROM dn JOIN e ON e.src = dn.id), st(id) AS (SELECT id FROM n WHERE type IN ('table', 'entity') UNION SELECT e.src FROM st JOIN e ON e.dst = st.id)
+SELECT id FROM n WHERE module = 'NATION_7' UNION SELECT up.id FROM up JOIN n USING (id) WHERE n.path LIKE 'front/%' UNION SELECT id FROM dn WHERE id IN (SELECT id FROM st)""")
 def module_trace_nodes(spark, sf_dir):
     n, e = _graph(spark, sf_dir)
-    return trace.module_trace(n, e, "CHINA")
+    return trace.module_trace(n, e, "NATION_7")
 
 
 @query("RECURSIVE, " + """l AS (SELECT DISTINCT e.src AS a, e.dst AS b FROM e JOIN part ON concat('part:', p_partkey) = e.dst WHERE e.type = 'depends-on' AND p_size = 7), bi AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(node, root) AS (SELECT a, a FROM bi UNION SELECT bi.b, root FROM r JOIN bi ON bi.a = r.node) SELECT node, MIN(root) AS component FROM r GROUP BY node""")

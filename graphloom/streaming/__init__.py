@@ -1 +1 @@
-"""Streaming of the engine."""
+"""Streams of graph writes, merged batch by batch."""

@@ -8,13 +8,13 @@ from graphloom.operators import layout, measure, merge, rules, trace, traverse
 from graphloom.operators.traverse import Request, SelectionConflict, Selector, Traversal
 
 NODES = [
-    ("ui:route", "LoginRoute", "route", "ui", "auth", "src/auth/LoginRoute.tsx"),
-    ("auth:service", "AuthService", "service", "application", "auth", "src/auth/AuthService.ts"),
-    ("auth:repo", "AuthRepository", "repository", "infrastructure", "auth", "src/auth/AuthRepository.ts"),
-    ("shared:db", "Database", "database", "infrastructure", "shared", "src/shared/Database.ts"),
-    ("billing:service", "BillingService", "service", "application", "billing", "src/billing/BillingService.ts"),
+    ("ui:route", "SignInRoute", "route", "ui", "login", "src/login/SignInRoute.tsx"),
+    ("login:service", "SignIn", "service", "application", "login", "src/login/SignIn.ts"),
+    ("login:repo", "SignInStore", "repository", "infrastructure", "login", "src/login/SignInStore.ts"),
+    ("shared:db", "Store", "database", "infrastructure", "shared", "src/shared/Store.ts"),
+    ("ledger:service", "LedgerService", "service", "application", "ledger", "src/ledger/LedgerService.ts"),
 ]
-EDGES = [("ui:route", "calls", "auth:service"), ("auth:service", "imports", "auth:repo"), ("auth:repo", "queries", "shared:db"), ("shared:db", "used-by", "billing:service")]
+EDGES = [("ui:route", "calls", "login:service"), ("login:service", "imports", "login:repo"), ("login:repo", "queries", "shared:db"), ("shared:db", "used-by", "ledger:service")]
 
 
 @pytest.fixture(scope="module")
@@ -31,14 +31,14 @@ def ids(df):
 @pytest.mark.parametrize(
     ("request_", "nodes"),
     [
-        (Request(Selector(("auth:service",)), traversal=Traversal("outgoing", 1)), ["auth:repo", "auth:service"]),
-        (Request(Selector(("auth:repo",)), traversal=Traversal("incoming", 1)), ["auth:repo", "auth:service"]),
-        (Request(Selector(paths=("src/auth/**",)), traversal=Traversal("both", 0)), ["auth:repo", "auth:service", "ui:route"]),
-        (Request(Selector(modules=("auth",), layers=("application",), types=("service",)), traversal=Traversal("both", 0)), ["auth:service"]),
-        (Request(Selector(("auth:service",)), Selector(modules=("billing",)), Traversal("outgoing", 3)), ["auth:repo", "auth:service", "shared:db"]),
-        (Request(Selector(("auth:service",)), traversal=Traversal("both", 3, ("calls",))), ["auth:service", "ui:route"]),
-        (Request(Selector(("auth:service",)), traversal=Traversal("outgoing", 3), access={"forbidden": Selector(("auth:repo",))}), ["auth:repo", "auth:service"]),
-        (Request(Selector(("auth:repo",), ("src/shared/*",), ("auth",), ("application",)), traversal=Traversal("both", 0)), ["auth:repo", "auth:service", "shared:db"]),
+        (Request(Selector(("login:service",)), traversal=Traversal("outgoing", 1)), ["login:repo", "login:service"]),
+        (Request(Selector(("login:repo",)), traversal=Traversal("incoming", 1)), ["login:repo", "login:service"]),
+        (Request(Selector(paths=("src/login/**",)), traversal=Traversal("both", 0)), ["login:repo", "login:service", "ui:route"]),
+        (Request(Selector(modules=("login",), layers=("application",), types=("service",)), traversal=Traversal("both", 0)), ["login:service"]),
+        (Request(Selector(("login:service",)), Selector(modules=("ledger",)), Traversal("outgoing", 3)), ["login:repo", "login:service", "shared:db"]),
+        (Request(Selector(("login:service",)), traversal=Traversal("both", 3, ("calls",))), ["login:service", "ui:route"]),
+        (Request(Selector(("login:service",)), traversal=Traversal("outgoing", 3), access={"forbidden": Selector(("login:repo",))}), ["login:repo", "login:service"]),
+        (Request(Selector(("login:repo",), ("src/shared/*",), ("login",), ("application",)), traversal=Traversal("both", 0)), ["login:repo", "login:service", "shared:db"]),
     ],
 )
 def test_submaps(graph, request_, nodes):
@@ -46,22 +46,22 @@ def test_submaps(graph, request_, nodes):
 
 
 def test_submap_content(graph):
-    s = traverse.create(*graph, Request(Selector(("auth:service",)), Selector(modules=("billing",)), Traversal("outgoing", 1), {"editable": Selector(("auth:service",))}))
-    assert ids(s.edges) == ["auth:service::imports::auth:repo"]
+    s = traverse.create(*graph, Request(Selector(("login:service",)), Selector(modules=("ledger",)), Traversal("outgoing", 1), {"editable": Selector(("login:service",))}))
+    assert ids(s.edges) == ["login:service::imports::login:repo"]
     assert {(r.outside_id, r.direction, r.reason) for r in s.boundaries.collect()} == {("shared:db", "outgoing", "depth-limit"), ("ui:route", "incoming", "depth-limit")}
-    assert {(r.id, r.level) for r in s.access.collect()} == {("auth:service", "editable"), ("auth:repo", "readable")}
-    deep = traverse.create(*graph, Request(Selector(("auth:service",)), Selector(modules=("billing",)), Traversal("outgoing", 3)))
+    assert {(r.id, r.level) for r in s.access.collect()} == {("login:service", "editable"), ("login:repo", "readable")}
+    deep = traverse.create(*graph, Request(Selector(("login:service",)), Selector(modules=("ledger",)), Traversal("outgoing", 3)))
     assert "excluded" in {r.reason for r in deep.boundaries.collect()}
     assert [(r.change, r.id) for r in traverse.changes(s.nodes, deep.nodes).collect()] == [("added", "shared:db")]
     assert [(r.id, r.previous, r.current) for r in traverse.access_changes(s.access, deep.access).filter("id = 'shared:db'").collect()] == [("shared:db", None, "readable")]
 
 
 def test_conflicts(graph):
-    both = {"editable": Selector(("auth:repo",)), "forbidden": Selector(("auth:repo",))}
+    both = {"editable": Selector(("login:repo",)), "forbidden": Selector(("login:repo",))}
     with pytest.raises(SelectionConflict):
-        traverse.create(*graph, Request(Selector(("auth:repo",)), access=both))
+        traverse.create(*graph, Request(Selector(("login:repo",)), access=both))
     with pytest.raises(SelectionConflict):
-        traverse.create(*graph, Request(Selector(("auth:repo",)), Selector(modules=("auth",))))
+        traverse.create(*graph, Request(Selector(("login:repo",)), Selector(modules=("login",))))
     with pytest.raises(ValueError):
         Traversal("sideways")
 
@@ -101,7 +101,7 @@ def test_validation_lists_everything(spark):
 
 
 def test_quality_of_an_isolated_component(spark):
-    n = spark.createDataFrame([("c", "C", "component", "ui", "auth", "src/x.tsx"), ("t", "T", "table", "db", "db", None)], "id string, label string, type string, layer string, module string, path string")
+    n = spark.createDataFrame([("c", "C", "component", "ui", "login", "src/x.tsx"), ("t", "T", "table", "db", "db", None)], "id string, label string, type string, layer string, module string, path string")
     e = spark.createDataFrame([], "id string, src string, dst string, type string")
     s = measure.quality_scores(measure.quality_evidence(n, e, "src/features/{module}/", [], []))
     assert [tuple(r) for r in s.collect()] == [("c", 5, 10, 7)]

@@ -196,7 +196,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([writer.total], pa.int64())], names=["file", "docs", "tokens"])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     return sorted(map(tuple, ordered.mapInArrow(run, "file string, docs long, tokens long").collect()))
 
 

@@ -145,29 +145,30 @@ def _worker_memo(path: str, pattern: str) -> Memo:
 
 
 class _Ids:
-    """Per piece its ids as little-endian int32 bytes."""
+    """Per piece its ids as little-endian int32 bytes, which keep small in a memo."""
 
-    def __init__(self, codec: BytePairCodec):
-        self.digests, self.codec = _Digests(codec), codec
+    def __init__(self, codec: BytePairCodec, limit: int):
+        self.codec, self.limit = codec, limit
+        self.known: dict[str, bytes] = {}
 
     def __call__(self, pieces: list[str]) -> list[bytes]:
-        codec, known, out = self.codec, self.digests.tokens, []
+        codec, known, out = self.codec, self.known, []
         for piece in pieces:
-            ids: list[int] = []
+            parts = []
             for m in codec.pattern.findall(piece):
                 got = known.get(m)
                 if got is None:
-                    got = codec.encode_piece(m.encode("utf-8", "replace"))
-                    if len(m) <= 48 and len(known) < 1 << 19:
+                    got = np.array(codec.encode_piece(m.encode("utf-8", "replace")), "<i4").tobytes()
+                    if len(m) <= 48 and len(known) < self.limit:
                         known[m] = got
-                ids += got
-            out.append(np.array(ids, "<i4").tobytes())
+                parts.append(got)
+            out.append(b"".join(parts))
         return out
 
 
 @lru_cache(maxsize=2)
 def _worker_ids(path: str, pattern: str) -> Memo:
-    return Memo(_Ids(BytePairCodec.load(path, pattern)))
+    return Memo(_Ids(BytePairCodec.load(path, pattern), 1 << 18), limit=1 << 18)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:

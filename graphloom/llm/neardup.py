@@ -1,22 +1,20 @@
 """Near-duplicate documents: a chosen-path similarity join over minwise tokens.
 
-A document's set of word shingles is turned into ``TOKENS`` minwise tokens.  In
-each of several independent trees a node of documents branches on a few token
-positions, chosen by a hash of the node itself, 1 / similarity of them on
-average; documents go to the child named by the token that they have there, so a
-pair at the threshold is expected to stay together in one child at each level.
-The first level of all trees makes ``FIRST`` positions, all different, so a pair
-at 0.8 shares none of their nodes with a chance of 0.2 ** FIRST = 3e-18.  Since a
-path depends on nothing but the node and the document's own tokens, a document
-goes down ``STEP`` levels at once without meeting the others in between.
+A document's set of word shingles is turned into ``TOKENS`` minwise tokens.  The
+first level of ``FIRST`` trees makes nodes of the documents that share one token,
+each tree at a position of its own.  A node below branches on two positions, chosen
+by a hash of the node itself.  Two are more than the 1 / 0.8 that keep one path of
+a pair at 0.8 on average, so its paths multiply on the way down instead of dying
+out: with independent tokens it loses them all with a chance of 0.232 ** FIRST =
+7e-11 after one descent, and 0.25 ** FIRST = 2e-10 after any number.
 
 Documents with equal sets are one from the start, so a node holds different sets
-only.  In every node all are compared with a few members, its pivots; nodes of at
-most ``SMALL`` sets are compared exhaustively; larger ones branch further while
-they hold more than one component.  A pair that is in one component already is
-never compared, nor one whose set sizes rule it out or whose tokens agree so
-seldom that the threshold is out of reach (chance below 1e-7 to err).  After
-``ROUNDS`` descents what is left is compared exhaustively, whatever its size.
+only.  In every first-level node all are compared with a few members, its pivots;
+nodes of at most ``SMALL`` sets are compared exhaustively; larger ones that hold
+more than one component descend, ``ROUNDS`` times, and what is large then is
+compared exhaustively as well, in blocks.  A pair that is in one component already
+is never compared, nor one whose set sizes rule it out or whose tokens agree so
+seldom that the threshold is out of reach (chance below 1e-7 to err).
 Links are confirmed on full sets.
 """
 
@@ -34,11 +32,13 @@ from ..operators.components import connected_components
 from .common import Written, arrow_rows
 
 TOKENS = 64
-FIRST = 25
+FIRST = 16
 SMALL = 128
-STEP = 8
-ROUNDS = 3
+ROUNDS = 1
 PIVOTS = 4
+BLOCK = 2048  # sets in a block of a large node, on average, and at most
+BLOCK_SHINGLES = 1 << 21  # shingles in it
+TILE = 1024
 BITMAP = 1 << 25
 
 _rng = np.random.default_rng(20240607)
@@ -162,13 +162,8 @@ def _first_nodes(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode(F.array(*keys)).alias("node"), "rep")
 
 
-def _lower_nodes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, rep): where the documents of inner nodes are ``STEP`` levels below.
-
-    Each node on the way has one child position, and with a chance that makes
-    100 / percent positions on average a second one.
-    """
-    second = np.uint64(min(1.0, max(0.0, 100 / percent - 1)) * float(1 << 32))
+def _lower_nodes(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, rep): the documents of inner nodes in the children at both positions of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,18 +172,20 @@ def _lower_nodes(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
                 node = part.column(0).to_numpy().view(np.uint64)
                 toks = np.asarray(part.column(2).flatten()).reshape(len(node), TOKENS).astype(np.int64).view(np.uint64)
                 row = np.arange(len(node))
-                for _ in range(STEP):
-                    h = _mix(node)
-                    one = (h % np.uint64(TOKENS)).astype(np.int64)
-                    two = (one + 1 + (h >> np.uint64(8)).astype(np.int64) % (TOKENS - 1)) % TOKENS
-                    more = np.flatnonzero((h >> np.uint64(32)) < second)
-                    nodes = [_mix(node[i] + np.uint64(0x632BE59BD9B4E019) * (pos.astype(np.uint64) + np.uint64(1)) ^ _mix(toks[row[i], pos])) for i, pos in ((np.arange(len(node)), one), (more, two[more]))]
-                    node, row = np.concatenate(nodes), np.concatenate((row, row[more]))
-                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), part.column(1).take(pa.array(row))], names=["node", "rep"])
+                h = _mix(node)
+                one = (h % np.uint64(TOKENS)).astype(np.int64)
+                two = (one + 1 + (h >> np.uint64(8)).astype(np.int64) % (TOKENS - 1)) % TOKENS
+                nodes = [_mix(node + np.uint64(0x632BE59BD9B4E019) * (pos.astype(np.uint64) + np.uint64(1)) ^ _mix(toks[row, pos])) for pos in (one, two)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), part.column(1).take(pa.array(np.concatenate((row, row))))], names=["node", "rep"])
 
     return members.select("node", "rep").join(sets.select("rep", "tokens"), "rep").select("node", "rep", "tokens").mapInArrow(run, "node long, rep long")
 
 
+def _sized(rows: DataFrame) -> DataFrame:
+    """node, rep, size of the nodes that hold two sets at least."""
+    return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node")
+
+
 def _with_pivots(rows: DataFrame) -> DataFrame:
     """node, rep, size, pivots of the nodes that hold two sets at least.
 
@@ -205,18 +202,22 @@ def _starred(members: DataFrame) -> DataFrame:
     return star.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
 
 
-def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those that may reach the threshold, with how many tokens agree.
+def _least(percent: int) -> int:
+    """How many tokens of a pair that may reach the threshold agree.
 
     At the threshold t the number that agree is binomial; five and a half
     standard deviations below its mean stays in.
     """
     t = percent / 100
-    least = int(max(0.0, TOKENS * t - 5.5 * (TOKENS * t * (1 - t)) ** 0.5))
+    return int(max(0.0, TOKENS * t - 5.5 * (TOKENS * t * (1 - t)) ** 0.5))
+
+
+def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of ``pairs(a, b)`` those that may reach the threshold, with how many tokens agree."""
     side = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
     agree = F.size(F.filter(F.zip_with("t_a", "t_b", lambda x, y: x == y), lambda x: x))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return joined.select("a", "b", agree.alias("agree")).filter(F.col("agree") >= least)
+    return joined.select("a", "b", agree.alias("agree")).filter(F.col("agree") >= _least(percent))
 
 
 def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -234,10 +235,88 @@ def _within(small: DataFrame) -> DataFrame:
     return two.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
-def _within_any(members: DataFrame) -> DataFrame:
-    """The same for nodes of any size, for what is left after the last descent."""
-    side = lambda c: members.select("node", F.col("rep").alias(c), F.col("component").alias(f"c_{c}"))
-    return side("a").join(side("b"), "node").filter("a < b and c_a <> c_b").select("a", "b")
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set on the left shares with each on the right."""
+    every = [np.concatenate(side) for side in (left, right)]
+    vocabulary = np.intersect1d(*every)
+    out = np.zeros((len(left), len(right)), np.float32)
+    if not len(vocabulary):
+        return out.astype(np.int64)
+    cells = []
+    for sets, flat in zip((left, right), every, strict=True):
+        at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
+        known = vocabulary[at] == flat
+        cells.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known], at[known]))
+    for lo in range(0, len(vocabulary), 4096):
+        sides = []
+        for row, at in cells:
+            here = (at >= lo) & (at < lo + 4096)
+            dense = np.zeros((row.max() + 1 if len(row) else 0, min(4096, len(vocabulary) - lo)), np.float32)
+            dense[row[here], at[here] - lo] = 1
+            sides.append(dense)
+        out[: len(sides[0]), : len(sides[1])] += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def links_between(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links enough to join all that any links of left with right members (indices) join, found exhaustively.
+
+    ``label`` holds the components so far and is brought up to date.
+    """
+    n = np.array([len(s) for s in sets])
+    sig = np.stack([tokens(s) for s in sets])
+    same = left is right
+    out: list[tuple[int, int]] = []
+    for i in range(0, len(left), TILE):
+        for j in range(i if same else 0, len(right), TILE):
+            a, b = left[i : i + TILE], right[j : j + TILE]
+            na, nb = n[a][:, None], n[b][None, :]
+            open_ = (label[a][:, None] != label[b][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            if not open_.any():
+                continue
+            agree = np.zeros(open_.shape, np.uint8)
+            for t in range(TOKENS):
+                agree += sig[a, t][:, None] == sig[b, t][None, :]
+            open_ &= agree >= _least(percent)
+            row, col = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+            if not len(row):
+                continue
+            a, b, open_ = a[row], b[col], open_[np.ix_(row, col)]
+            both = _common([sets[x] for x in a], [sets[x] for x in b])
+            x, y = np.nonzero(open_ & (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)))
+            _, first = np.unique(np.stack((label[a[x]], label[b[y]])), axis=1, return_index=True)
+            for u, v in zip(a[x[first]], b[y[first]], strict=True):
+                if label[u] != label[v]:
+                    label[label == label[v]] = label[u]
+                    out.append((int(u), int(v)))
+    return out
+
+
+def _linked_in_blocks(members: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join what nodes of any size hold apart, all pairs compared on full sets.
+
+    The sets of a node are dealt into blocks of bounded size, and each pair of
+    blocks is compared in one task.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rep, label, block = (table.column(c).to_numpy().copy() for c in ("rep", "component", "block"))
+        lists = table.column("shingles").chunk(0)
+        flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        sets = [flat[x:y] for x, y in zip(at, at[1:], strict=False)]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left = np.flatnonzero(block == i)
+        found = links_between(sets, label, left, left if i == j else np.flatnonzero(block == j), percent)
+        return pa.table({"u": pa.array([int(rep[u]) for u, _ in found], pa.int64()), "v": pa.array([int(rep[v]) for _, v in found], pa.int64())})
+
+    lengths = shingles.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(members.select("node", "rep").join(lengths, "rep").groupBy("node").agg(blocks.alias("blocks")), "node")
+    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(17, rep), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    tiles = dealt.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
+    full = tiles.join(shingles.withColumnRenamed("doc_id", "rep"), "rep").select("node", "i", "j", "block", "rep", "component", "shingles")
+    return full.groupBy("node", "i", "j").applyInArrow(run, "u long, v long")
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -249,7 +328,7 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The members, with their components so far, of nodes that hold more than one."""
-    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "size", "pivots", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "size", F.coalesce("component", "rep").alias("component"))
     nodes = placed.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
     return placed.join(nodes, "node")
 
@@ -283,21 +362,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if active.first() is None and descents:
             break
         small, large = active.filter(F.col("size") <= SMALL), active.filter(F.col("size") > SMALL)
-        inner = _within(small) if descents < ROUNDS else _within(small).union(_within_any(large))
-        if descents:
-            inner = inner.union(_apart(_starred(large).distinct(), comp))
-        fresh = out.table(_agreeing(inner.distinct(), sets, percent).select("a", "b").union(more.select("a", "b")), "pairs")
+        last = descents == ROUNDS
+        fresh = out.table(_agreeing(_within(small).distinct(), sets, percent).select("a", "b").union(more.select("a", "b")), "pairs")
         more = spark.createDataFrame([], "a long, b long")
-        wanted = ends(fresh).join(shingles.select("doc_id"), "doc_id", "left_anti")
+        wanted = ends(fresh).union(large.select("rep").distinct()) if last else ends(fresh)
+        wanted = wanted.distinct().join(shingles.select("doc_id"), "doc_id", "left_anti")
         if wanted.first() is not None:
             shingles = shingles.union(out.table(full_sets(docs, wanted, k), "shingles"))
-        found = out.table(_confirmed(fresh.distinct(), shingles, percent), "links")
+        found = _confirmed(fresh.distinct(), shingles, percent)
+        found = out.table(found.union(_linked_in_blocks(large, shingles, percent)) if last else found, "links")
         if found.first() is not None:
             links = links.union(found)
             comp = out.table(connected_components(links, out.table, out.drop), "components")
-        if descents == ROUNDS or large.first() is None:
+        if last or large.first() is None:
             break
-        members = out.table(_with_pivots(_lower_nodes(large, sets, percent)), "nodes")
+        members = out.table(_sized(_lower_nodes(large, sets)), "nodes")
         out.drop(active)
 
     named = sets.join(comp, sets.rep == comp.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))

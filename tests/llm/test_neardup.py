@@ -101,3 +101,36 @@ def test_empty_and_repeated(spark):
     assert run(spark, [], 4) == []
     rows = [(5, "a b c d e f g"), (5, "a b c d e f g"), (1, "x")]
     assert run(spark, rows, 4) == sorted([(5, 4, 5, True), (5, 4, 5, True), (1, 1, 1, True)], key=str)
+
+
+def test_paths_of_a_pair_survive_all_descents(spark):
+    # 51 of 64 tokens agree, just under 0.8.
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        x, y = rng.integers(-(1 << 31), 1 << 31, (2, neardup.TOKENS))
+        same = rng.permutation(neardup.TOKENS)[:51]
+        y[same] = x[same]
+        rows += [(2 * i, x.tolist()), (2 * i + 1, y.tolist())]
+    sets = spark.createDataFrame(rows, "rep long, tokens array<int>")
+    nodes = neardup._first_nodes(sets)
+    for _ in range(neardup.ROUNDS):
+        nodes = neardup._lower_nodes(nodes, sets)
+    met = nodes.selectExpr("node", "rep", "rep div 2 as pair").groupBy("node", "pair").agg({"rep": "count"}).filter("`count(rep)` = 2").select("pair").distinct()
+    assert met.count() == 300
+
+
+def test_blocks_of_a_large_node(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    rng = np.random.default_rng(6)
+    common = rng.integers(1, 1 << 62, 140)
+    rows = []
+    for i in range(90):
+        own = rng.integers(1, 1 << 62, 30)
+        rows.append((i, sorted([*common.tolist(), *own.tolist()])))
+        if i % 3 == 0:
+            rows.append((100 + i, sorted([*common.tolist(), *own[:12].tolist(), *rng.integers(1, 1 << 62, 18).tolist()])))
+    shingles = spark.createDataFrame(rows, "doc_id long, shingles array<long>")
+    members = shingles.selectExpr("7L as node", "doc_id as rep", "doc_id as component")
+    found = {tuple(sorted(r)) for r in neardup._linked_in_blocks(members, shingles, 80).collect()}
+    assert found == {(i, 100 + i) for i in range(0, 90, 3)}

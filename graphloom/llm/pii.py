@@ -3,11 +3,13 @@
 The patterns (email, ip, card, phone) give the base spans.  The field is over the
 tokens that may be part of personal data, those with a digit or an @ (any other
 token is O by definition, and cuts the chain).  Neighbouring tokens share a
-transition potential; a token and the previous one in the document that is equal
-to it, or has the same seven digits or more, share a skip potential.  Loopy belief
-propagation passes messages over both kinds of edges, all documents of a batch at
-once; the tokens of base spans are observed, so their labels spread to repeated
-and similar tokens.  Tokens whose belief in a label reaches ``CERTAIN`` add spans.
+transition potential; tokens of a document that are equal, or have the same seven
+digits or more, each share a skip potential with one of them, their hub: the first,
+or where labels are to spread the first that is observed, so that a label reaches
+every mention in one step and however many there are.  Loopy belief propagation
+passes messages over both kinds of edges, all documents of a batch at once, until
+they stop changing; the tokens of base spans are observed, so their labels spread
+to repeated and similar tokens.  Tokens whose belief in a label reaches ``CERTAIN`` add spans.
 
 Weights are learnt in numpy from a bounded sample of documents (``Sample``), whose
 base spans are the labels; the gradient is what is observed less what the beliefs
@@ -35,7 +37,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("o", *KINDS)
 FEATURES = 1 << 12
 CERTAIN = 0.9
-SWEEPS = 6
+SWEEPS = 200  # a guard against messages that never settle
+SETTLED = 1e-6
 AGREE = 8.0  # what equal or similar tokens gain from equal labels, before learning
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -116,9 +119,10 @@ class Graph:
         self.skip: list[tuple[int, int]] = []
         self.observed: list[int] = []
 
-    def add(self, tokens: list[tuple[str, str, str, bool, int]]) -> None:
-        """One document's (word, before, after, joined, label or -1)."""
-        seen: dict[str, int] = {}
+    def add(self, tokens: list[tuple[str, str, str, bool, int]], anchored: bool = False) -> None:
+        """One document's (word, before, after, joined, label or -1); anchored: hubs are observed tokens, if there are any."""
+        hub: dict[str, int] = {}
+        named: list[tuple[int, set[str]]] = []
         for word, before, after, joined, label in tokens:
             i = len(self.feats)
             self.feats.append(_features(word, before, after))
@@ -126,11 +130,13 @@ class Graph:
             if joined:
                 self.chain.append((i - 1, i))
             digits = re.sub(r"\D", "", word)
-            earlier = {seen.get(k, -1) for k in {f"w{word.lower()}", f"d{digits}" if len(digits) >= 7 else f"w{word.lower()}"}} - {-1}
-            self.skip += [(j, i) for j in earlier]
-            seen[f"w{word.lower()}"] = i
-            if len(digits) >= 7:
-                seen[f"d{digits}"] = i
+            keys = {f"w{word.lower()}"} | ({f"d{digits}"} if len(digits) >= 7 else set())
+            named.append((i, keys))
+            for k in keys:
+                if k not in hub or (anchored and label > 0 and self.observed[hub[k]] <= 0):
+                    hub[k] = i
+        for i, keys in named:
+            self.skip += sorted({(min(i, hub[k]), max(i, hub[k])) for k in keys if hub[k] != i})
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """Ends of all edges, and the kind (0 chain, 1 skip)."""
@@ -150,12 +156,12 @@ class Field:
         return cls(np.zeros((FEATURES, len(LABELS))), np.stack([np.zeros((len(LABELS),) * 2), AGREE * np.eye(len(LABELS))]))
 
     def beliefs(self, graph: Graph, clamp: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Beliefs of tokens and of edges, after SWEEPS rounds of damped messages."""
+        """Beliefs of tokens and of edges, after damped messages have settled."""
         unary = self.weights[np.array(graph.feats)].sum(1)
         if clamp:
             label = np.array(graph.observed)
             known = np.flatnonzero(label > 0)
-            unary[known, label[known]] += 30
+            unary[known, label[known]] += 1e8  # more than any number of neighbours can outvote
         ends, kind = graph.edges()
         k = len(LABELS)
         there, back = np.zeros((len(ends), k)), np.zeros((len(ends), k))
@@ -165,11 +171,15 @@ class Field:
         for _ in range(SWEEPS if len(ends) else 0):
             a, b = belief[ends[:, 0]] - back, belief[ends[:, 1]] - there
             new_there, new_back = lse(a[:, :, None] + pot, 1), lse(b[:, None, :] + pot, 2)
-            there = 0.5 * there + 0.5 * (new_there - new_there.max(1, keepdims=True))
-            back = 0.5 * back + 0.5 * (new_back - new_back.max(1, keepdims=True))
+            new_there -= new_there.max(1, keepdims=True)
+            new_back -= new_back.max(1, keepdims=True)
+            change = max(np.abs(new_there - there).max(), np.abs(new_back - back).max())
+            there, back = 0.5 * (there + new_there), 0.5 * (back + new_back)
             belief = unary.copy()
             np.add.at(belief, ends[:, 1], there)
             np.add.at(belief, ends[:, 0], back)
+            if change < SETTLED:
+                break
         p = np.exp(belief - belief.max(1, keepdims=True))
         e = (belief[ends[:, 0]] - back)[:, :, None] + pot + (belief[ends[:, 1]] - there)[:, None, :]
         e = np.exp(e - e.max((1, 2), keepdims=True))
@@ -246,7 +256,7 @@ def find_spans(field: Field, texts: list[str | None]) -> list[tuple[list[tuple[i
         bases.append(base)
         if text:
             labelled = _labelled(text, base)
-            graph.add(labelled)
+            graph.add(labelled, anchored=True)
             places += [(n, a, b, joined, t[4]) for (a, b, _, _, joined), t in zip(tokens_of(text), labelled, strict=True)]
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
     if places:

@@ -104,3 +104,12 @@ def test_detect_and_redact(spark):
 def test_overlapping_spans_as_one():
     assert redacted("0123456789", [(0, 2, 6), (1, 4, 8), (2, 9, 10)]) == "01[EMAIL]8[CARD]"
     assert redacted("abc", []) == "abc" and redacted(None, []) is None
+
+
+def test_labels_reach_dozens_of_mentions():
+    first, more = "call +15235557040 today,", " again 15235557040 or" * 60
+    for f in (Field.fresh(), trained()):
+        for text in (first + more, more + " " + first + more):
+            (base, added), = find_spans(f, [text])
+            assert [k for k, _, _ in base] == [3]
+            assert [k for k, _, _ in added] == [3] * text.count(" 15235557040")

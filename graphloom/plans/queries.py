@@ -418,6 +418,12 @@ def connected_components_of_parts(spark, sf_dir):
     return connected_components(links, cut)
 
 
+@query()
+def connected_components_of_dependencies(spark, sf_dir):
+    links = cgraph.edges(spark, sf_dir).filter("type = 'depends-on'").select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    return connected_components(links, cut)
+
+
 # Classification, endpoints, imports, findings
 
 

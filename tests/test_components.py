@@ -1,6 +1,8 @@
 import random
 
 from graphloom.operators.components import connected_components
+from graphloom.plans import cgraph
+from graphloom.plans.queries import QUERIES
 
 
 def brute(edges):
@@ -38,3 +40,9 @@ def test_random(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)]
     assert run(spark, edges) == brute(edges)
+
+
+def test_all_dependencies(spark, sf_dir):
+    links = [(r.src, r.dst) for r in cgraph.edges(spark, sf_dir).filter("type = 'depends-on'").select("src", "dst").collect()]
+    got = [tuple(r) for r in QUERIES["connected_components_of_dependencies"](spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(links)

@@ -118,6 +118,15 @@ def test_cheapest_way(spark):
     assert trace.path_to(best, "d") == ["a", "c", "d"] and trace.path_to(best, "z") == []
 
 
+def test_cheapest_way_of_many_edges(spark):
+    names = [f"n{i:02}" for i in range(36)]
+    # A dear shortcut to the end, and a cheap way of 35 edges.
+    e = spark.createDataFrame([*((a, b, 1.0) for a, b in zip(names, names[1:])), (names[0], names[-1], 100.0)], "src string, dst string, weight double")
+    best = trace.cheapest(e, spark.createDataFrame([(names[0],)], "id string"))
+    assert {r.id: r.cost for r in best.collect()} == {x: float(i) for i, x in enumerate(names)}
+    assert trace.path_to(best, names[-1]) == names
+
+
 def test_trace_policy(spark):
     n = spark.createDataFrame([("h", "handler", "x"), ("r", "repository", "x"), ("t", "table", "x"), ("c", "controller", "x")], "id string, type string, layer string")
     e = spark.createDataFrame([("1", "h", "t", "queries-table", "high"), ("2", "h", "r", "depends-on", "high"), ("3", "r", "t", "queries-table", "low"), ("4", "c", "h", "sends", "high"), ("5", "h", "t", "dbset", "high")], "id string, src string, dst string, type string, confidence string")

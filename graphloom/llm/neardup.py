@@ -1,21 +1,21 @@
 """Near-duplicate documents: a chosen-path similarity join over minwise tokens.
 
-A document's set of word shingles is turned into ``TOKENS`` minwise tokens.  The
-first level of ``FIRST`` trees makes nodes of the documents that share one token,
-each tree at a position of its own.  A node below branches on two positions, chosen
-by a hash of the node itself.  Two are more than the 1 / 0.8 that keep one path of
-a pair at 0.8 on average, so its paths multiply on the way down instead of dying
-out: with independent tokens it loses them all with a chance of 0.232 ** FIRST =
-7e-11 after one descent, and 0.25 ** FIRST = 2e-10 after any number.
+A document's set of word shingles is turned into ``TOKENS`` minwise tokens.  Each of
+``TREES`` independent trees has ``DEPTH`` positions of its own, so its nodes hold the
+documents that agree on ``DEPTH`` tokens; a pair at 0.8 meets in a tree with a chance
+of 0.51 and in none with (1 - 0.8 ** 3) ** 25 = 2e-8.  In every node all members are
+compared with a few of them, its pivots.  Nodes of at most ``SMALL`` sets are then
+compared exhaustively; larger ones that hold more than one component branch on, each
+on two positions that a hash of the node chooses.  Two are more than the 1 / 0.8 that
+keep one path of a pair at 0.8 on average, so paths multiply on the way down instead
+of dying out: at most 8e-8 of such pairs lose all of them after any number of
+descents.  What is large after ``ROUNDS`` descents is compared exhaustively as well,
+in blocks, but for pairs within a node's largest component.
 
 Documents with equal sets are one from the start, so a node holds different sets
-only.  In every first-level node all are compared with a few members, its pivots;
-nodes of at most ``SMALL`` sets are compared exhaustively; larger ones that hold
-more than one component descend, ``ROUNDS`` times, and what is large then is
-compared exhaustively as well, in blocks.  A pair that is in one component already
-is never compared, nor one whose set sizes rule it out or whose tokens agree so
-seldom that the threshold is out of reach (chance below 1e-7 to err).
-Links are confirmed on full sets.
+only.  A pair that is in one component already is never compared, nor one whose set
+sizes rule it out or whose tokens agree so seldom that the threshold is out of reach
+(chance below 1e-7 to err).  Links are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -31,11 +31,12 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import Written, arrow_rows
 
-TOKENS = 64
-FIRST = 16
+TREES = 25
+DEPTH = 3  # positions of a tree
+TOKENS = TREES * DEPTH
 SMALL = 128
 ROUNDS = 1
-PIVOTS = 4
+PIVOTS = 2
 BLOCK = 2048  # sets in a block of a large node, on average, and at most
 BLOCK_SHINGLES = 1 << 21  # shingles in it
 TILE = 1024
@@ -157,8 +158,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _first_nodes(sets: DataFrame) -> DataFrame:
-    """(node, rep): children of the roots of all trees, each position used once."""
-    keys = [F.xxhash64(F.lit(i), F.get("tokens", F.lit(i))) for i in range(FIRST)]
+    """(node, rep): the nodes of all trees at their full depth, each position used once."""
+    keys = [F.xxhash64(F.lit(i), *(F.get("tokens", F.lit(DEPTH * i + d)) for d in range(DEPTH))) for i in range(TREES)]
     return sets.select(F.explode(F.array(*keys)).alias("node"), "rep")
 
 
@@ -265,10 +266,9 @@ def links_between(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, r
     """
     n = np.array([len(s) for s in sets])
     sig = np.stack([tokens(s) for s in sets])
-    same = left is right
     out: list[tuple[int, int]] = []
     for i in range(0, len(left), TILE):
-        for j in range(i if same else 0, len(right), TILE):
+        for j in range(0, len(right), TILE):
             a, b = left[i : i + TILE], right[j : j + TILE]
             na, nb = n[a][:, None], n[b][None, :]
             open_ = (label[a][:, None] != label[b][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
@@ -293,29 +293,35 @@ def links_between(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, r
 
 
 def _linked_in_blocks(members: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) that join what nodes of any size hold apart, all pairs compared on full sets.
+    """Links (u, v) that join what nodes of any size hold apart, compared on full sets.
 
-    The sets of a node are dealt into blocks of bounded size, and each pair of
-    blocks is compared in one task.
+    What belongs to the largest component of its node is compared with all the rest
+    of the node, and the rest with itself.  Both sides are dealt into blocks of
+    bounded size, and each pair of blocks is compared in one task.
     """
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rep, label, block = (table.column(c).to_numpy().copy() for c in ("rep", "component", "block"))
+        rep, label, left = (table.column(c).to_numpy(zero_copy_only=False).copy() for c in ("rep", "component", "left"))
         lists = table.column("shingles").chunk(0)
         flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
         sets = [flat[x:y] for x, y in zip(at, at[1:], strict=False)]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left = np.flatnonzero(block == i)
-        found = links_between(sets, label, left, left if i == j else np.flatnonzero(block == j), percent)
+        found = links_between(sets, label, np.flatnonzero(left), np.flatnonzero(~left), percent)
         return pa.table({"u": pa.array([int(rep[u]) for u, _ in found], pa.int64()), "v": pa.array([int(rep[v]) for _, v in found], pa.int64())})
 
     lengths = shingles.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    dealt = members.join(members.select("node", "rep").join(lengths, "rep").groupBy("node").agg(blocks.alias("blocks")), "node")
-    dealt = dealt.withColumn("block", F.expr("cast(pmod(xxhash64(17, rep), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tiles = dealt.select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component")
-    full = tiles.join(shingles.withColumnRenamed("doc_id", "rep"), "rep").select("node", "i", "j", "block", "rep", "component", "shingles")
+    counts = members.join(lengths, "rep").groupBy("node", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+    top = F.max(F.struct("sets", "component"))["component"]
+    nodes = counts.groupBy("node").agg(top.alias("top"), F.sum("sets").alias("sets"), F.sum("n").alias("n"))
+    rest = counts.join(nodes.select("node", "top"), "node").filter("component <> top").groupBy("node").agg(F.sum("sets").alias("rest_sets"), F.sum("n").alias("rest_n"))
+    blocks = lambda sets, n: F.ceil(F.greatest(F.col(sets) / BLOCK, F.col(n) / BLOCK_SHINGLES)).cast("int")
+    plan = nodes.join(rest, "node").select("node", "top", blocks("sets", "n").alias("all_blocks"), blocks("rest_sets", "rest_n").alias("rest_blocks"))
+    dealt = members.select("node", "rep", "component").join(plan, "node")
+    block = lambda of: F.expr(f"cast(pmod(xxhash64(17, rep), {of}) as int)")
+    right = dealt.select("node", block("all_blocks").alias("j"), F.explode(F.expr("sequence(0, rest_blocks - 1)")).alias("i"), F.lit(False).alias("left"), "rep", "component")
+    left = dealt.filter("component <> top").select("node", F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"), block("rest_blocks").alias("i"), F.lit(True).alias("left"), "rep", "component")
+    tiles = right.unionByName(left)
+    full = tiles.join(shingles.withColumnRenamed("doc_id", "rep"), "rep").select("node", "i", "j", "left", "rep", "component", "shingles")
     return full.groupBy("node", "i", "j").applyInArrow(run, "u long, v long")
 
 
@@ -351,9 +357,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pairs = out.table(_agreeing(_starred(members).distinct(), sets, percent), "pairs")
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     shingles = out.table(full_sets(docs, ends(pairs), k), "shingles")
+    written = [pairs, shingles]  # read until the last link is found
     # First each set against the pivot that its tokens agree with most, later what that leaves apart.
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
     links = out.table(_confirmed(best, shingles, percent), "links")
+    written.append(links)
     comp = out.table(connected_components(links, out.table, out.drop), "components")
     more = _apart(pairs.join(best, ["a", "b"], "left_anti"), comp)
     for descents in range(ROUNDS + 1):
@@ -368,9 +376,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         wanted = ends(fresh).union(large.select("rep").distinct()) if last else ends(fresh)
         wanted = wanted.distinct().join(shingles.select("doc_id"), "doc_id", "left_anti")
         if wanted.first() is not None:
-            shingles = shingles.union(out.table(full_sets(docs, wanted, k), "shingles"))
+            written.append(out.table(full_sets(docs, wanted, k), "shingles"))
+            shingles = shingles.union(written[-1])
         found = _confirmed(fresh.distinct(), shingles, percent)
         found = out.table(found.union(_linked_in_blocks(large, shingles, percent)) if last else found, "links")
+        written += [fresh, found]
         if found.first() is not None:
             links = links.union(found)
             comp = out.table(connected_components(links, out.table, out.drop), "components")
@@ -379,6 +389,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         members = out.table(_sized(_lower_nodes(large, sets)), "nodes")
         out.drop(active)
 
+    for t in written:
+        out.drop(t)
     named = sets.join(comp, sets.rep == comp.node, "left").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
     joined = sigs.select("doc_id", "n_shingles", "f1", "f2").join(named, ["f1", "f2"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("component", "doc_id")))

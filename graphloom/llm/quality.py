@@ -28,7 +28,6 @@ from .common import Written
 from .neardup import _BYTE, _mix, _powers
 
 BUCKETS = 1 << 16
-LENGTH = 256
 MARGIN = 16.0
 _NOISE = "__loom_noise"
 
@@ -70,9 +69,9 @@ def ngram_buckets(text: str | None) -> np.ndarray:
 
 
 def log_weight(ratios: np.ndarray, text: str | None) -> tuple[float, int]:
-    """Log weight and number of n-grams of a whole text."""
+    """Log weight (the sum of the log ratios of its n-grams) and number of n-grams of a whole text."""
     buckets = ngram_buckets(text)
-    return float(ratios[buckets].sum()) * min(1.0, LENGTH / max(1, len(buckets))), len(buckets)
+    return float(ratios[buckets].sum()), len(buckets)
 
 
 def labelled_sample(labels: DataFrame, selection: Selection) -> dict[int, int]:

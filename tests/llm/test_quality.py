@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from graphloom.llm.quality import BUCKETS, LENGTH, Selection, calibrates, keep_quality, kth_largest, log_ratios, ngram_buckets, select_quality
+from graphloom.llm.quality import BUCKETS, Selection, calibrates, keep_quality, kth_largest, log_ratios, log_weight, ngram_buckets, select_quality
 
 
 def brute_buckets(text):
@@ -60,7 +60,7 @@ def test_ratios_and_selection_against_brute_force(spark):
     assert np.allclose(log_ratios(docs, good), want)
     got = {r.doc_id: r for r in select_quality(docs, lab, Selection(keep=0.99)).collect()}
     for d, text, _ in rows:
-        assert math.isclose(got[d].log_weight, want[ngram_buckets(text)].sum() * min(1, LENGTH / len(ngram_buckets(text))), abs_tol=1e-9)
+        assert math.isclose(got[d].log_weight, want[ngram_buckets(text)].sum(), abs_tol=1e-9)
     clean = [r.kept for d, r in got.items() if d % 6]
     assert sum(clean) >= 0.97 * len(clean) and not any(r.kept for d, r in got.items() if d % 6 == 0)
     scores = sorted((r.score for r in got.values()), reverse=True)
@@ -68,6 +68,13 @@ def test_ratios_and_selection_against_brute_force(spark):
     assert all(r.kept == (r.score >= scores[k - 1]) for r in got.values())
 
 
+def test_weight_of_a_very_long_text_is_the_whole_sum():
+    ratios = np.random.default_rng(1).normal(size=BUCKETS)
+    once, twice = log_weight(ratios, "river stone of the"), log_weight(ratios, "river stone of the " * 60_000)
+    between = ratios[ngram_buckets("the river")[2]]
+    assert twice[1] == 2 * 240_000 - 1 and math.isclose(twice[0], 60_000 * once[0] + 59_999 * between, rel_tol=1e-6)
+
+
 def test_noise_is_gumbel(spark):
     docs, lab = frames(spark, [(i, "", "x") for i in range(4000)], [(0, 1)])
     noise = [r.score - r.log_weight for r in select_quality(docs, lab).collect()]

@@ -211,11 +211,10 @@ class Field:
 
 @dataclass(frozen=True)
 class Sample:
-    """The bounded sample to learn from: about ``documents``, drawn by a hash of doc_id,
-    and of each at most ``tokens`` candidate tokens."""
+    """The bounded sample to learn from: about ``documents`` rows, drawn by a hash of doc_id,
+    with all their candidate tokens."""
 
     documents: int = 6000
-    tokens: int = 150
 
 
 def _labelled(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, str, str, bool, int]]:
@@ -237,7 +236,7 @@ def train(docs: DataFrame, sample: Sample = Sample()) -> Field:  # noqa: B008
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in arrow_rows(batches, "doc_id", "text"):
-            found = [(d, json.dumps(t[: sample.tokens])) for d, t in ((d, _labelled(x, base_spans(x))) for d, x in rows if x) if t]
+            found = [(d, json.dumps(t)) for d, t in ((d, _labelled(x, base_spans(x))) for d, x in rows if x) if t]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["doc_id", "tokens"])
 
     picked = docs.select("doc_id", "text").filter((unit < share) & F.col("text").rlike("[0-9@]")).mapInArrow(run, "doc_id long, tokens string").collect()
@@ -309,8 +308,6 @@ def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
     return "".join(out) + text[at:] if out else text
 
 
-
-
 def redact(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:  # noqa: B008
     """The rows of ``docs`` with personal data replaced in ``text``; all columns stay, and
     ``n_chars``, if there, counts the new text (null stays null)."""

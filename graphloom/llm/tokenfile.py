@@ -16,6 +16,7 @@ value without reading the others.  No 64-bit offset table is kept anywhere.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -153,12 +154,14 @@ def _worker_memo(path: str) -> tuple[Memo, int]:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    added = [t.content for t in library.get_added_tokens_decoder().values() if t.content]
+    marks = re.compile("|".join(map(re.escape, added))) if added else None
 
     def encode(pieces: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in library.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    return Memo(encode, limit=7 << 17), library.get_vocab_size(with_added_tokens=True)
+    # A text that spells out an added token goes to the library as it is.
+    return Memo(encode, limit=7 << 17, whole_if=lambda t: marks is not None and marks.search(t) is not None), library.get_vocab_size(with_added_tokens=True)
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0) -> list[tuple[str, int, int]]:
@@ -204,7 +207,8 @@ def read_token_files(spark: SparkSession, folder: str, shards: list[tuple[str, i
     """doc_id, start, n_tokens, ids_crc32 of each stored document, from the files.
 
     ``start`` counts the ids of all documents before it, over all shards.  Files
-    are read in blocks of about ``block`` ids.  No shards: an empty table.
+    are read in blocks of about ``block`` ids, their boundaries and doc_ids by
+    select.  No shards: an empty table.
     """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not shards:
@@ -220,21 +224,19 @@ def read_token_files(spark: SparkSession, folder: str, shards: list[tuple[str, i
             for file, first in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
                 with fs.open_input_file(f"{base}/{file}") as source:
                     shard = ShardReader(source)
-                    ends = shard.ends.all()
-                    starts = np.concatenate(([0], ends[:-1]))
-                    names = [None] * shard.nulls + (shard.doc_ids.all() + shard.least).tolist()
-                    i = 0
+                    start = i = 0
                     while i < shard.n_docs:
-                        k = max(i + 1, int(np.searchsorted(ends, starts[i] + block)))
-                        raw = shard.ids(int(starts[i]), int(ends[k - 1])).astype("<u4").tobytes()
-                        at = ((starts[i:k] - starts[i]) * 4).tolist()
-                        to = ((ends[i:k] - starts[i]) * 4).tolist()
-                        view = memoryview(raw)
+                        ends: list[int] = []
+                        while i + len(ends) < shard.n_docs and (not ends or ends[-1] - start < block):
+                            ends.append(shard.ends.select(i + len(ends)))
+                        raw = memoryview(shard.ids(start, ends[-1]).astype("<u4").tobytes())
+                        starts = [start, *ends[:-1]]
+                        crcs = [zlib.crc32(raw[(a - start) * 4 : (b - start) * 4]) for a, b in zip(starts, ends, strict=True)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(names[i:k], pa.int64()), pa.array(starts[i:k] + first, pa.int64()), pa.array(ends[i:k] - starts[i:k], pa.int64()), pa.array([zlib.crc32(view[a:b]) for a, b in zip(at, to, strict=True)], pa.int64())],
+                            [pa.array([shard.doc_id(i + k) for k in range(len(ends))], pa.int64()), pa.array([first + x for x in starts], pa.int64()), pa.array([b - a for a, b in zip(starts, ends, strict=True)], pa.int64()), pa.array(crcs, pa.int64())],
                             names=["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
-                        i = k
+                        i, start = i + len(ends), ends[-1]
 
     listed = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "file string, first long")
     return listed.mapInArrow(run, schema)

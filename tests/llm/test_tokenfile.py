@@ -46,7 +46,6 @@ def test_as_library_and_in_order(spark):
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(3).selectExpr("*", "1 as start")
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in stored_documents(df, PATH).collect())
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     want, start = [], 0
     for doc_id, text in sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
         ids = library.encode(text or "", add_special_tokens=False).ids + [0]
@@ -55,6 +54,20 @@ def test_as_library_and_in_order(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("text", ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  ", "a  ", "a\n ", "  a", " ", "\u3000 b"])
+def test_spelt_out_added_tokens_and_white_space(spark, text):
+    ids = [*Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids, 0]
+    got = stored_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).first()
+    assert (got.n_tokens, got.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_far_apart_ids_and_a_very_long_text(spark):
+    data = [(-(1 << 62), "low"), (1 << 62, "high"), (3, "naïve words " * 200_000)]
+    got = {r.doc_id: (r.start, r.n_tokens) for r in stored_documents(spark.createDataFrame(data, "doc_id long, text string"), PATH).collect()}
+    n = len(Tokenizer.from_file(PATH).encode(data[2][1], add_special_tokens=False).ids) + 1
+    assert got[-(1 << 62)] == (0, 2) and got[3] == (2, n) and got[1 << 62] == (2 + n, 2)
+
+
 def test_random_access(spark):
     df = spark.createDataFrame(rows(), "doc_id long, text string")
     folder = new_path(spark, "ids-test")
@@ -62,7 +75,6 @@ def test_random_access(spark):
     assert sum(s[1] for s in shards) == len(rows())
     fs, base = pafs.FileSystem.from_uri(folder)
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     text = dict(rows()[:150])
     for file, n, _ in shards:
         with fs.open_input_file(f"{base}/{file}") as f:

@@ -1,15 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of each word (white space separates words; a
-longer one is read in stretches of ``STRETCH`` bytes), forwards and backwards,
-and labels every byte position with a distribution over the languages.  A
-document's distribution is the mean over all labelled positions of the whole
-text.  Words without any letter say nothing about language and are not labelled.
-Since a word's labels depend on the word alone, each worker keeps those of the
-words that it has met in a bounded table; that changes no result.
-
-The weights are learnt in numpy by backpropagation through time (Adam), from a
-bounded sample of labelled documents (``Sample``).
+The network reads the UTF-8 bytes of a whole lower-cased text, forwards and
+backwards, and labels every byte position with a distribution over the languages;
+a document's distribution is the mean over all its positions.  So that texts of any
+length are read in bounded memory and side by side, each layer starts ``CONTEXT``
+bytes before the ``WINDOW`` positions that it labels at a time (the backward one
+behind them); what lies further away has no bearing on a label.
+
+The weights are learnt in numpy by backpropagation through time (Adam), on stretches
+at random places of the whole texts of a bounded sample of labelled documents
+(``Sample``).
 """
 
 from __future__ import annotations
@@ -24,17 +24,15 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows
 
-STRETCH = 48
+WINDOW = 256
+CONTEXT = 32
+STRETCH = 96  # bytes of a training sequence
+TOGETHER = 1024  # windows read side by side
 UNDETERMINED = "und"
 
 
-def stretches(word: str) -> list[bytes]:
-    raw = word.encode("utf-8", "replace")
-    return [raw] if len(raw) <= STRETCH else [raw[i : i + STRETCH] for i in range(0, len(raw), STRETCH)]
-
-
-def has_letter(word: str) -> bool:
-    return word.isalpha() or any(map(str.isalpha, word))
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _padded(seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +50,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class ByteGRU:
     """Two gated recurrent layers in opposite directions and a softmax for each position."""
 
-    def __init__(self, languages: list[str], hidden: int = 16, width: int = 12, seed: int = 7):
+    def __init__(self, languages: list[str], hidden: int = 8, width: int = 12, seed: int = 7):
         self.languages, self.hidden = languages, hidden
         rng = np.random.default_rng(seed)
         normal = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
@@ -85,24 +83,64 @@ class ByteGRU:
         index = np.where(t < lengths, lengths - 1 - t, t)
         return np.take_along_axis(x, index if x.ndim == 2 else index[:, :, None], 0)
 
-    def positions(self, seqs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Distribution of each position, time first, and the mask of real positions."""
-        x, lengths = _padded(seqs)
-        f, _ = self._run("f", x, False)
-        b, _ = self._run("b", self._flipped(x, lengths), False)
-        logits = np.concatenate([f, self._flipped(b, lengths)], 2) @ self.p["out"] + self.p["out_b"]
-        e = np.exp(logits - logits.max(2, keepdims=True))
-        return e / e.sum(2, keepdims=True), np.arange(len(x))[:, None] < lengths
-
-    def pooled(self, seqs: list[bytes], block: int = 8192) -> np.ndarray:
-        """For each sequence the sum of its positions' distributions, then their number."""
-        out = np.zeros((len(seqs), len(self.languages) + 1))
-        order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
-        for at in range(0, len(order), block):
-            some = order[at : at + block]
-            probs, mask = self.positions([seqs[i] for i in some])
-            out[some, :-1] = (probs * mask[:, :, None]).sum(0)
-            out[some, -1] = mask.sum(0)
+    def _logits(self, d: str, flat: np.ndarray, first: np.ndarray, lead: np.ndarray, size: int) -> np.ndarray:
+        """What one layer adds to the logits of ``size`` positions from each ``first`` on (d: f forwards, b
+        backwards), after reading ``lead`` positions on the way there."""
+        p, h, n, step = self.p, self.hidden, len(first), 1 if d == "f" else -1
+        # sigmoid(x) is (tanh(x / 2) + 1) / 2; halves are taken out of the loop, and gates stand one below the other.
+        halves = np.repeat(np.float32([0.5, 0.5, 1]), h)[:, None]
+        table = np.ascontiguousarray((p["emb"] @ p[f"{d}W"] + p[f"{d}b"]).T * halves)
+        u, c = np.ascontiguousarray(p[f"{d}U"].T * 0.5), 0.5 * p[f"{d}c"][:, None]
+        weights = np.ascontiguousarray((p["out"][:h] if d == "f" else p["out"][h:]).T)
+        state, out = np.zeros((h, n), np.float32), np.empty((size, len(weights), n), np.float32)
+        x, gates = np.empty((3 * h, n), np.float32), np.empty((3 * h, n), np.float32)
+        zr, z, r, new = gates[: 2 * h], gates[:h], gates[h : 2 * h], gates[2 * h :]
+        longest = int(lead.max())
+        uneven = bool((lead != longest).any())
+        for t in range(-longest, size):
+            np.take(table, np.take(flat, first + step * t, mode="clip"), 1, out=x, mode="clip")
+            np.dot(u, state, out=gates)
+            zr += x[: 2 * h]
+            np.tanh(zr, out=zr)
+            zr += 1
+            new += c
+            new *= r
+            new += x[2 * h :]
+            np.tanh(new, out=new)
+            z *= 0.5
+            state -= new
+            state *= z
+            state += new
+            if t >= 0:
+                np.dot(weights, state, out=out[t])
+            elif uneven:
+                state[:, lead < -t] = 0  # not begun yet
+        return out
+
+    def pooled(self, texts: list[bytes]) -> np.ndarray:
+        """For each text the sum of its positions' distributions, then their number."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat, begins = np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes
+        out = np.zeros((len(texts), len(self.languages) + 1))
+        count = -(-sizes // WINDOW)
+        doc = np.repeat(np.arange(len(texts)), count)
+        start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * WINDOW
+        stop = np.minimum(start + WINDOW, sizes[doc])
+        order = np.argsort(stop - start, kind="stable")
+        for at in range(0, len(order), TOGETHER):
+            w = order[at : at + TOGETHER]
+            size = (stop - start)[w]
+            width = int(size[-1])
+            f = self._logits("f", flat, (begins[doc] + start)[w], np.minimum(start[w], CONTEXT), width)
+            b = self._logits("b", flat, (begins[doc] + stop)[w] - 1, np.minimum(sizes[doc[w]] - stop[w], CONTEXT), width)
+            place = size[None, :] - 1 - np.arange(width)[:, None]
+            f += b[::-1] if size[0] == width else np.take_along_axis(b, np.maximum(place, 0)[:, None, :], 0)
+            f += self.p["out_b"][:, None]
+            f -= f.max(1, keepdims=True)
+            np.exp(f, out=f)
+            f *= ((place >= 0) / f.sum(1))[:, None, :]
+            np.add.at(out[:, :-1], doc[w], f.sum(0, dtype=np.float64).T)
+        out[:, -1] = sizes
         return out
 
     def gradients(self, seqs: list[bytes], labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -147,8 +185,8 @@ class ByteGRU:
             g["emb"] += d_table @ p[f"{d}W"].T
         return loss, g
 
-    def fit(self, words: list[str], labels: list[int], steps: int = 500, batch: int = 384, rate: float = 0.01, seed: int = 11) -> list[float]:
-        """Adam over random batches of words, languages balanced; returns the losses."""
+    def fit(self, texts: list[bytes], labels: list[int], steps: int = 300, batch: int = 128, rate: float = 0.01, seed: int = 11) -> list[float]:
+        """Adam over random stretches of random texts, languages balanced; returns the losses."""
         rng = np.random.default_rng(seed)
         y = np.array(labels)
         groups = [np.flatnonzero(y == k) for k in range(len(self.languages))]
@@ -157,8 +195,8 @@ class ByteGRU:
         losses = []
         for step in range(1, steps + 1):
             pick = np.concatenate([rng.choice(gp, batch // len(groups) + 1) for gp in groups if len(gp)])
-            seqs = [stretches(words[i])[0] for i in pick]
-            loss, g = self.gradients(seqs, y[pick])
+            places = [int(rng.integers(0, max(1, len(texts[i]) - STRETCH + 1))) for i in pick]
+            loss, g = self.gradients([texts[i][at : at + STRETCH] for i, at in zip(pick, places, strict=True)], y[pick])
             losses.append(loss)
             lr = rate * (1 - step / (steps + 1)) + 1e-4
             for k in self.p:
@@ -170,80 +208,42 @@ class ByteGRU:
 
 @dataclass(frozen=True)
 class Sample:
-    """The bounded sample that the network learns from: about ``documents`` of each
-    language, drawn by a hash of their doc_id, and ``words`` evenly spaced words of each."""
+    """The bounded sample that the network learns from: about ``documents`` rows of each
+    language, drawn by a hash of their doc_id, with their whole texts."""
 
     documents: int = 600
-    words: int = 40
 
 
-def training_words(labelled: DataFrame, sample: Sample) -> tuple[list[str], list[str]]:
-    """Words and their languages, from ``labelled(doc_id, text, lang)``."""
+def as_bytes(text: str | None) -> bytes:
+    """The bytes to read of a text; none if it holds no letter."""
+    return text.lower().encode("utf-8", "replace") if text and has_letter(text) else b""
+
+
+def training_texts(labelled: DataFrame, sample: Sample) -> tuple[list[bytes], list[str]]:
+    """Texts and their languages, from ``labelled(doc_id, text, lang)``."""
     counts = {r["lang"]: r["count"] for r in labelled.filter("lang is not null").groupBy("lang").count().collect()}
     if not counts:
         return [], []
     unit = (F.xxhash64(F.lit(17), "doc_id") % (1 << 20) + (1 << 20)) / (1 << 21)
     share = F.coalesce(*(F.when(F.col("lang") == k, min(1.0, sample.documents / n)) for k, n in sorted(counts.items())))
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w.rlike(r"\p{L}"))
-    spaced = F.when(
-        F.size("words") > sample.words, F.transform(F.sequence(F.lit(0), F.lit(sample.words - 1)), lambda i: F.get("words", (i * F.size("words") / sample.words).cast("int")))
-    ).otherwise(F.col("words"))
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (unit < share)).select("doc_id", "lang", words.alias("words")).select("doc_id", "lang", spaced.alias("words")).collect()
-    pairs = [(w, r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["words"])) for w in r["words"] if w]
-    return [w for w, _ in pairs], [k for _, k in pairs]
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (unit < share)).select("doc_id", "lang", "text").collect()
+    pairs = [(as_bytes(r["text"]), r["lang"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["lang"], r["text"]))]
+    pairs = [(t, k) for t, k in pairs if t]
+    return [t for t, _ in pairs], [k for _, k in pairs]
 
 
-def train(labelled: DataFrame, sample: Sample = Sample(), steps: int = 500) -> ByteGRU | None:  # noqa: B008
+def train(labelled: DataFrame, sample: Sample = Sample(), steps: int = 300) -> ByteGRU | None:  # noqa: B008
     """A network for the languages in ``labelled(doc_id, text, lang)``; None if it names none."""
-    words, langs = training_words(labelled, sample)
+    texts, langs = training_texts(labelled, sample)
     names = sorted(set(langs))
     if not names:
         return None
     net = ByteGRU(names)
     index = {k: i for i, k in enumerate(names)}
-    net.fit(words, [index[k] for k in langs], steps=steps)
+    net.fit(texts, [index[k] for k in langs], steps=steps)
     return net
 
 
-class _Reader:
-    """Pools whole texts; rows of the table hold what a word adds (sums, then positions)."""
-
-    def __init__(self, net: ByteGRU, limit: int = 1 << 19):
-        self.net, self.limit = net, limit
-        self.row: dict[str, int] = {}
-        self.table = np.zeros((1024, len(net.languages) + 1))
-
-    def _add(self, words: list[str]) -> None:
-        parts = [(i, s) for i, w in enumerate(words) if has_letter(w) for s in stretches(w)]
-        sums = np.zeros((len(words), self.table.shape[1]))
-        if parts:
-            np.add.at(sums, [i for i, _ in parts], self.net.pooled([s for _, s in parts]))
-        first = len(self.row)
-        while first + len(words) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[first : first + len(words)] = sums
-        self.row.update(zip(words, range(first, first + len(words)), strict=True))
-
-    def totals(self, texts: list[str | None]) -> np.ndarray:
-        """Sums of the positions' distributions of each text, then the number of positions."""
-        split = [(t or "").lower().split() for t in texts]
-        fresh = set().union(*split) - self.row.keys()
-        if fresh:
-            self._add(sorted(fresh))
-        get = self.row.__getitem__
-        out = np.zeros((len(texts), self.table.shape[1]))
-        for i, words in enumerate(split):
-            if words:
-                out[i] = self.table[np.fromiter(map(get, words), np.int64, len(words))].sum(0)
-        if len(self.row) > self.limit:  # full: keep the words met first, which are the frequent ones
-            for w in fresh:
-                del self.row[w]
-        return out
-
-
-_readers: dict[int, _Reader] = {}
-
-
 def predict(docs: DataFrame, net: ByteGRU | None) -> DataFrame:
     """doc_id, lang_pred, score for each row of ``docs(doc_id, text)``.
 
@@ -251,18 +251,14 @@ def predict(docs: DataFrame, net: ByteGRU | None) -> DataFrame:
     learnt).  Score: mean probability of the language over all positions.  Rows
     are neither dropped nor merged; other columns are ignored.
     """
-    key = int(np.frombuffer(b"".join(v.tobytes() for v in net.p.values()), np.uint32).sum(dtype=np.uint64)) if net else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if net and key not in _readers:
-            _readers.clear()
-            _readers[key] = _Reader(net)
         for all_rows in arrow_rows(batches, "doc_id", "text"):
             for at in range(0, len(all_rows), 250):
                 rows = all_rows[at : at + 250]
                 langs, scores = [UNDETERMINED] * len(rows), [0.0] * len(rows)
                 if net:
-                    totals = _readers[key].totals([t for _, t in rows])
+                    totals = net.pooled([as_bytes(t) for _, t in rows])
                     for i, best in enumerate(totals[:, :-1].argmax(1)):
                         if totals[i, -1]:
                             langs[i], scores[i] = net.languages[best], round(min(1.0, totals[i, best] / totals[i, -1]), 6)
@@ -276,7 +272,7 @@ def held_out_column() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, sample: Sample = Sample(), steps: int = 500) -> DataFrame:  # noqa: B008
+def identify(docs: DataFrame, sample: Sample = Sample(), steps: int = 300) -> DataFrame:  # noqa: B008
     """Trains on the documents that are not held out, then predicts all."""
     net = train(docs.filter(~held_out_column()).select("doc_id", "text", "lang"), sample, steps)
     return predict(docs, net).select("doc_id", held_out_column().alias("held_out"), "lang_pred", "score")

@@ -7,7 +7,9 @@ find-first-set gives the lowest rank in two steps, whatever the length of the
 pre-token; entries whose pair has gone meanwhile are skipped when met.  Cost is
 O(n log n) for n bytes, where rescanning for the best pair is O(n^2).
 
-Pieces between spaces are memoised, since most of a text consists of few words.
+Pieces between spaces are memoised, since most of a text consists of few words; that
+holds for patterns that let a token begin with one space (``SPACED``), and any other
+pattern has its texts encoded whole.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import types as T
 
 from .common import Memo, arrow_rows
 
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _GROUP = 8  # bits of a rank that index within one word of the lower bitmap
 _MASK = (1 << _GROUP) - 1
 
@@ -141,7 +144,7 @@ class _Digests:
 
 @lru_cache(maxsize=2)
 def _worker_memo(path: str, pattern: str) -> Memo:
-    return Memo(_Digests(BytePairCodec.load(path, pattern)))
+    return Memo(_Digests(BytePairCodec.load(path, pattern)), whole_if=lambda t: pattern != SPACED)
 
 
 class _Ids:
@@ -168,7 +171,7 @@ class _Ids:
 
 @lru_cache(maxsize=2)
 def _worker_ids(path: str, pattern: str) -> Memo:
-    return Memo(_Ids(BytePairCodec.load(path, pattern), 1 << 18), limit=1 << 18)
+    return Memo(_Ids(BytePairCodec.load(path, pattern), 1 << 16), limit=1 << 16, whole_if=lambda t: pattern != SPACED)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:

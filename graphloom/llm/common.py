@@ -13,10 +13,12 @@ _own_dir: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one if it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one if it is unset and Spark runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="loom-work-"))
     return f"file://{_own_dir[0]}"
@@ -47,28 +49,32 @@ class Written:
                 hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-#: A space between two white-space characters: only there can a token run across a space.
-_INNER_SPACE = re.compile(r"\s \s")
+#: A space behind white space, and before white space or the end: only there can a token run across a space.
+_INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 
 
 def space_pieces(text: str) -> list[str] | None:
     """The text cut before each space (the space left out), if no token of the usual
-    byte-level pre-tokenisation can run across those places; else None."""
+    byte-level pre-tokenisation (words with one space before them, runs of white space)
+    can run across those places; else None."""
     if _INNER_SPACE.search(text):
         return None
     return text.split(" ")
 
 
 class Memo:
-    """A bounded map from short pieces to their encoding: what it holds never changes a result."""
+    """A bounded map from short pieces to their encoding: what it holds never changes a result.
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 1 << 19, longest: int = 64):
-        self.encode, self.limit, self.longest = encode, limit, longest
+    ``whole_if`` says of which texts no piece can be encoded on its own.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list], limit: int = 1 << 19, longest: int = 64, whole_if: Callable[[str], bool] = lambda t: False):
+        self.encode, self.limit, self.longest, self.whole_if = encode, limit, longest, whole_if
         self.first: dict[str, object] = {}
         self.later: dict[str, object] = {}
 
     def whole(self, text: str) -> list:
-        pieces = space_pieces(text)
+        pieces = None if self.whole_if(text) else space_pieces(text)
         if pieces is None:
             return self.encode([text])
         got = list(map(self.later.get, pieces))
@@ -89,7 +95,9 @@ class Memo:
         return got
 
 
-def arrow_rows(batches: Iterator, *columns: str) -> Iterator[list[tuple]]:
-    """For each Arrow batch its rows, as tuples of Python values."""
+def arrow_rows(batches: Iterator, *columns: str, most: int = 500) -> Iterator[list[tuple]]:
+    """The rows of Arrow batches as tuples of Python values, at most so many at a time."""
     for batch in batches:
-        yield list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True))
+        for at in range(0, batch.num_rows, most):
+            part = batch.slice(at, most)
+            yield list(zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True))

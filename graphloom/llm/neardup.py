@@ -5,8 +5,9 @@ A document's set of word shingles is turned into ``TOKENS`` minwise tokens.  Eac
 documents that agree on ``DEPTH`` tokens; a pair at 0.8 meets in a tree with a chance
 of 0.51 and in none with (1 - 0.8 ** 3) ** 25 = 2e-8.  In every node all members are
 compared with a few of them, its pivots.  Nodes of at most ``SMALL`` sets are then
-compared exhaustively; larger ones that hold more than one component branch on, each
-on two positions that a hash of the node chooses.  Two are more than the 1 / 0.8 that
+compared exhaustively, a pair in the first of them where it meets; larger ones that
+hold more than one component branch on, each on two positions that a hash of the node
+chooses.  Two are more than the 1 / 0.8 that
 keep one path of a pair at 0.8 on average, so paths multiply on the way down instead
 of dying out: at most 8e-8 of such pairs lose all of them after any number of
 descents.  What is large after ``ROUNDS`` descents is compared exhaustively as well,
@@ -158,13 +159,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def _first_nodes(sets: DataFrame) -> DataFrame:
-    """(node, rep): the nodes of all trees at their full depth, each position used once."""
+    """(tree, node, rep, n): the nodes of all trees at their full depth, each position used once."""
     keys = [F.xxhash64(F.lit(i), *(F.get("tokens", F.lit(DEPTH * i + d)) for d in range(DEPTH))) for i in range(TREES)]
-    return sets.select(F.explode(F.array(*keys)).alias("node"), "rep")
+    return sets.select(F.posexplode(F.array(*keys)).alias("tree", "node"), "rep", "n")
 
 
 def _lower_nodes(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, rep): the documents of inner nodes in the children at both positions of each."""
+    """(tree, node, rep, n): the documents of inner nodes in the children at both positions of each; tree is null there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,18 +178,20 @@ def _lower_nodes(members: DataFrame, sets: DataFrame) -> DataFrame:
                 one = (h % np.uint64(TOKENS)).astype(np.int64)
                 two = (one + 1 + (h >> np.uint64(8)).astype(np.int64) % (TOKENS - 1)) % TOKENS
                 nodes = [_mix(node + np.uint64(0x632BE59BD9B4E019) * (pos.astype(np.uint64) + np.uint64(1)) ^ _mix(toks[row, pos])) for pos in (one, two)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), part.column(1).take(pa.array(np.concatenate((row, row))))], names=["node", "rep"])
+                both = pa.array(np.concatenate((row, row)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), part.column(1).take(both), part.column(3).take(both)], names=["node", "rep", "n"])
 
-    return members.select("node", "rep").join(sets.select("rep", "tokens"), "rep").select("node", "rep", "tokens").mapInArrow(run, "node long, rep long")
+    full = members.select("node", "rep", "n").join(sets.select("rep", "tokens"), "rep").select("node", "rep", "tokens", "n")
+    return full.mapInArrow(run, "node long, rep long, n long").select(F.lit(None).cast("int").alias("tree"), "node", "rep", "n")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """node, rep, size of the nodes that hold two sets at least."""
+    """tree, node, rep, n, size of the nodes that hold two sets at least."""
     return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node")
 
 
 def _with_pivots(rows: DataFrame) -> DataFrame:
-    """node, rep, size, pivots of the nodes that hold two sets at least.
+    """tree, node, rep, n, size, pivots of the nodes that hold two sets at least.
 
     A pivot is the member that comes first in one of PIVOTS orders of all doc_ids.
     """
@@ -229,11 +232,40 @@ def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame
     return joined.filter(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _within(small: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in each node of bounded size."""
-    listed = small.groupBy("node").agg(F.collect_list(F.struct("rep", "component")).alias("all"))
-    two = listed.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: (y.rep > F.col("x.rep")) & (y.component != F.col("x.component")))).alias("y"))
-    return two.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+def _open(tree: int | None, n: np.ndarray, label: np.ndarray, tok: np.ndarray, small: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of a node's members may link, are apart, and meet in no small node of the first level before this one."""
+    open_ = (label[:, None] != label[None, :]) & (100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :]))
+    if open_.any():
+        same = tok[:, None, :] == tok[None, :, :]
+        open_ &= same.sum(2) >= _least(percent)
+        met = same.reshape(len(n), len(n), TREES, DEPTH).all(3)
+        before = (small[:, None] >> np.arange(TREES) & 1).astype(bool)
+        before[:, TREES if tree is None else tree :] = False
+        open_ &= ~(met & before[:, None, :]).any(2)
+    return open_
+
+
+def _undecided(small: DataFrame, sets: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """(node, rep, n, component) of the members of nodes of bounded size that full sets must be compared for.
+
+    ``first(rep, small)`` says in which trees a set is in a node that is compared at the first level.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, ...]] = []
+            for tree, node, members in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True):
+                rows = members.values
+                rep, label, n, mask = (rows.field(c).to_numpy() for c in ("rep", "component", "n", "small"))
+                tok = rows.field("tokens").flatten().to_numpy().reshape(len(rep), TOKENS)
+                keep = np.flatnonzero(_open(tree, n, label, tok, mask, percent).any(1))
+                found += [(node, int(rep[x]), int(n[x]), int(label[x])) for x in keep]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in range(4)], names=["node", "rep", "n", "component"])
+
+    known = sets.select("rep", "tokens").join(first, "rep", "left").withColumn("small", F.coalesce("small", F.lit(0)))
+    full = small.select("tree", "node", "rep", "n", "component").join(known, "rep")
+    listed = full.groupBy("node").agg(F.first("tree").alias("tree"), F.collect_list(F.struct("rep", "component", "n", "small", "tokens")).alias("all"))
+    return listed.select("tree", "node", "all").mapInArrow(run, "node long, rep long, n long, component long")
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -302,26 +334,24 @@ def _linked_in_blocks(members: DataFrame, shingles: DataFrame, percent: int) ->
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rep, label, left = (table.column(c).to_numpy(zero_copy_only=False).copy() for c in ("rep", "component", "left"))
+        rep, label, left, right = (table.column(c).to_numpy(zero_copy_only=False).copy() for c in ("rep", "component", "left", "right"))
         lists = table.column("shingles").chunk(0)
         flat, at = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
         sets = [flat[x:y] for x, y in zip(at, at[1:], strict=False)]
-        found = links_between(sets, label, np.flatnonzero(left), np.flatnonzero(~left), percent)
+        found = links_between(sets, label, np.flatnonzero(left), np.flatnonzero(right), percent)
         return pa.table({"u": pa.array([int(rep[u]) for u, _ in found], pa.int64()), "v": pa.array([int(rep[v]) for _, v in found], pa.int64())})
 
-    lengths = shingles.select(F.col("doc_id").alias("rep"), F.size("shingles").alias("n"))
-    counts = members.join(lengths, "rep").groupBy("node", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
-    top = F.max(F.struct("sets", "component"))["component"]
-    nodes = counts.groupBy("node").agg(top.alias("top"), F.sum("sets").alias("sets"), F.sum("n").alias("n"))
-    rest = counts.join(nodes.select("node", "top"), "node").filter("component <> top").groupBy("node").agg(F.sum("sets").alias("rest_sets"), F.sum("n").alias("rest_n"))
-    blocks = lambda sets, n: F.ceil(F.greatest(F.col(sets) / BLOCK, F.col(n) / BLOCK_SHINGLES)).cast("int")
-    plan = nodes.join(rest, "node").select("node", "top", blocks("sets", "n").alias("all_blocks"), blocks("rest_sets", "rest_n").alias("rest_blocks"))
-    dealt = members.select("node", "rep", "component").join(plan, "node")
+    counts = members.groupBy("node", "component").agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+    nodes = counts.groupBy("node").agg(F.max(F.struct("sets", "component", "n")).alias("top"), F.sum("sets").alias("sets"), F.sum("n").alias("n"))
+    blocks = lambda sets, n: F.ceil(F.greatest(sets / BLOCK, n / BLOCK_SHINGLES)).cast("int")
+    plan = nodes.select("node", F.col("top.component").alias("top"), blocks(F.col("sets"), F.col("n")).alias("all_blocks"), blocks(F.col("sets") - F.col("top.sets"), F.col("n") - F.col("top.n")).alias("rest_blocks")).filter("rest_blocks > 0")
     block = lambda of: F.expr(f"cast(pmod(xxhash64(17, rep), {of}) as int)")
-    right = dealt.select("node", block("all_blocks").alias("j"), F.explode(F.expr("sequence(0, rest_blocks - 1)")).alias("i"), F.lit(False).alias("left"), "rep", "component")
-    left = dealt.filter("component <> top").select("node", F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"), block("rest_blocks").alias("i"), F.lit(True).alias("left"), "rep", "component")
-    tiles = right.unionByName(left)
-    full = tiles.join(shingles.withColumnRenamed("doc_id", "rep"), "rep").select("node", "i", "j", "left", "rep", "component", "shingles")
+    dealt = members.select("node", "rep", "component").join(plan, "node").withColumns({"is_rest": F.col("component") != F.col("top"), "bi": block("rest_blocks"), "bj": block("all_blocks")})
+    across = dealt.select("node", F.explode(F.expr("sequence(0, rest_blocks - 1)")).alias("i"), F.col("bj").alias("j"), "is_rest", "bi", "rep", "component")
+    across = across.select("node", "i", "j", (F.col("is_rest") & (F.col("bi") == F.col("i"))).alias("left"), F.lit(True).alias("right"), "rep", "component")
+    down = dealt.filter("is_rest and all_blocks > 1").select("node", F.col("bi").alias("i"), F.explode(F.expr("filter(sequence(0, all_blocks - 1), j -> j <> bj)")).alias("j"), F.lit(True).alias("left"), F.lit(False).alias("right"), "rep", "component")
+    tiles = across.unionByName(down)
+    full = tiles.join(shingles.withColumnRenamed("doc_id", "rep"), "rep").select("node", "i", "j", "left", "right", "rep", "component", "shingles")
     return full.groupBy("node", "i", "j").applyInArrow(run, "u long, v long")
 
 
@@ -334,7 +364,7 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The members, with their components so far, of nodes that hold more than one."""
-    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", "size", F.coalesce("component", "rep").alias("component"))
+    placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("tree", "node", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
     nodes = placed.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
     return placed.join(nodes, "node")
 
@@ -364,6 +394,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     written.append(links)
     comp = out.table(connected_components(links, out.table, out.drop), "components")
     more = _apart(pairs.join(best, ["a", "b"], "left_anti"), comp)
+    first = None
     for descents in range(ROUNDS + 1):
         active = out.table(_mixed(members, comp), "active")
         out.drop(members)
@@ -371,16 +402,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
         small, large = active.filter(F.col("size") <= SMALL), active.filter(F.col("size") > SMALL)
         last = descents == ROUNDS
-        fresh = out.table(_agreeing(_within(small).distinct(), sets, percent).select("a", "b").union(more.select("a", "b")), "pairs")
-        more = spark.createDataFrame([], "a long, b long")
-        wanted = ends(fresh).union(large.select("rep").distinct()) if last else ends(fresh)
-        wanted = wanted.distinct().join(shingles.select("doc_id"), "doc_id", "left_anti")
+        if first is None:
+            first = out.table(small.groupBy("rep").agg(F.expr("bit_or(shiftleft(1, tree))").alias("small")), "first")
+        undecided = out.table(_undecided(small, sets, first, percent).union(large.filter(F.lit(last)).select("node", "rep", "n", "component")), "undecided")
+        wanted = undecided.select(F.col("rep").alias("doc_id")).union(ends(more)).distinct().join(shingles.select("doc_id"), "doc_id", "left_anti")
         if wanted.first() is not None:
             written.append(out.table(full_sets(docs, wanted, k), "shingles"))
             shingles = shingles.union(written[-1])
-        found = _confirmed(fresh.distinct(), shingles, percent)
-        found = out.table(found.union(_linked_in_blocks(large, shingles, percent)) if last else found, "links")
-        written += [fresh, found]
+        found = out.table(_linked_in_blocks(undecided, shingles, percent).union(_confirmed(more, shingles, percent)), "links")
+        more = spark.createDataFrame([], "a long, b long")
+        written += [undecided, found]
         if found.first() is not None:
             links = links.union(found)
             comp = out.table(connected_components(links, out.table, out.drop), "components")
@@ -388,6 +419,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
         members = out.table(_sized(_lower_nodes(large, sets)), "nodes")
         out.drop(active)
+    written.append(first)
 
     for t in written:
         out.drop(t)

@@ -112,7 +112,7 @@ def test_paths_of_a_pair_survive_all_descents(spark):
         same = rng.permutation(neardup.TOKENS)[:60]
         y[same] = x[same]
         rows += [(2 * i, x.tolist()), (2 * i + 1, y.tolist())]
-    sets = spark.createDataFrame(rows, "rep long, tokens array<int>")
+    sets = spark.createDataFrame(rows, "rep long, tokens array<int>").selectExpr("*", "100L as n")
     nodes = neardup._first_nodes(sets)
     for _ in range(neardup.ROUNDS):
         nodes = neardup._lower_nodes(nodes, sets)
@@ -131,6 +131,27 @@ def test_blocks_of_a_large_node(spark, monkeypatch):
         if i % 3 == 0:
             rows.append((100 + i, sorted([*common.tolist(), *own[:12].tolist(), *rng.integers(1, 1 << 62, 18).tolist()])))
     shingles = spark.createDataFrame(rows, "doc_id long, shingles array<long>")
-    members = shingles.selectExpr("7L as node", "doc_id as rep", "doc_id as component")
+    members = shingles.selectExpr("7L as node", "doc_id as rep", "cast(size(shingles) as long) as n", "doc_id as component")
     found = {tuple(sorted(r)) for r in neardup._linked_in_blocks(members, shingles, 80).collect()}
     assert found == {(i, 100 + i) for i in range(0, 90, 3)}
+
+
+def test_recall_in_a_group_of_near_copies(spark):
+    # Any two share about 0.7 of their shingles; every tenth has a partner just above 0.8. The constants are the production ones.
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base, rows, planted = [word() for _ in range(300)], [], []
+    for i in range(700):
+        copy = list(base)
+        for at in rng.sample(range(300), 13):
+            copy[at] = word()
+        rows.append((i, " ".join(copy)))
+        if i % 10 == 0:
+            for at in rng.sample(range(300), 7):
+                copy[at] = word()
+            rows.append((10_000 + i, " ".join(copy)))
+            planted.append((i, 10_000 + i))
+    sets = {d: plain_set(t, 4) for d, t in rows}
+    linked = [(a, b) for a, b in planted if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    got = {r[0]: r[2] for r in run(spark, rows, 4)}
+    assert len(linked) > 50 and sum(got[a] == got[b] for a, b in linked) >= 0.99 * len(linked)

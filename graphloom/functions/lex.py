@@ -266,11 +266,123 @@ def dispatched_requests(source: str) -> list[str]:
     return list(dict.fromkeys(ts[i + 1].text for i in range(len(ts) - 1) if ts[i].text == "new" and re.search(r"(Query|Command)\Z", ts[i + 1].text)))
 
 
+def any_types(source: str) -> list[tuple[str, int]]:
+    """(how it is written, position) of each any that stands for a type."""
+    ts, out = tokens(source, "typescript"), []
+    for i, t in enumerate(ts):
+        if t.text != "any" or t.kind != "i" or not i:
+            continue
+        before, after = ts[i - 1], ts[i + 1].text if i + 1 < len(ts) else ""
+        if before.text == "as":
+            out.append(("as any", t.at))
+        elif before.text == "<" and i > 1 and ts[i - 2].text == "Array":
+            out.append(("Array<any>", t.at))
+        elif before.text == "<" and after == ">" and (i < 2 or ts[i - 2].kind == "p"):
+            out.append(("<any>", t.at))
+        elif before.text in (":", "<", "|", "&", ",", "[") and after not in (":", "(", "."):
+            out.append((": any", t.at)) if before.text != "," and before.text != "[" or after in (">", "]") else None
+    return out
+
+
+def route_shape(source: str) -> list[tuple[str, int]]:
+    """(what, last position) of things that a route file should leave to others."""
+    ts, out = tokens(source, "typescript"), {}
+    for i, t in enumerate(ts):
+        after = ts[i + 1].text if i + 1 < len(ts) else ""
+        if t.kind == "i" and t.text == "lazy" and after == "(":
+            out["lazy()"] = t.at
+        elif t.kind == "i" and t.text in ("Suspense", "RequirePermission", "AccessDenied"):
+            out[t.text] = t.at
+        elif t.text == "React" and after == "." and i + 2 < len(ts) and ts[i + 2].text == "ComponentType":
+            out["React.ComponentType"] = t.at
+        elif after == ":" and (t.text == "permission" or t.kind == "s" and literal(t) == "permission") and i and ts[i - 1].text in ("{", ","):
+            out["permission in route config"] = t.at
+    return list(out.items())
+
+
+def thick_controller(source: str) -> list[tuple[str, int]]:
+    """(what, last position) of things that a controller should leave to handlers."""
+    ts, out = tokens(source, "csharp"), {}
+    for i, t in enumerate(ts):
+        after = ts[i + 1].text if i + 1 < len(ts) else ""
+        if t.kind != "i":
+            continue
+        if t.text in ("_dbContext", "DbContext") or t.text == "Set" and after == "<":
+            out["direct persistence access"] = t.at
+        elif t.text == "SaveChangesAsync" and after == "(":
+            out["direct save changes"] = t.at
+        elif t.text in ("for", "foreach", "while") and after == "(":
+            out["loop in controller action"] = t.at
+        elif t.text == "if" and after == "(":
+            end = closing(ts, i + 1) + 1
+            end = closing(ts, end) if end < len(ts) and ts[end].text == "{" else next((j for j in range(end, len(ts)) if ts[j].text == ";"), len(ts))
+            if sum(x.text == "await" for x in ts[i:end]) >= 2:
+                out["branch with multiple awaits"] = t.at
+    return list(out.items())
+
+
+def constructor_dependencies(source: str) -> list[str]:
+    """Type names of the parameters of constructors, primary ones included; of a generic type its name."""
+    ts, out, owners = tokens(source, "csharp"), {}, set()
+    for i, t in enumerate(ts[:-1]):
+        if t.kind == "i" and t.text in ("class", "record", "struct") and ts[i + 1].kind == "i":
+            owners.add(ts[i + 1].text)
+    for i, t in enumerate(ts[:-1]):
+        if t.kind != "i" or t.text not in owners or ts[i + 1].text != "(" or not i or ts[i - 1].text in ("new", ".", "record"):
+            continue
+        end = closing(ts, i + 1)
+        if ts[i - 1].text in ("class", "struct") or ts[i - 1].text in ("public", "internal", "protected", "private"):
+            for part in _parameters(ts[i + 2 : end]):
+                names = [x for x in part if x.kind == "i" and x.text not in ("this", "in", "ref", "out", "params")]
+                if len(names) >= 2:
+                    out[names[0].text] = None
+    return list(out)
+
+
+def _parameters(ts: list[Token]) -> list[list[Token]]:
+    """Parameters, cut at commas outside of brackets of all kinds."""
+    out: list[list[Token]] = [[]]
+    depth = 0
+    for t in ts:
+        depth += (t.text in ("(", "[", "{", "<")) - (t.text in (")", "]", "}", ">"))
+        if t.text == "," and depth == 0:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return [x for x in out if x]
+
+
+def property_types(source: str) -> list[tuple[str, str]]:
+    """(owner, type name) of public properties: every type that a property's declaration names."""
+    ts, out, owner = tokens(source, "csharp"), [], None
+    for i, t in enumerate(ts):
+        if t.kind == "i" and t.text in ("class", "record") and i + 1 < len(ts):
+            owner = ts[i + 1].text
+        elif t.text == "public" and owner:
+            j = i + 1
+            while j < len(ts) and ts[j].text not in ("{", "(", ";", "=", "class", "record"):
+                j += 1
+            if j + 1 < len(ts) and ts[j].text == "{" and ts[j + 1].text in ("get", "init", "set"):
+                out += [(owner, x.text) for x in ts[i + 1 : j - 1] if x.kind == "i"]
+    return out
+
+
+def configured_entity(source: str) -> str | None:
+    """T of IEntityTypeConfiguration<T>."""
+    ts = tokens(source, "csharp")
+    return next((ts[i + 2].text for i in range(len(ts) - 2) if ts[i].text == "IEntityTypeConfiguration" and ts[i + 1].text == "<"), None)
+
+
 def facts_of(path: str, content: str) -> Iterator[tuple[str, str | None, str | None]]:
     """(fact, name, value) of one file, by its extension."""
     if re.search(r"\.[mc]?[jt]sx?\Z", path):
-        for specifier, kind, _ in module_references(content):
-            yield f"import:{kind}", specifier, None
+        line = lambda at: str(content.count("\n", 0, at) + 1)
+        for specifier, kind, at in module_references(content):
+            yield f"import:{kind}", specifier, line(at)
+        for evidence, at in any_types(content):
+            yield "any", evidence, line(at)
+        for evidence, at in route_shape(content):
+            yield "route-shape", evidence, line(at)
         for e in frontend_endpoints(content):
             yield "endpoint", e.url, e.method
         if n := test_cases(content):
@@ -283,7 +395,13 @@ def facts_of(path: str, content: str) -> Iterator[tuple[str, str | None, str | N
         for entity, name in db_sets(content):
             yield "db-set", entity, name
         if (name := table_name(content)) is not None:
-            yield "table", name, None
+            yield "table", name, configured_entity(content)
+        for name in constructor_dependencies(content):
+            yield "injects", name, None
+        for owner, name in property_types(content):
+            yield "property", name, owner
+        for evidence, at in thick_controller(content):
+            yield "thick-controller", evidence, str(content.count("\n", 0, at) + 1)
         for name in dispatched_requests(content):
             yield "sends", name, None
 

@@ -21,15 +21,21 @@ def display_label(path: Column) -> Column:
 
 
 def normalize_endpoint(raw: Column) -> Column:
-    """An /api path with single slashes, none at the end and no query; null for anything else."""
-    path = F.regexp_replace(F.regexp_replace(raw, r"[?#].*\z", ""), "/+", "/")
-    path = F.concat(F.lit("/"), F.regexp_replace(path, r"\A/|/\z", ""))
-    return F.when(path.rlike(r"\A/api(/|\z)"), path)
+    """A path that begins with /api: one /api where two stand first, single slashes, none at the end, a
+    version parameter as v1; null for anything else.  A query stays."""
+    path = F.regexp_replace(F.regexp_replace(raw, r"\A/api/api/", "/api/"), "/+", "/")
+    path = F.replace(F.regexp_replace(path, r"/\z", ""), F.lit("/v{version:apiVersion}"), F.lit("/v1"))
+    return F.when(raw.startswith("/api"), path)
 
 
 def endpoint_id(url: Column, method: Column) -> Column:
-    """endpoint:METHOD url, every parameter segment written as {}."""
-    return F.concat(F.lit("endpoint:"), F.upper(method), F.lit(" "), F.regexp_replace(F.regexp_replace(url, r"\{[^}/]*\}", "{}"), r":[A-Za-z_]\w*", "{}"))
+    """endpoint:METHOD url, every parameter ({x}, or :x up to the next slash) written as {}."""
+    return F.concat(F.lit("endpoint:"), F.upper(method), F.lit(" "), F.regexp_replace(F.regexp_replace(url, r"\{[^}]+\}", "{}"), ":[^/]+", "{}"))
+
+
+def clean_url(url: Column) -> Column:
+    """What two urls share that are the same endpoint: parameters of any form are one, case counts."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"\$?\{[^}]+\}", "{}"), "/:[^/]+", "/{}"), r"/+\z", "")
 
 
 def rest_method(name: Column) -> Column:
@@ -44,6 +50,29 @@ def clamp(c: Column, low: int = 1, high: int = 10) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 
 
+def title_case(c: Column) -> Column:
+    """Words parted by hyphens, underscores or spaces, each with its first letter in upper case."""
+    words = F.filter(F.split(c, r"[-_\s]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+
+
+def truncated(c: Column, most: int) -> Column:
+    """At most ``most`` characters, the last of them an ellipsis where something is left out."""
+    return F.when(F.length(c) > most, F.concat(F.rtrim(F.substring(c, 1, most - 1)), F.lit("…"))).otherwise(c)
+
+
+def slug(c: Column) -> Column:
+    """Lower-case letters and digits of any script, all else as single hyphens, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "-"), r"\A-|-\z", "")
+
+
+def html_escaped(c: Column) -> Column:
+    out = F.replace(c, F.lit("&"), F.lit("&amp;"))
+    for sign, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
 def health_key(score: Column) -> Column:
     levels = [(9.5, "excellent"), (8.5, "very-good"), (7.5, "good"), (6.5, "fair"), (5.0, "low")]
     out = F.when(score.isNull(), F.lit(None).cast("string"))

@@ -10,22 +10,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.work import cut
+from ..sources.work import cut, drop
 
 ROW = 76
 
 
-def levels(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, level): longest way within the node's own module and layer, cut off after ``rounds`` (cycles)."""
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, level): edges of the longest way to a node within its own module and layer.
+
+    Edges into a component of nodes that reach each other in a circle count, those
+    within it do not (its members share a level), so every chain counts in full and
+    no circle is endless.  Each round carries on only the nodes whose level rose.
+    """
     where = lambda c: nodes.select(F.col("id").alias(c), F.struct("module", "layer").alias(f"g_{c}"))
     own = cut(edges.select("src", "dst").join(where("src"), "src").join(where("dst"), "dst").filter("g_src = g_dst and src <> dst").select("src", "dst").distinct())
-    now = cut(nodes.select("id", F.lit(0).alias("level")))
-    for r in range(1, rounds + 1):
-        pushed = own.join(now.filter(F.col("level") == r - 1).select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        if pushed.first() is None:
+    ring = cut(_rings(own))
+    named = lambda c: ring.select(F.col("id").alias(c), F.col("ring").alias(f"r_{c}"))
+    joined = own.join(named("src"), "src", "left").join(named("dst"), "dst", "left")
+    between = cut(joined.select(F.coalesce("r_src", "src").alias("a"), F.coalesce("r_dst", "dst").alias("b")).filter("a <> b").distinct())
+    fell = cut(between.select(F.col("a").alias("id")).union(between.select("b")).distinct().withColumn("level", F.lit(0)))
+    known = fell
+    while True:
+        pushed = fell.select(F.col("id").alias("a"), "level").join(between, "a").groupBy(F.col("b").alias("id")).agg((F.max("level") + 1).alias("level"))
+        rose = cut(pushed.join(known.select("id", F.col("level").alias("had")), "id").filter("level > had").select("id", "level"))
+        if rose.first() is None:
             break
-        now = cut(now.join(pushed.withColumn("hit", F.lit(True)), "id", "left").select("id", F.when(F.col("hit"), F.lit(r)).otherwise(F.col("level")).alias("level")))
-    return now
+        before, known, fell = known, cut(known.join(rose.select("id"), "id", "left_anti").union(rose)), rose
+        drop(before)
+    out = nodes.select("id").join(ring, "id", "left").select("id", F.coalesce("ring", "id").alias("place"))
+    return out.join(known.withColumnRenamed("id", "place"), "place", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+def _rings(edges: DataFrame) -> DataFrame:
+    """(id, ring) of the nodes on circles: ring is the smallest id that a node reaches and is reached from.
+
+    Nodes without an edge in or out of what is left cannot be on a circle and are
+    peeled off first; what remains is coloured forwards and backwards until no
+    colour falls, and nodes whose two colours agree with a root's form its ring.
+    """
+    left, n = edges, -1
+    while n != (n := left.count()) and n:
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+    out = None
+    while left.first() is not None:
+        colour = _lowest_reaching(left)
+        # A ring of the root of a colour: what leads back to the root within the colour.
+        same = left.join(colour.withColumnRenamed("id", "src").withColumnRenamed("low", "c_src"), "src").join(colour.withColumnRenamed("id", "dst").withColumnRenamed("low", "c_dst"), "dst").filter("c_src = c_dst")
+        same = cut(same.select("src", "dst", F.col("c_src").alias("root")))
+        back = cut(colour.filter("id = low").select("id", F.col("low").alias("ring")))
+        fresh = back
+        while True:
+            more = same.join(fresh.select(F.col("id").alias("dst"), F.col("ring").alias("root")), ["dst", "root"]).select(F.col("src").alias("id"), F.col("root").alias("ring")).distinct()
+            fresh = cut(more.join(back.select("id"), "id", "left_anti"))
+            if fresh.first() is None:
+                break
+            back = cut(back.union(fresh))
+        rings = cut(back.join(back.groupBy("ring").count().filter("count > 1").select("ring"), "ring", "left_semi").select("id", "ring"))
+        out = rings if out is None else out.union(rings)
+        done = back.select("id")
+        left = cut(left.join(done.withColumnRenamed("id", "src"), "src", "left_anti").join(done.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    return out if out is not None else edges.select(F.col("src").alias("id"), F.col("dst").alias("ring")).limit(0)
+
+
+def _lowest_reaching(edges: DataFrame) -> DataFrame:
+    """(id, low): the smallest id from which a node can be reached, itself included."""
+    now = cut(edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct().withColumn("low", F.col("id")))
+    fell = now
+    while True:
+        offered = fell.select(F.col("id").alias("src"), "low").join(edges.select("src", "dst"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("low").alias("low"))
+        fell = cut(offered.join(now.select("id", F.col("low").alias("had")), "id").filter("low < had").select("id", "low"))
+        if fell.first() is None:
+            return now
+        now = cut(now.join(fell.select("id"), "id", "left_anti").union(fell))
 
 
 def rows(nodes: DataFrame) -> DataFrame:

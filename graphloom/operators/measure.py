@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clamp, round_half_up
 
+#: Node kinds that are scored, those that tests should cover, and relations between modules.
 SCORED = ["component", "main-component", "subcomponent", "page", "route", "hook", "service", "repository", "controller", "query", "command", "handler"]
 COVERABLE = ["route", "page", "main-component", "component", "subcomponent", "hook", "service", "repository", "store", "front-file"]
 MODULE_EDGES = ["imports", "lazy-imports", "calls-api", "sends", "handled-by", "depends-on"]
@@ -116,9 +117,13 @@ def module_stats(nodes: DataFrame, orphaned: DataFrame, covered: DataFrame, find
 
 
 def coverage_by_source(sources: DataFrame, tests: DataFrame) -> DataFrame:
-    """source, tests (sorted, distinct), n_cases from ``tests(test, source, cases)``, for sources that exist."""
-    known = tests.join(sources.select("source"), "source", "left_semi").dropDuplicates(["test", "source"])
-    return known.groupBy("source").agg(F.array_join(F.array_sort(F.collect_set("test")), ",").alias("tests"), F.sum("cases").alias("n_cases"))
+    """source, tests (sorted, distinct), n_cases from ``tests(test, source, cases)``, for sources that exist.
+
+    A test has one number of cases, the largest that is given for it, and counts once for each source.
+    """
+    cases = tests.groupBy("test").agg(F.max("cases").alias("cases"))
+    pairs = tests.select("test", "source").distinct().join(sources.select("source").distinct(), "source", "left_semi")
+    return pairs.join(cases, "test").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list("test")), ",").alias("tests"), F.sum("cases").alias("n_cases"))
 
 
 def unique_bindings(bindings: DataFrame) -> DataFrame:
@@ -133,12 +138,16 @@ def latest_revisions(revisions: DataFrame) -> DataFrame:
     return ranked.filter("rn = 1").drop("rn")
 
 
-def digest(lines: DataFrame, width: int = 2) -> DataFrame:
+def digest(lines: DataFrame, bucket: int = 1 << 16) -> DataFrame:
     """One row: SHA-256 over a set of lines, in two levels so that no task sorts them all.
 
-    Lines fall into 16 ** width buckets by their own hash; the digests of the
-    buckets, in order, are hashed again.
+    Lines fall into buckets by their own hash, 16 ** width of them with about
+    ``bucket`` lines each, where the width follows from the number of lines (2 at
+    least, 5 at most); the digests of the buckets, in order, are hashed again.
     """
+    n, width = lines.count(), 2
+    while 16**width * bucket < n and width < 5:
+        width += 1
     keyed = lines.select(F.substring(F.sha2("line", 256), 1, width).alias("b"), "line")
     buckets = keyed.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
     return buckets.agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x.b, F.lit(" "), x.d)), "\n"), 256)).alias("digest"))

@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import kebab, suppression_glob
+from ..functions.text import clean_url, kebab, suppression_glob
+from ..sources.work import cut
 
-#: The first fragment that a path contains decides.
+#: Fixed values, in the order that decides: the first fragment that a path contains.
 FRONT_FRAGMENTS = [
     ("/routes/", "route", "ui-route"), ("/pages/", "page", "ui-page"), ("/hooks/", "hook", "ui-component-logic"), ("/services/", "service", "front-service"), ("/repositories/", "repository", "front-repository"),
-    ("/config/", "config", "config"), ("/stores/", "auxiliary", "auxiliary"), ("/types/", "auxiliary", "auxiliary"), ("/utils/", "auxiliary", "auxiliary"), ("/lib/", "auxiliary", "auxiliary"), ("/schemas/", "config", "config"),
+    ("/config/", "config", "config"), ("/schemas/", "config", "config"), ("/stores/", "auxiliary", "auxiliary"), ("/types/", "auxiliary", "auxiliary"), ("/utils/", "auxiliary", "auxiliary"), ("/lib/", "auxiliary", "auxiliary"),
 ]
 BACK_FRAGMENTS = [
     ("/Controllers/", "controller", "api-controller"), ("/Queries/", "query", "application-request"), ("/Commands/", "command", "application-request"), ("/Handlers/", "handler", "application-handler"), ("/DTOs/", "dto", "hidden-dto"),
@@ -70,24 +71,36 @@ def distinct_endpoints(found: DataFrame) -> DataFrame:
 
 def link_endpoints(front: DataFrame, controllers: DataFrame) -> DataFrame:
     """src, dst of front endpoints and controllers' with the same url; ANY in front fits every method."""
-    clean = lambda c: F.lower(F.regexp_replace(F.regexp_replace(c, r"\{[^}/]*\}", "{}"), r"/\z", ""))
-    f = front.select(F.col("id").alias("src"), F.col("method").alias("m"), clean(F.col("url")).alias("key"))
-    c = controllers.select(F.col("id").alias("dst"), F.col("method").alias("cm"), clean(F.col("url")).alias("key"))
+    f = front.select(F.col("id").alias("src"), F.col("method").alias("m"), clean_url(F.col("url")).alias("key"))
+    c = controllers.select(F.col("id").alias("dst"), F.col("method").alias("cm"), clean_url(F.col("url")).alias("key"))
     return f.distinct().join(c.distinct(), "key").filter("(m = 'ANY' or m = cm) and src <> dst").select("src", "dst")
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]], endings: list[str]) -> DataFrame:
+def folded_path(path: Column) -> Column:
+    """The path with its . and .. segments carried out; .. at the top stays away."""
+    step = lambda acc, x: F.when((x == "") | (x == "."), acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list[tuple[str, str]], endings: list[str], extensions: tuple[str, ...] = (".ts", ".tsx", ".js", ".jsx")) -> DataFrame:
     """file, specifier, target, ord: relative and aliased specifiers to the first candidate file that exists.
 
-    ``imports(file, specifier)``; the first alias whose prefix fits counts.
+    ``imports(file, specifier)``.  A specifier that begins with a dot is relative to the
+    file's folder, whatever its . and .. segments; of those that begin with @ the first
+    alias counts whose prefix fits.  One that ends in a known extension has that one candidate, any
+    other one candidate for each of ``endings``.  Null files or specifiers resolve to nothing.
     """
-    folder = F.regexp_replace("file", r"/[^/]*\z", "")
-    base = F.when(F.col("specifier").startswith("./"), F.concat(folder, F.substring("specifier", 2, 10_000)))
-    base = base.when(F.col("specifier").startswith("../"), F.concat(F.regexp_replace(folder, r"/[^/]*\z", ""), F.substring("specifier", 3, 10_000)))
+    folder = F.when(F.contains("file", F.lit("/")), F.regexp_replace("file", r"/[^/]*\z", "/")).when(F.col("file").isNotNull(), "")
+    rest = lambda n: F.substring("specifier", F.lit(n + 1), F.length("specifier"))
+    base = F.when(F.col("specifier").startswith("."), F.concat(folder, "specifier"))
     for prefix, target in aliases:
-        base = base.when(F.col("specifier").startswith(prefix), F.concat(F.lit(target), F.substring("specifier", len(prefix) + 1, 10_000)))
-    tries = F.posexplode(F.array(*map(F.lit, endings))).alias("ord", "ending")
-    candidates = imports.select("file", "specifier", base.alias("base")).filter("base is not null").select("*", tries).select("file", "specifier", "ord", F.concat("base", "ending").alias("target"))
+        base = base.when(F.col("specifier").startswith("@") & F.col("specifier").startswith(prefix), F.concat(F.lit(target), rest(len(prefix))))
+    known = F.lit(False)
+    for e in extensions:
+        known = known | F.col("specifier").endswith(e)
+    tries = F.when(known, F.array(F.lit(""))).otherwise(F.array(*map(F.lit, endings)))
+    based = imports.select("file", "specifier", folded_path(base).alias("base"), tries.alias("tries")).filter("base is not null")
+    candidates = based.select("file", "specifier", "base", F.posexplode("tries").alias("ord", "ending")).select("file", "specifier", "ord", F.concat("base", "ending").alias("target"))
     found = candidates.join(files.select(F.col("path").alias("target")).distinct(), "target")
     return found.groupBy("file", "specifier").agg(F.min(F.struct("ord", "target")).alias("m")).select("file", "specifier", "m.target", "m.ord")
 
@@ -100,24 +113,63 @@ def ranked_lookup(wanted: DataFrame, declared: DataFrame) -> DataFrame:
     return best.select("source", "name", F.col("b.path").alias("target"), (F.col("n") > 1).alias("ambiguous"))
 
 
+def tiered_lookup(wanted: DataFrame, declared: DataFrame, is_test) -> DataFrame:
+    """For (source, name, module) the best of ``declared(path, module, name, tier)``: the lowest tier, then the same
+    module, then no test, then the first path; ambiguous if the best tier holds several."""
+    d = declared.select("name", "tier", F.col("module").alias("d_module"), "path")
+    order = F.struct("tier", (F.col("d_module") != F.col("module")).cast("int").alias("far"), is_test(F.col("path")).cast("int").alias("test"), "path")
+    joined = wanted.join(d, "name")
+    best = joined.groupBy("source", "name").agg(F.min(order).alias("b"), *(F.count_if(F.col("tier") == t).alias(f"n{t}") for t in (0, 1)))
+    return best.select("source", "name", F.col("b.path").alias("target"), (F.when(F.col("b.tier") == 0, F.col("n0")).otherwise(F.col("n1")) > 1).alias("ambiguous"))
+
+
+def numbered(findings: DataFrame) -> DataFrame:
+    """Adds id: rule, node, line and the finding's number in the order of rule, path, line and evidence.
+
+    Findings are dealt into ranges of that order; numbers run within a range and are
+    offset by the sizes of the ranges before it, so no task holds more than a range.
+    """
+    order = [F.col("rule_id"), F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(0)), F.col("evidence")]
+    ranged = cut(findings.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    first = sizes.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
+    place = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1
+    full = ranged.withColumn("__place", place).join(F.broadcast(first), "__range")
+    return full.select(F.concat_ws(":", "rule_id", "node_id", F.coalesce("line", F.lit(0)).cast("string"), (F.col("__first") + F.col("__place")).cast("string")).alias("id"), *findings.columns)
+
+
 def runtime_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """Manual edges between nodes named by id, logical id or path; links with a missing end are left out."""
     names = nodes.select(F.col("id").alias("name"), "id").union(nodes.filter("path is not null").select(F.concat(F.lit("file:"), "path"), "id")).union(nodes.filter("path is not null").select("path", "id"))
     names = names.groupBy("name").agg(F.min("id").alias("id"))
-    plain = lambda c: F.regexp_replace(c, r"\\\\", "/")
+    plain = lambda c: F.replace(c, F.lit("\\"), F.lit("/"))
     end = lambda c: names.select(F.col("name").alias(c), F.col("id").alias(f"{c}_id"))
     joined = links.select(plain(F.col("from")).alias("f"), plain(F.col("to")).alias("t"), F.coalesce("type", F.lit("runtime-link")).alias("type"), F.coalesce("confidence", F.lit("manual")).alias("confidence"))
     joined = joined.join(end("f"), "f").join(end("t"), "t").filter("f_id <> t_id")
     return joined.select(F.concat_ws("::", "f_id", "type", "t_id").alias("id"), F.col("f_id").alias("src"), F.col("t_id").alias("dst"), "type", "confidence").dropDuplicates(["id"])
 
 
-def suppressed(findings: DataFrame, suppressions: list[dict[str, str]]) -> DataFrame:
-    """Adds suppressed and reason: the first suppression whose rule (or *) and path glob fit; expiry dates are not looked at."""
-    reason = None
+def suppressed(findings: DataFrame, suppressions: list[dict[str, str]], today: str | None = None) -> DataFrame:
+    """Adds suppressed, reason and the suppression's own rule, path and expiry date.
+
+    Of each finding the first suppression counts whose rule, if it names one, is the
+    finding's and whose path glob, if it has one, fits the finding's path (none: empty).
+    Those without a reason count for nothing; with ``today`` (an ISO date) nor do those
+    that have run out.
+    """
+    fits, kinds = None, "reason string, suppression_rule string, suppression_path string, expires string"
     for s in suppressions:
-        hit = F.coalesce(F.col("path").rlike(suppression_glob(s["path"])), F.lit(False)) & (F.lit(s["rule"] == "*") | (F.col("rule_id") == s["rule"]))
-        reason = F.when(hit, s["reason"]) if reason is None else reason.when(hit, s["reason"])
-    return findings.withColumn("reason", reason if reason is not None else F.lit(None).cast("string")).withColumn("suppressed", F.col("reason").isNotNull())
+        if not s.get("reason") or today is not None and s.get("expires") is not None and s["expires"] < today:
+            continue
+        hit = F.lit(True)
+        if s.get("rule"):
+            hit = hit & (F.col("rule_id") == s["rule"])
+        if s.get("path"):
+            hit = hit & F.coalesce("path", F.lit("")).rlike(suppression_glob(s["path"]))
+        values = F.struct(*(F.lit(s.get(k)).cast("string").alias(c) for k, c in (("reason", "reason"), ("rule", "suppression_rule"), ("path", "suppression_path"), ("expires", "expires"))))
+        fits = F.when(hit, values) if fits is None else fits.when(hit, values)
+    out = findings.withColumn("__by", fits if fits is not None else F.lit(None).cast(f"struct<{kinds.replace(' ', ':').replace(',:', ',')}>"))
+    return out.select(*findings.columns, "__by.*").withColumn("suppressed", F.col("reason").isNotNull())
 
 
 def finding_order() -> list[Column]:

@@ -1,8 +1,8 @@
 """Bounded subgraphs: selectors, breadth-first hops, boundaries, access, differences.
 
-Hops are loops on the driver over distributed frontiers; each hop is one join of
-the frontier with the adjacency and one anti join with what is known, written
-before the next hop starts.
+Hops are loops on the driver over distributed frontiers.  The adjacency is written
+once, before the first hop; each hop joins the frontier with it and leaves out what
+is known, which is kept in few tables.
 """
 
 from __future__ import annotations
@@ -93,19 +93,26 @@ def hops(seeds: DataFrame, adjacent: DataFrame, max_depth: int, excluded: DataFr
 
     ``excluded`` nodes are never entered; ``blocked`` ones are entered but not left.
     """
-    known = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier = known
+    if max_depth <= 0:
+        return seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    near = adjacent.select("a", "b").filter("a <> b")
+    if blocked is not None:
+        near = near.join(blocked.select(F.col("id").alias("a")), "a", "left_anti")
+    if excluded is not None:
+        near = near.join(excluded.select(F.col("id").alias("b")), "b", "left_anti")
+    near = cut(near.distinct()) if max_depth > 1 else near
+    known = frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
+    parts = [known]
     for depth in range(1, max_depth + 1):
-        start = frontier.select(F.col("id").alias("a"))
-        if blocked is not None:
-            start = start.join(blocked.select(F.col("id").alias("a")), "a", "left_anti")
-        found = start.join(adjacent, "a").select(F.col("b").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
-        if excluded is not None:
-            found = found.join(excluded.select("id"), "id", "left_anti")
+        found = frontier.select(F.col("id").alias("a")).join(near, "a").select(F.col("b").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
         frontier = cut(found.withColumn("depth", F.lit(depth)))
         if frontier.first() is None:
             break
+        parts.append(frontier)
         known = known.union(frontier)
+        if len(parts) > 6:  # one table again, so that plans do not grow with the depth
+            known = cut(known)
+            parts = [known]
     return known
 
 
@@ -127,7 +134,7 @@ def create(nodes: DataFrame, edges: DataFrame, request: Request) -> Submap:
         raise SelectionConflict("a seed is excluded")
     forbidden = request.access["forbidden"].ids(nodes) if "forbidden" in request.access else None
     usable = allowed(edges, request.traversal)
-    reached = hops(seeds, adjacency(usable, request.traversal.direction), request.traversal.max_depth, excluded, forbidden)
+    reached = hops(seeds, adjacency(usable, request.traversal.direction), request.traversal.max_depth, excluded, forbidden).join(nodes.select("id"), "id", "left_semi")
     inside = nodes.join(reached.select("id"), "id", "left_semi")
     return Submap(inside, induced(usable, reached), boundaries(usable, nodes, reached, excluded), access(inside, request))
 

@@ -21,7 +21,7 @@ ORACLE_SQL: dict[str, str] = {}
 ENTRY_PATHS = ["front/geo/ASIA"]
 SUFFIXES = ["Program.cs"]
 FOLDER = "front/features/{module}/"
-SUPPRESSIONS = [{"rule": "size.large", "path": "back/repositories/Brand#1*/**", "reason": "legacy"}, {"rule": "*", "path": "back/**/STANDARD/*", "reason": "generated"}]
+SUPPRESSIONS = [{"rule": "size.large", "path": "back/repositories/Brand#1*/**", "reason": "legacy"}, {"path": "back/**/STANDARD/*", "reason": "generated", "expires": "2999-12-31"}, {"rule": "type.economy", "reason": "planned"}, {"rule": "size.large"}]
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -368,8 +368,9 @@ def selection_toggle(spark, sf_dir):
 
 # Traces
 
-_TRACE_SQL = f""", te AS (SELECT e.id, e.src, e.dst, e.type, e.confidence, a.type AS src_type, b.type AS dst_type FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE e.type IN ({", ".join(repr(x) for x in trace.TRACE_EDGES)})
-AND a.type <> 'controller' AND b.type <> 'controller' AND NOT (e.type = 'queries-table' AND a.type IN ('handler', 'service') AND e.src IN (SELECT src FROM e WHERE type = 'depends-on')))"""
+_TRACE_SQL = """, te AS (SELECT e.id, e.src, e.dst, e.type, e.confidence, a.type AS src_type, b.type AS dst_type FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst
+WHERE e.type IN ('imports', 'lazy-imports', 'calls-api', 'sends', 'handled-by', 'depends-on', 'uses-entity', 'queries-table', 'maps-to-table') AND a.type <> 'controller' AND b.type <> 'controller'
+AND NOT (a.type = 'data-context' AND (e.type = 'uses-entity' AND b.type = 'entity' OR e.type = 'queries-table' AND b.type = 'table')) AND NOT (e.type = 'queries-table' AND a.type IN ('handler', 'service') AND e.src IN (SELECT src FROM e WHERE type = 'depends-on')))"""
 
 
 @query(_TRACE_SQL + " SELECT * FROM te")
@@ -378,9 +379,11 @@ def trace_edges_policy(spark, sf_dir):
     return trace.trace_edges(e, n)
 
 
-@query(f" SELECT id, list_position([{', '.join(repr(x) for x in trace.STAGES)}], type) - 1 AS stage FROM n")
+@query(""" SELECT id, CASE WHEN type = 'route' THEN CASE WHEN path = 'front/geo/ASIA' THEN 'route-root' ELSE 'route' END WHEN type = 'page' THEN 'page' WHEN type = 'component' THEN 'component' WHEN type = 'endpoint' THEN 'endpoint' WHEN type = 'handler' THEN 'handler'
+WHEN type = 'repository' THEN 'back-repository' WHEN type = 'table' THEN 'table' END AS stage, CASE type WHEN 'route' THEN CASE WHEN path = 'front/geo/ASIA' THEN 0 ELSE 1 END WHEN 'page' THEN 2 WHEN 'component' THEN 4 WHEN 'endpoint' THEN 9 WHEN 'handler' THEN 11 WHEN 'repository' THEN 13 WHEN 'table' THEN 15 END AS rank FROM n""")
 def trace_stage(spark, sf_dir):
-    return cgraph.nodes(spark, sf_dir).select("id", trace.stage(F.col("type"), F.col("layer")).cast("int").alias("stage"))
+    name = trace.stage(F.col("type"), F.col("layer"), F.col("path"), tuple(ENTRY_PATHS))
+    return cgraph.nodes(spark, sf_dir).select("id", name.alias("stage")).withColumn("rank", trace.stage_rank(F.col("stage")).cast("int"))
 
 
 @query(_hops_sql("SELECT id, 0 FROM n WHERE type = 'page'", _OUT, 28) + " SELECT id, depth FROM bfs_m")
@@ -404,6 +407,13 @@ def shortest_trace_cost(spark, sf_dir):
     return trace.cheapest(weighted, n.filter("id = 'nation:3'")).select("id", "cost")
 
 
+@query("RECURSIVE" + _TRACE_SQL + """, w AS (SELECT src, te.dst, greatest(0.25, 1.0 + CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 3 END + CASE WHEN te.type = 'queries-table' THEN 2 ELSE 0 END - CASE WHEN b.type IN ('endpoint', 'handler', 'repository', 'table') AND contains(lower(concat(b.label, ' ', COALESCE(b.path, ''))), 'nation') THEN 0.75 ELSE 0 END) AS weight FROM te JOIN n b ON b.id = te.dst),
+d(id, cost) AS (SELECT 'nation:3', CAST(0 AS DOUBLE) UNION SELECT w.dst, cost + weight FROM d JOIN w ON w.src = d.id) SELECT id, MIN(cost) AS cost FROM d GROUP BY id""")
+def trace_cost_with_intent(spark, sf_dir):
+    n, e = _graph(spark, sf_dir)
+    return trace.cheapest(trace.weighted_edges(e, n, ["nation"]), n.filter("id = 'nation:3'")).select("id", "cost")
+
+
 @query("RECURSIVE, " + """up(id) AS (SELECT id FROM n WHERE module = 'NATION_7' UNION SELECT e.src FROM up JOIN e ON e.dst = up.id), dn(id) AS (SELECT id FROM n WHERE module = 'NATION_7' UNION SELECT e.dst FROM dn JOIN e ON e.src = dn.id), st(id) AS (SELECT id FROM n WHERE type IN ('table', 'entity') UNION SELECT e.src FROM st JOIN e ON e.dst = st.id)
 SELECT id FROM n WHERE module = 'NATION_7' UNION SELECT up.id FROM up JOIN n USING (id) WHERE n.path LIKE 'front/%' UNION SELECT id FROM dn WHERE id IN (SELECT id FROM st)""")
 def module_trace_nodes(spark, sf_dir):
@@ -430,11 +440,11 @@ def connected_components_of_dependencies(spark, sf_dir):
 @query("SELECT 1")
 def classify_paths(spark, sf_dir):
     d = _paths(spark, sf_dir)
-    both = d.select("path", rules.classify_back(F.col("path")).alias("b"), rules.first_match(F.col("path"), rules.FRONT_FRAGMENTS).alias("f"))
+    both = d.select("path", rules.classify_back(F.col("path")).alias("b"), rules.classify_front(F.col("path")).alias("f"))
     return both.select("path", F.col("b.type").alias("back_type"), F.col("b.layer").alias("back_layer"), F.col("f.type").alias("front_type"), F.col("f.layer").alias("front_layer"))
 
 
-_FOLDERS = ["Controllers", "Queries", "Handlers", "Entities", "pages", "hooks", "lib", "other"]
+_FOLDERS = ["Controllers", "Queries", "Handlers", "Entities", "services", "hooks", "lib/schemas", "other"]
 
 
 def _paths(spark, sf_dir) -> DataFrame:
@@ -474,15 +484,22 @@ def kebab_case(spark, sf_dir):
 ORACLE_SQL["kebab_case"] = r"SELECT p_partkey, lower(regexp_replace(regexp_replace(concat(p_name, upper(p_type[1]), lower(p_type[2:]), '_Part'), '([a-z0-9])([A-Z])', '\1-\2', 'g'), '[\s_]+', '-', 'g')) AS kebab FROM part"
 
 
+_ROUTES = ["/api/users/{id}", "/api/api/users/:id", "/api//orders//${x}/", "/api/v{version:apiVersion}/orders/:id-no", "/api/Users/:id", "/apix/y?q=1", "api/users", "/web/users"]
+_VERBS = ["GET", "POST", "ANY"]
+
+
 def _endpoints(spark, sf_dir) -> DataFrame:
-    path = F.regexp_replace("url", r"\Ahttps?://[^/]+", "")
-    raw = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/api//"), path)).otherwise(path)
-    method = F.get(F.array(*map(F.lit, ["GET", "POST", "ANY"])), (F.col("page_id") % 3).cast("int"))
+    """A route for each page, of eight forms, with a resource of its own behind some of them."""
+    own = F.when(F.col("page_id") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("/r"), (F.col("page_id") % 40).cast("string")))
+    raw = F.concat(F.get(F.array(*map(F.lit, _ROUTES)), (F.col("page_id") % 8).cast("int")), own)
+    method = F.get(F.array(*map(F.lit, _VERBS)), (F.col("page_id") % 3).cast("int"))
     return table(spark, sf_dir, "pages").select("page_id", fx.normalize_endpoint(raw).alias("url"), method.alias("method"))
 
 
-_ENDPOINTS_SQL = r"""r AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat('/api//', regexp_replace(url, '^https?://[^/]+', '')) ELSE regexp_replace(url, '^https?://[^/]+', '') END AS raw, list_extract(['GET', 'POST', 'ANY'], page_id % 3 + 1) AS method FROM pages),
-q AS (SELECT page_id, concat('/', regexp_replace(regexp_replace(regexp_replace(raw, '[?#].*$', '', 's'), '/+', '/', 'g'), '^/|/$', '', 'g')) AS url, method FROM r), ep AS (SELECT page_id, CASE WHEN regexp_matches(url, '^/api(/|$)') THEN url END AS url, method FROM q)"""
+#: What each form must become, with and without something behind it, and as an id; from what the operators are to do, not from them.
+_ROUTES_SQL = """rt(k, form, bare, named) AS (VALUES (0, '/api/users/{id}', '/api/users/{id}', '/api/users/{}'), (1, '/api/users/:id', '/api/users/:id', '/api/users/{}'), (2, '/api/orders/${x}/', '/api/orders/${x}', '/api/orders/${}/'),
+(3, '/api/v1/orders/:id-no', '/api/v1/orders/:id-no', '/api/v1/orders/{}'), (4, '/api/Users/:id', '/api/Users/:id', '/api/Users/{}'), (5, '/apix/y?q=1', '/apix/y?q=1', '/apix/y?q=1'), (6, NULL, NULL, NULL), (7, NULL, NULL, NULL)),
+ep AS (SELECT page_id, k, page_id % 5 <> 0 AS longer, CASE WHEN page_id % 5 = 0 THEN bare ELSE replace(concat(form, '/r', page_id % 40), '//', '/') END AS url, rtrim(named, '/') AS named, list_extract(['GET', 'POST', 'ANY'], page_id % 3 + 1) AS method FROM pages JOIN rt ON k = page_id % 8)"""
 
 
 @query("SELECT 1")
@@ -490,12 +507,12 @@ def endpoint_normalize(spark, sf_dir):
     return _endpoints(spark, sf_dir).select("page_id", "url", fx.endpoint_id(F.col("url"), F.col("method")).alias("endpoint_id"))
 
 
-ORACLE_SQL["endpoint_normalize"] = f"WITH {_ENDPOINTS_SQL} SELECT page_id, url, 'endpoint:' || method || ' ' || url AS endpoint_id FROM ep"
+ORACLE_SQL["endpoint_normalize"] = f"WITH {_ROUTES_SQL} SELECT page_id, url, 'endpoint:' || method || ' ' || named || CASE WHEN longer THEN concat('/r', page_id % 40) ELSE '' END AS endpoint_id FROM ep"
 
 
 def _found_endpoints(spark, sf_dir) -> DataFrame:
     e = _endpoints(spark, sf_dir).filter("url is not null")
-    return e.select((F.col("page_id") % 7).cast("string").alias("file"), F.regexp_extract("url", r"\A/api/[^/]*", 0).alias("url"), "method", F.col("page_id").alias("ord"))
+    return e.select((F.col("page_id") % 7).cast("string").alias("file"), "url", "method", F.col("page_id").alias("ord"))
 
 
 @query("SELECT 1")
@@ -503,34 +520,47 @@ def endpoint_dedupe(spark, sf_dir):
     return rules.distinct_endpoints(_found_endpoints(spark, sf_dir))
 
 
-_FOUND_SQL = _ENDPOINTS_SQL + ", fe AS (SELECT CAST(page_id % 7 AS VARCHAR) AS file, regexp_extract(url, '^/api/[^/]*') AS url, method, page_id AS ord FROM ep WHERE url IS NOT NULL)"
+_FOUND_SQL = _ROUTES_SQL + ", fe AS (SELECT CAST(page_id % 7 AS VARCHAR) AS file, url, method, page_id AS ord FROM ep WHERE url IS NOT NULL)"
 ORACLE_SQL["endpoint_dedupe"] = f"WITH {_FOUND_SQL} SELECT file, url, method, MIN(ord) AS ord FROM fe a WHERE method <> 'ANY' OR NOT EXISTS (SELECT 1 FROM fe b WHERE b.file = a.file AND b.url = a.url AND b.method <> 'ANY') GROUP BY file, url, method"
 
 
 @query("SELECT 1")
 def endpoint_link(spark, sf_dir):
-    e = _endpoints(spark, sf_dir).filter("url is not null")
-    front = e.filter("page_id % 4 = 0").select(F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("id"), F.regexp_extract("url", r"\A/api/[^/]*", 0).alias("url"), "method")
-    back = e.filter("page_id % 4 = 2").select(F.concat(F.lit("c"), F.col("page_id").cast("string")).alias("id"), F.regexp_extract("url", r"\A/api/[^/]*", 0).alias("url"), "method")
-    return rules.link_endpoints(front, back)
+    named = _endpoints(spark, sf_dir).filter("url is not null").select(F.concat("method", F.lit(" "), "url").alias("id"), "url", "method").distinct()
+    of = lambda side: named.select(F.concat(F.lit(side), "id").alias("id"), "url", "method")
+    return rules.link_endpoints(of("f "), of("c "))
+
+
+#: Forms that are the same endpoint have the same key: {id}, :id and ${x} are one, Users is not users.
+ORACLE_SQL["endpoint_link"] = f"WITH {_ROUTES_SQL}, x AS (SELECT DISTINCT url, method, concat(CASE k WHEN 0 THEN 'u' WHEN 1 THEN 'u' ELSE CAST(k AS VARCHAR) END, CASE WHEN longer THEN concat('/', page_id % 40) END) AS key FROM ep WHERE url IS NOT NULL) SELECT concat('f ', a.method, ' ', a.url) AS src, concat('c ', b.method, ' ', b.url) AS dst FROM x a JOIN x b ON a.key = b.key AND (a.method = 'ANY' OR a.method = b.method)"
 
 
-ORACLE_SQL["endpoint_link"] = f"WITH {_ENDPOINTS_SQL}, x AS (SELECT page_id, lower(regexp_extract(url, '^/api/[^/]*')) AS u, method FROM ep WHERE url IS NOT NULL) SELECT concat('f', a.page_id) AS src, concat('c', b.page_id) AS dst FROM x a JOIN x b ON a.u = b.u AND (a.method = 'ANY' OR a.method = b.method) WHERE a.page_id % 4 = 0 AND b.page_id % 4 = 2"
+_SPECIFIERS = ["./t{}", "../{}/t{}", "../../src/{}/t{}", "./../{}/./t{}", "@zero/t{}", "lodash/t{}", "./t{}.ts", "./t{}.js"]
 
 
 @query("SELECT 1")
 def import_resolution(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     ending = F.get(F.array(F.lit(".ts"), F.lit("/index.ts"), F.lit(".tsx")), (F.col("doc_id") % 3).cast("int"))
-    files = d.select(F.concat_ws("/", "source", F.concat(F.lit("doc_"), (F.col("doc_id") % 50).cast("string"), ending)).alias("path"))
-    target = F.concat(F.lit("doc_"), ((F.col("doc_id") * 7) % 50).cast("string"))
-    imports = d.select(F.concat_ws("/", "source", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".ts"))).alias("file"), F.concat(F.get(F.array(F.lit("./"), F.lit("@zero/"), F.lit("lodash/")), (F.col("doc_id") % 3).cast("int")), target).alias("specifier"))
-    return rules.resolve_imports(imports, files, [("@zero/", "src0/")], ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx"])
-
-
-ORACLE_SQL["import_resolution"] = """WITH f AS (SELECT DISTINCT concat(source, '/doc_', doc_id % 50, list_extract(['.ts', '/index.ts', '.tsx'], doc_id % 3 + 1)) AS path FROM documents),
-i AS (SELECT DISTINCT concat(source, '/doc_', doc_id, '.ts') AS file, concat(list_extract(['./', '@zero/', 'lodash/'], doc_id % 3 + 1), 'doc_', (doc_id * 7) % 50) AS specifier, CASE doc_id % 3 WHEN 0 THEN concat(source, '/doc_', (doc_id * 7) % 50) WHEN 1 THEN concat('src0/doc_', (doc_id * 7) % 50) END AS base FROM documents),
-c AS (SELECT file, specifier, concat(base, x.ending) AS target, x.ord FROM i, (VALUES (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.js'), (4, '.jsx'), (5, '/index.ts'), (6, '/index.tsx')) x(ord, ending) WHERE base IS NOT NULL)
+    folder = F.coalesce("source", F.lit("none"))
+    files = d.select(F.concat(F.lit("src/"), folder, F.lit("/t"), (F.col("doc_id") % 50).cast("string"), ending).alias("path")).union(d.select(F.concat(F.lit("t"), (F.col("doc_id") % 50).cast("string"), F.lit(".tsx"))))
+    target = ((F.col("doc_id") * 7) % 50).cast("string")
+    forms = []
+    for form in _SPECIFIERS:
+        parts = form.split("{}")
+        own = [target] if len(parts) == 2 else [folder, target]
+        forms.append(F.concat(F.lit(parts[0]), *(x for part, value in zip(parts[1:], own, strict=True) for x in (value, F.lit(part)))))
+    file = F.when(F.col("doc_id") % 11 == 0, F.concat(F.lit("top"), F.col("doc_id").cast("string"), F.lit(".ts"))).otherwise(F.concat(F.lit("src/"), folder, F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".ts")))
+    imports = d.select(file.alias("file"), F.get(F.array(*forms), (F.col("doc_id") % 8).cast("int")).alias("specifier"))
+    return rules.resolve_imports(imports, files, [("@zero/", "src/src0/"), ("lodash/", "src/src0/")], [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"])
+
+
+ORACLE_SQL["import_resolution"] = """WITH q AS (SELECT *, COALESCE(source, 'none') AS s, CAST((doc_id * 7) % 50 AS VARCHAR) AS t FROM documents), f AS (SELECT DISTINCT concat('src/', s, '/t', doc_id % 50, list_extract(['.ts', '/index.ts', '.tsx'], doc_id % 3 + 1)) AS path FROM q UNION SELECT DISTINCT concat('t', doc_id % 50, '.tsx') FROM q),
+i AS (SELECT DISTINCT CASE WHEN doc_id % 11 = 0 THEN concat('top', doc_id, '.ts') ELSE concat('src/', s, '/f', doc_id, '.ts') END AS file, doc_id % 8 AS k,
+  CASE doc_id % 8 WHEN 0 THEN concat('./t', t) WHEN 1 THEN concat('../', s, '/t', t) WHEN 2 THEN concat('../../src/', s, '/t', t) WHEN 3 THEN concat('./../', s, '/./t', t) WHEN 4 THEN concat('@zero/t', t) WHEN 5 THEN concat('lodash/t', t) WHEN 6 THEN concat('./t', t, '.ts') ELSE concat('./t', t, '.js') END AS specifier,
+  CASE WHEN doc_id % 8 = 4 THEN concat('src/src0/t', t) WHEN doc_id % 8 = 5 THEN NULL WHEN doc_id % 11 = 0 THEN CASE doc_id % 8 WHEN 0 THEN concat('t', t) WHEN 1 THEN concat(s, '/t', t) WHEN 2 THEN concat('src/', s, '/t', t) WHEN 3 THEN concat(s, '/t', t) WHEN 6 THEN concat('t', t, '.ts') ELSE concat('t', t, '.js') END
+  WHEN doc_id % 8 = 6 THEN concat('src/', s, '/t', t, '.ts') WHEN doc_id % 8 = 7 THEN concat('src/', s, '/t', t, '.js') WHEN doc_id % 8 = 2 THEN concat('src/', s, '/t', t) ELSE concat('src/', s, '/t', t) END AS base FROM q),
+c AS (SELECT file, specifier, concat(base, x.ending) AS target, x.ord FROM i, (VALUES (0, '.ts'), (1, '.tsx'), (2, '.js'), (3, '.jsx'), (4, '/index.ts'), (5, '/index.tsx'), (6, '/index.js'), (7, '/index.jsx')) x(ord, ending) WHERE base IS NOT NULL AND k < 6 UNION ALL SELECT file, specifier, base, 0 FROM i WHERE k >= 6)
 SELECT file, specifier, c.target, CAST(c.ord AS INT) AS ord FROM c JOIN f ON f.path = c.target QUALIFY row_number() OVER (PARTITION BY file, specifier ORDER BY c.ord) = 1"""
 
 
@@ -546,12 +576,17 @@ d AS (SELECT split_part(p_name, ' ', 1) AS name, p_brand AS module, concat(p_bra
 SELECT source, w.name, first(path ORDER BY CASE WHEN d.module = w.module THEN 0 ELSE 1 END, path) AS target, COUNT(*) > 1 AS ambiguous FROM w JOIN d USING (name) GROUP BY source, w.name"""
 
 
-@query(r""" SELECT DISTINCT concat('nation:', n_nationkey, '::runtime-link::supplier:', n_nationkey) AS id, concat('nation:', n_nationkey) AS src, concat('supplier:', n_nationkey) AS dst, 'runtime-link' AS type, 'manual' AS confidence FROM nation WHERE n_nationkey % 2 = 0 AND concat('supplier:', n_nationkey) IN (SELECT id FROM n)""")
+@query(r""", l AS (SELECT n_nationkey AS k, CASE n_nationkey % 3 WHEN 0 THEN concat('nation:', n_nationkey) ELSE concat('front/geo/', r_name, '/', n_name) END AS _, concat('nation:', n_nationkey) AS src, concat('supplier:', n_nationkey) AS dst, CASE WHEN n_nationkey % 4 = 0 THEN 'publishes' ELSE 'runtime-link' END AS type FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT concat_ws('::', src, type, dst) AS id, src, dst, type, 'manual' AS confidence FROM l WHERE dst IN (SELECT id FROM n)""")
 def runtime_links(spark, sf_dir):
     n = cgraph.nodes(spark, sf_dir)
-    na = table(spark, sf_dir, "nation")
-    links = na.filter("n_nationkey % 2 = 0").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("from"), F.concat(F.lit("supplier:"), F.col("n_nationkey").cast("string")).alias("to")).union(na.select(F.lit("missing"), F.lit("nation:1")))
-    return rules.runtime_links(links.withColumn("type", F.lit(None).cast("string")).withColumn("confidence", F.lit(None).cast("string")), n)
+    pages = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = F.concat(F.lit("front/geo/"), "r_name", F.lit("/"), "n_name")
+    key = F.col("n_nationkey")
+    # Ends by id, by path, by path with backslashes and by file: and path; one link leads nowhere.
+    named = F.when(key % 3 == 0, F.concat(F.lit("nation:"), key.cast("string"))).when(key % 3 == 1, F.replace(path, F.lit("/"), F.lit("\\"))).otherwise(F.concat(F.lit("file:"), path))
+    links = pages.select(named.alias("from"), F.concat(F.lit("supplier:"), key.cast("string")).alias("to"), F.when(key % 4 == 0, "publishes").alias("type")).union(pages.select(F.lit("missing"), F.lit("nation:1"), F.lit(None)))
+    return rules.runtime_links(links.withColumn("confidence", F.lit(None).cast("string")), n)
 
 
 @query("SELECT 1")
@@ -571,7 +606,7 @@ def rule_token_hits(spark, sf_dir):
 
 ORACLE_SQL["rule_token_hits"] = r"SELECT doc_id, len(text[:strpos(text, 'token = ') - 1]) - len(replace(text[:strpos(text, 'token = ') - 1], chr(10), '')) + 1 AS line, len(string_split(text, 'token = ')) AS parts FROM documents WHERE strpos(text, 'token = ') > 0"
 
-_SUPPRESSED_SQL = r", su AS (SELECT *, CASE WHEN regexp_full_match(path, 'back/repositories/Brand#1[^/]*/.*') AND rule_id = 'size.large' THEN 'legacy' WHEN regexp_full_match(path, 'back/.*/STANDARD/[^/]*') THEN 'generated' END AS reason FROM fi)"
+_SUPPRESSED_SQL = r", sn AS (SELECT *, CASE WHEN regexp_full_match(path, 'back/repositories/Brand#1[^/]*/.*') AND rule_id = 'size.large' THEN 1 WHEN regexp_full_match(path, 'back/.*/STANDARD/[^/]*') THEN 2 WHEN rule_id = 'type.economy' THEN 3 END AS s FROM fi), su AS (SELECT * EXCLUDE (s), CASE s WHEN 1 THEN 'legacy' WHEN 2 THEN 'generated' WHEN 3 THEN 'planned' END AS reason, CASE s WHEN 1 THEN 'size.large' WHEN 3 THEN 'type.economy' END AS suppression_rule, CASE s WHEN 1 THEN 'back/repositories/Brand#1*/**' WHEN 2 THEN 'back/**/STANDARD/*' END AS suppression_path, CASE s WHEN 2 THEN '2999-12-31' END AS expires FROM sn)"
 
 
 @query(_SUPPRESSED_SQL + " SELECT *, reason IS NOT NULL AS suppressed FROM su")
@@ -579,9 +614,9 @@ def finding_suppression(spark, sf_dir):
     return rules.suppressed(cgraph.findings(spark, sf_dir), SUPPRESSIONS)
 
 
-@query(" SELECT id, severity, path, line, rule_id FROM fi ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, path, line, rule_id LIMIT 100")
+@query(" SELECT id, severity, path, line, rule_id FROM fi ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, path, line, rule_id")
 def findings_sorted(spark, sf_dir):
-    return cgraph.findings(spark, sf_dir).select("id", "severity", "path", "line", "rule_id").orderBy(*rules.finding_order()).limit(100)
+    return cgraph.findings(spark, sf_dir).select("id", "severity", "path", "line", "rule_id").orderBy(*rules.finding_order())
 
 
 @query(" SELECT CASE WHEN starts_with(path, 'front/') THEN 'front' WHEN starts_with(path, 'back/') THEN 'back' ELSE 'other' END AS scope, severity, COUNT(*) AS n FROM fi GROUP BY ALL")
@@ -605,8 +640,8 @@ def coverage_by_source(spark, sf_dir):
 
 
 ORACLE_SQL["coverage_by_source"] = """WITH t AS (SELECT concat('test_', doc_id % 9) AS test, concat('doc_', doc_id) AS source, quality + 1 AS cases FROM labels),
-u AS (SELECT * FROM t UNION ALL SELECT DISTINCT test, 'doc_0', 1 FROM t), k AS (SELECT test, source, MIN(cases) AS cases FROM u GROUP BY ALL)
-SELECT source, string_agg(test, ',' ORDER BY test) AS tests, CAST(SUM(cases) AS BIGINT) AS n_cases FROM k WHERE source IN (SELECT concat('doc_', doc_id) FROM documents) GROUP BY source"""
+u AS (SELECT * FROM t UNION ALL SELECT DISTINCT test, 'doc_0', 1 FROM t UNION ALL SELECT test, 'doc_none', cases FROM t), k AS (SELECT test, MAX(cases) AS cases FROM u GROUP BY test), p AS (SELECT DISTINCT test, source FROM u)
+SELECT source, string_agg(test, ',' ORDER BY test) AS tests, CAST(SUM(cases) AS BIGINT) AS n_cases FROM p JOIN k USING (test) WHERE source IN (SELECT concat('doc_', doc_id) FROM documents) GROUP BY source"""
 
 
 @query("SELECT 1")

@@ -13,7 +13,7 @@ from ..operators import measure, merge, rules
 from ..sources.files import is_test, scan
 from ..sources.work import cut
 
-ENDINGS = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
+ENDINGS = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 
 
 @dataclass(frozen=True)
@@ -28,6 +28,7 @@ class Project:
     entry_suffixes: tuple[str, ...] = ("Program.cs", "Startup.cs")
     suppressions: tuple[dict, ...] = ()
     max_lines: int = 200
+    enabled_rules: tuple[str, ...] | None = None
     extra: dict = field(default_factory=dict)
 
 
@@ -66,7 +67,9 @@ def endpoint_nodes(facts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataF
     used = edge(calls.select(_file_id(F.col("path")).alias("src"), fx.endpoint_id(F.col("url"), F.col("method")).alias("dst")), "calls-api", "medium")
     served = edge(actions.select(fx.endpoint_id(F.col("url"), F.col("method")).alias("src"), _file_id(F.col("path")).alias("dst")), "resolved-controller", "high")
     named = lambda df: df.select(fx.endpoint_id(F.col("url"), F.col("method")).alias("id"), "url", "method")
-    return made, used.union(served).union(edge(rules.link_endpoints(named(calls), named(actions)), "matches-endpoint", "high"))
+    matched = rules.link_endpoints(named(calls), named(actions))
+    through = matched.join(served.select(F.col("src").alias("dst"), F.col("dst").alias("controller")), "dst").select("src", F.col("controller").alias("dst"))
+    return made, used.union(served).union(edge(through, "resolved-controller", "medium")).union(edge(matched, "matches-endpoint", "medium"))
 
 
 def import_edges(facts: DataFrame, files: DataFrame, project: Project) -> DataFrame:
@@ -88,14 +91,82 @@ def coverage(facts: DataFrame, files: DataFrame, project: Project) -> DataFrame:
     return measure.coverage_by_source(files.select(F.col("path").alias("source")), tests)
 
 
+#: Rules by the kind of fact that breaks them, with their severity.
+RULES = {
+    "technology.typescript.relative-imports": "error", "technology.typescript.no-any": "error", "framework.react.component-max-lines": "error",
+    "framework.react.route-file-shape": "error", "architecture.mvc.thin-controller": "warning",
+}
+
+
 def findings(files: DataFrame, facts: DataFrame, project: Project) -> DataFrame:
-    """Relative imports and overlong front files, with their suppression."""
+    """What breaks the enabled rules, with evidence and suppression.
+
+    Relative imports and any in front files, components that are too long, route
+    files with more than routes, controllers with more than requests and answers.
+    The id ends with the finding's number in the order of rule, path and line.
+    """
     front = F.col("path").startswith(project.front_root) & ~is_test(F.col("path"))
+    kind = rules.classify_front(F.col("path")).getField("type")
     lines = F.size(F.split("content", "\r?\n"))
-    long = files.filter(front & (lines > project.max_lines)).select("path", F.lit("framework.react.component-max-lines").alias("rule_id"), F.lit(1).alias("line"))
-    relative = facts.filter(front & (F.col("fact") == "import:static") & F.col("name").startswith(".")).select("path", F.lit("technology.typescript.relative-imports").alias("rule_id"), (F.col("ordinal") + 1).alias("line"))
-    made = long.union(relative).select(F.concat_ws(":", "rule_id", "path", F.col("line").cast("string")).alias("id"), "rule_id", F.lit("error").alias("severity"), _file_id(F.col("path")).alias("node_id"), "path", "line")
-    return rules.suppressed(made, list(project.suppressions))
+    component = front & kind.isin("component", "main-component", "subcomponent") & F.col("path").rlike(r"\.[jt]sx\z")
+    row = lambda df, rule, line, evidence: df.select(F.lit(rule).alias("rule_id"), "path", line.cast("int").alias("line"), evidence.alias("evidence"))
+    at = F.col("value")
+    made = row(files.filter(component & (lines > project.max_lines)), "framework.react.component-max-lines", F.lit(project.max_lines + 1), F.concat(lines.cast("string"), F.lit(" lines")))
+    made = made.union(row(facts.filter(front & (F.col("fact") == "import:static") & F.col("name").startswith(".")), "technology.typescript.relative-imports", at, F.col("name")))
+    made = made.union(row(facts.filter(front & (F.col("fact") == "any")), "technology.typescript.no-any", at, F.col("name")))
+    made = made.union(row(facts.filter(front & (kind == "route") & F.col("path").rlike(r"/routes/index\.[jt]sx\z") & (F.col("fact") == "route-shape")), "framework.react.route-file-shape", at, F.col("name")))
+    made = made.union(row(facts.filter(F.contains("path", F.lit("/Controllers/")) & F.col("path").endswith("Controller.cs") & (F.col("fact") == "thick-controller")), "architecture.mvc.thin-controller", at, F.col("name")))
+    enabled = list(RULES) if project.enabled_rules is None else [r for r in RULES if r in project.enabled_rules]
+    severity = F.get(F.array(*map(F.lit, RULES.values())), F.array_position(F.array(*map(F.lit, RULES)), F.col("rule_id")).cast("int") - 1)
+    known = made.filter(F.col("rule_id").isin(enabled)).select("rule_id", severity.alias("severity"), _file_id(F.col("path")).alias("node_id"), "path", "line", "evidence")
+    return rules.suppressed(rules.numbered(known), list(project.suppressions))
+
+
+def backend_edges(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src, dst, type, confidence among C# files: requests that are sent, what handles them, what is injected.
+
+    sends: to the file named after a request, of the sender's own module first, then the
+    first path; handled-by: from a request's file to XHandler.cs; depends-on: from a class
+    to the class that implements an injected interface, else to what declares the type;
+    the own module first, then files that are no tests, then the first path.
+    """
+    cs = nodes.filter(F.col("path").endswith(".cs")).select("path", "module")
+    stem = F.regexp_extract("path", r"([^/]+)\.cs\z", 1)
+    named = cs.select("path", "module", stem.alias("name"))
+    found = lambda fact: facts.filter(F.col("fact") == fact).select("path", "name").distinct().join(cs, "path")
+    edge = lambda df, src, dst, kind, trust: df.select(_file_id(F.col(src)).alias("src"), _file_id(F.col(dst)).alias("dst"), F.lit(kind).alias("type"), F.lit(trust).alias("confidence"))
+    sent = found("sends").filter(F.regexp_replace(stem, r"Handler\z", "") != F.col("name")).withColumnRenamed("path", "source")
+    sends = edge(rules.ranked_lookup(sent, named), "source", "target", "sends", "medium")
+    handlers = named.filter(F.col("name").endswith("Handler")).select(F.col("path").alias("source"), "module", F.regexp_replace("name", r"Handler\z", "").alias("name"))
+    handled = edge(rules.ranked_lookup(handlers, named), "target", "source", "handled-by", "high")
+    declared = facts.filter(F.col("fact").startswith("declares:")).select("path", "fact", "name", F.split("value", ",").alias("bases")).join(cs, "path")
+    implemented = declared.filter("fact = 'declares:class'").select("path", "module", F.explode("bases").alias("name")).filter(F.col("name").startswith("I"))
+    wanted = found("injects").withColumnRenamed("path", "source")
+    tiers = implemented.withColumn("tier", F.lit(0)).unionByName(declared.select("path", "module", "name", F.lit(1).alias("tier")))
+    injected = rules.tiered_lookup(wanted, tiers.distinct(), is_test)
+    return sends.union(handled).union(edge(injected.filter("source <> target"), "source", "target", "depends-on", "high")).distinct()
+
+
+def persistence(facts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of what is stored: entities, their tables, and the contexts that list them.
+
+    An entity's table is the one that its configuration names, else the property that
+    lists it, else its name and an s.
+    """
+    sets = facts.filter("fact = 'db-set'").select("path", F.col("name").alias("entity"), F.col("value").alias("property"))
+    mapped = facts.filter("fact = 'table'").select(F.col("value").alias("entity"), "name").filter("entity is not null").groupBy("entity").agg(F.min("name").alias("mapped"))
+    modules = nodes.select("path", "module")
+    declared = facts.filter("fact = 'declares:class'").select("path", F.col("name").alias("entity")).join(modules, "path")
+    place = declared.groupBy("entity").agg(F.min(F.struct((~F.contains("path", F.lit("/Entities/"))).cast("int").alias("far"), "path", "module")).alias("d"))
+    known = sets.groupBy("entity").agg(F.min("property").alias("property")).join(mapped, "entity", "left").join(place, "entity", "left")
+    known = known.select("entity", F.coalesce("mapped", "property", F.concat("entity", F.lit("s"))).alias("table"), F.col("d.path").alias("path"), F.coalesce("d.module", F.lit("shared")).alias("module"))
+    entity, stored = F.concat(F.lit("entity:"), F.col("entity")), F.concat(F.lit("table:"), F.col("table"))
+    made = known.select(entity.alias("id"), F.col("entity").alias("label"), F.lit("entity").alias("type"), F.lit("domain").alias("layer"), "module", "path")
+    made = made.unionByName(known.groupBy("table").agg(F.min("module").alias("module")).select(stored.alias("id"), F.col("table").alias("label"), F.lit("table").alias("type"), F.lit("database-table").alias("layer"), "module", F.lit(None).cast("string").alias("path")))
+    row = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("type"), F.lit("high").alias("confidence"))
+    listed = row(sets, _file_id(F.col("path")), entity, "dbset")
+    relations = facts.filter("fact = 'property'").select(F.col("value").alias("owner"), F.col("name").alias("entity")).join(known.select("entity"), "entity", "left_semi").join(known.select(F.col("entity").alias("owner")), "owner", "left_semi").filter("owner <> entity").distinct()
+    return made, listed.union(row(known, entity, stored, "maps-to-table")).union(row(relations, F.concat(F.lit("entity:"), F.col("owner")), entity, "domain-relation"))
 
 
 def scan_graph(spark: SparkSession, root: str, project: Project = Project()) -> ScannedGraph:  # noqa: B008
@@ -104,8 +175,9 @@ def scan_graph(spark: SparkSession, root: str, project: Project = Project()) ->
     facts = cut(lex.facts(files))
     sources = file_nodes(files, project)
     endpoints, endpoint_links = endpoint_nodes(facts, sources)
-    nodes = cut(sources.unionByName(endpoints))
-    writes = import_edges(facts, files, project).union(endpoint_links).withColumn("seq", F.concat_ws("::", "src", "type", "dst"))
+    stored, stored_links = persistence(facts, sources)
+    nodes = cut(sources.unionByName(endpoints).unionByName(stored))
+    writes = import_edges(facts, files, project).union(endpoint_links).union(backend_edges(facts, sources)).union(stored_links).withColumn("seq", F.concat_ws("::", "src", "type", "dst"))
     edges = cut(merge.admitted_edges(merge.first_edges(writes), nodes).select("id", "src", "dst", "type", "confidence"))
     evidence = measure.quality_evidence(nodes, edges, project.feature_folder, list(project.entry_paths), list(project.entry_suffixes))
     return ScannedGraph(nodes, edges, findings(files, facts, project), coverage(facts, files, project), measure.orphans(nodes, edges, list(project.entry_paths), list(project.entry_suffixes)), measure.quality_scores(evidence))

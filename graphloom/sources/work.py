@@ -11,10 +11,12 @@ _own: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset and Spark runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="loom-work-"))
     return f"file://{_own[0]}"
@@ -24,4 +26,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows read back from a written table, so that loops keep short plans and lost executors cost little."""
     path = f"{work_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loom_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that cut() has written and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_loom_path", None):
+            hadoop = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -499,7 +499,7 @@ def _endpoints(spark, sf_dir) -> DataFrame:
 #: What each form must become, with and without something behind it, and as an id; from what the operators are to do, not from them.
 _ROUTES_SQL = """rt(k, form, bare, named) AS (VALUES (0, '/api/users/{id}', '/api/users/{id}', '/api/users/{}'), (1, '/api/users/:id', '/api/users/:id', '/api/users/{}'), (2, '/api/orders/${x}/', '/api/orders/${x}', '/api/orders/${}/'),
 (3, '/api/v1/orders/:id-no', '/api/v1/orders/:id-no', '/api/v1/orders/{}'), (4, '/api/Users/:id', '/api/Users/:id', '/api/Users/{}'), (5, '/apix/y?q=1', '/apix/y?q=1', '/apix/y?q=1'), (6, NULL, NULL, NULL), (7, NULL, NULL, NULL)),
-ep AS (SELECT page_id, k, page_id % 5 <> 0 AS longer, CASE WHEN page_id % 5 = 0 THEN bare ELSE replace(concat(form, '/r', page_id % 40), '//', '/') END AS url, rtrim(named, '/') AS named, list_extract(['GET', 'POST', 'ANY'], page_id % 3 + 1) AS method FROM pages JOIN rt ON k = page_id % 8)"""
+ep AS (SELECT page_id, k, page_id % 5 <> 0 AS longer, CASE WHEN page_id % 5 = 0 OR form IS NULL THEN bare ELSE replace(concat(form, '/r', page_id % 40), '//', '/') END AS url, rtrim(named, '/') AS named, list_extract(['GET', 'POST', 'ANY'], page_id % 3 + 1) AS method FROM pages JOIN rt ON k = page_id % 8)"""
 
 
 @query("SELECT 1")

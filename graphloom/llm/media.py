@@ -35,6 +35,8 @@ FPS = 25
 BINS = 16
 PAD = 32
 CHUNK = 1 << 20
+#: Frames whose bits or pixels are expanded at a time, so that one long payload needs no more room than many short ones.
+FRAMES = 256
 _MCU_BYTES = UNIT * 9 // 8
 
 
@@ -72,6 +74,9 @@ def padded(raw: bytes) -> bytes:
 
 def entropy(units: np.ndarray) -> np.ndarray:
     """Coded bytes of MCUs, (n, 192) to (n, 216), before stuffing."""
+    step = FRAMES * PER_FRAME
+    if len(units) > step:
+        return np.concatenate([entropy(units[at : at + step]) for at in range(0, len(units), step)])
     bits = np.zeros((len(units), UNIT, 9), np.uint8)
     bits[:, :, 1:] = np.unpackbits(units.reshape(-1, UNIT, 1), axis=2)
     return np.packbits(bits.reshape(len(units), UNIT * 9), axis=1)
@@ -254,6 +259,8 @@ def coefficient_bytes(coefficients: np.ndarray) -> np.ndarray:
 
 def decode_frames(frames: list[bytes]) -> np.ndarray:
     """Payload bytes (frame, PER_FRAME, 192) of frames with the fixed table, all together."""
+    if len(frames) > FRAMES:
+        return np.concatenate([decode_frames(frames[at : at + FRAMES]) for at in range(0, len(frames), FRAMES)])
     out, plain, where = np.empty((len(frames), PER_FRAME, UNIT), np.uint8), [], []
     head = len(FRAME_HEAD)
     for i, f in enumerate(frames):
@@ -292,6 +299,8 @@ def luminance_histograms(units: np.ndarray) -> np.ndarray:
     All products and sums are whole numbers below 2**53, so no order of summation
     changes them and equal frames have equal histograms.
     """
+    if len(units) > FRAMES:
+        return np.concatenate([luminance_histograms(units[at : at + FRAMES]) for at in range(0, len(units), FRAMES)])
     y = units[:, :, :64].reshape(-1, 64).astype(np.float64)
     y -= 255.0 * (y < 128)
     pixel = np.clip(np.floor(y @ _basis() / 4096) + 128, 0, 255).astype(np.int64)

@@ -86,3 +86,14 @@ def test_digests_and_clips(spark):
         assert mine[0].start_s == 0 and all(a.end_s == b.start_s for a, b in zip(mine, mine[1:], strict=False))
         assert abs(mine[-1].end_s * M.FPS - sum(r.frames for r in mine)) < 1e-6
     assert M.media_digests(df.limit(0)).count() == 0 and M.clips(stored.limit(0)).count() == 0
+
+
+def test_long_payloads_in_slices(monkeypatch):
+    monkeypatch.setattr(M, "FRAMES", 3)
+    raw = [M.padded(bytes(range(256)) * n) for n in (1, 200, 40)]
+    stored = M.write_avi(raw)
+    sliced = M.read_avi(stored)
+    monkeypatch.setattr(M, "FRAMES", 1 << 20)
+    assert M.write_avi(raw) == stored
+    assert [r.payload for r in sliced] == raw
+    assert [r.feature for r in M.read_avi(stored)] == [r.feature for r in sliced]

@@ -10,7 +10,9 @@ the recall measured against brute force.
 Only vectors that share a bucket are compared, in double precision, and a linked
 pair counts in the first table where it meets, so that no pair is ever listed.
 Equal vectors count as one with a multiplicity.  Buckets of over ``BLOCK``
-vectors are compared block by block, so no task holds more than two blocks.
+vectors are compared block by block, so no task holds more than two blocks, and
+within two blocks ``TILE`` rows at a time.  A bucket of n vectors is dealt out
+n / BLOCK times.
 """
 
 from __future__ import annotations
@@ -30,7 +32,8 @@ from .common import Written
 TABLES = 48
 CELLS = 10
 WIDTH = 1.5
-BLOCK = 512
+BLOCK = 2048
+TILE = 512
 
 
 @lru_cache(maxsize=8)
@@ -74,9 +77,11 @@ def _codes(classes: DataFrame) -> DataFrame:
 
 def _spread(linked: np.ndarray) -> np.ndarray:
     """For each row of a symmetric matrix the lowest row that it is connected to."""
-    label = np.arange(len(linked))
+    n = len(linked)
+    label = np.arange(n)
     while True:
-        lower = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1))
+        near = [np.where(linked[at : at + TILE], label[None, :], n).min(1) for at in range(0, n, TILE)]
+        lower = np.minimum(label, np.concatenate(near))
         lower = np.minimum(lower, lower[lower])
         if (lower == label).all():
             return label
@@ -85,16 +90,20 @@ def _spread(linked: np.ndarray) -> np.ndarray:
 
 def _compare(rows: dict[str, np.ndarray], table: int, cross: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Within one group: how many vectors each row links to here, and whom it is joined to."""
-    x, codes, n = rows["unit"], rows["codes"], len(rows["rep"])
-    linked = np.triu(x @ x.T >= least, 1)
-    if cross:
-        linked &= rows["side"][:, None] != rows["side"][None, :]
-    a, b = np.nonzero(linked)
-    for at in range(0, len(a), 1 << 16):
-        i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        linked[i, j] = (codes[i] == codes[j]).argmax(1) == table
+    x, codes, side, n = rows["unit"], rows["codes"], rows["side"], len(rows["rep"])
+    linked = np.zeros((n, n), bool)
+    for at in range(0, n, TILE):
+        tile = np.triu(x[at : at + TILE] @ x[at:].T >= least, 1)
+        if cross:
+            tile &= side[at : at + TILE, None] != side[None, at:]
+        a, b = np.nonzero(tile)
+        for k in range(0, len(a), 1 << 16):
+            i, j = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            tile[i, j] = (codes[at + i] == codes[at + j]).argmax(1) == table
+        linked[at : at + TILE, at:] = tile
     linked |= linked.T
-    return linked @ rows["mult"], _spread(linked) if n > 2 else np.where(linked.any(1), 0, np.arange(n))
+    counts = np.concatenate([linked[at : at + TILE] @ rows["mult"] for at in range(0, n, TILE)])
+    return counts, _spread(linked) if n > 2 else np.where(linked.any(1), 0, np.arange(n))
 
 
 def _links(members: DataFrame, least: float) -> DataFrame:

@@ -61,6 +61,7 @@ def test_against_brute_force(spark):
 
 def test_blocks_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(embdup, "BLOCK", 5)
+    monkeypatch.setattr(embdup, "TILE", 3)
     rng = np.random.default_rng(0)
     base = rng.standard_normal(16)
     rows = [(i, [float(x) for x in base + rng.standard_normal(16) * 0.02], 0) for i in range(60)] + data(2, 4, 16)

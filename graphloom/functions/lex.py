@@ -321,6 +321,73 @@ def thick_controller(source: str) -> list[tuple[str, int]]:
     return list(out.items())
 
 
+def calls(source: str) -> Iterator[tuple[str, int]]:
+    """(name, position) of each call; of a call on an object the last name.  Definitions are no calls."""
+    ts = tokens(source, "typescript")
+    for i, t in enumerate(ts):
+        if t.kind != "i" or t.text in ("if", "for", "while", "switch", "catch", "return") or i and ts[i - 1].text in ("function", "new"):
+            continue
+        j = i + 1
+        if j < len(ts) and ts[j].text == "<":
+            depth = 0
+            while j < len(ts) and ts[j].text not in (";", "{", ")"):
+                depth += (ts[j].text == "<") - (ts[j].text == ">")
+                j += 1
+                if not depth:
+                    break
+        if j < len(ts) and ts[j].text == "(":
+            end = closing(ts, j) + 1
+            if not (end < len(ts) and ts[end].text == "{" and (not i or ts[i - 1].text in ("{", ",", "}", ";", "async", "get", "set", "*"))):
+                yield t.text, t.at
+
+
+#: Names whose calls, or whose mere use, say that a view does more than show.
+STATE_HOOKS = ("useState", "useEffect", "useMemo", "useCallback", "useReducer", "useRef")
+ROUTING_HOOKS = ("useNavigate", "useParams", "useSearchParams", "useLocation")
+ACCESS_CALLS = ("fetch", "request", "get", "post", "put", "patch", "delete")
+BROWSER_NAMES = ("window", "document", "location", "localStorage", "sessionStorage")
+
+
+def view_signals(source: str) -> list[tuple[str, int]]:
+    """(what, first position) of what a view entry should leave to a hook."""
+    found: list[tuple[int, str]] = []
+    for name, at in calls(source):
+        if name in STATE_HOOKS:
+            found.append((at, "React orchestration hook"))
+        elif name in ROUTING_HOOKS:
+            found.append((at, "routing hook"))
+        elif name in ACCESS_CALLS:
+            found.append((at, "API/service/repository access"))
+    for t in tokens(source, "typescript"):
+        if t.kind == "i" and t.text == "apiClient":
+            found.append((t.at, "API/service/repository access"))
+        elif t.kind == "i" and t.text in BROWSER_NAMES:
+            found.append((t.at, "browser side effect"))
+    first: dict[str, int] = {}
+    for at, what in sorted(found):
+        first.setdefault(what, at)
+    return list(first.items())
+
+
+_NAMESPACE = re.compile(r"\A[A-Za-z_]\w*(?: \. [A-Za-z_]\w*)*\Z")
+
+
+def using_namespaces(source: str) -> list[tuple[str, int]]:
+    """(namespace, position) of using directives, static and aliased ones included; using statements are none."""
+    ts, out = tokens(source, "csharp"), []
+    for i, t in enumerate(ts):
+        if t.kind != "i" or t.text != "using" or i and ts[i - 1].text not in (";", "{", "}", "]", "global"):
+            continue
+        end = next((j for j in range(i + 1, len(ts)) if ts[j].text in (";", "(", "{")), len(ts))
+        part = [x.text for x in ts[i + 1 : end]]
+        if end == len(ts) or ts[end].text != ";":
+            continue
+        part = part[1:] if part[:1] == ["static"] else part[2:] if part[1:2] == ["="] else part
+        if _NAMESPACE.match(" ".join(part)):
+            out.append(("".join(part), t.at))
+    return out
+
+
 def constructor_dependencies(source: str) -> list[str]:
     """Type names of the parameters of constructors, primary ones included; of a generic type its name."""
     ts, out, owners = tokens(source, "csharp"), {}, set()
@@ -383,6 +450,10 @@ def facts_of(path: str, content: str) -> Iterator[tuple[str, str | None, str | N
             yield "any", evidence, line(at)
         for evidence, at in route_shape(content):
             yield "route-shape", evidence, line(at)
+        for what, at in view_signals(content):
+            yield "view-signal", what, line(at)
+        for name in dict.fromkeys(name for name, _ in calls(content)):
+            yield "calls", name, None
         for e in frontend_endpoints(content):
             yield "endpoint", e.url, e.method
         if n := test_cases(content):
@@ -402,6 +473,8 @@ def facts_of(path: str, content: str) -> Iterator[tuple[str, str | None, str | N
             yield "property", name, owner
         for evidence, at in thick_controller(content):
             yield "thick-controller", evidence, str(content.count("\n", 0, at) + 1)
+        for name, at in using_namespaces(content):
+            yield "using", name, str(content.count("\n", 0, at) + 1)
         for name in dispatched_requests(content):
             yield "sends", name, None
 

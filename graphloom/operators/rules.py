@@ -123,19 +123,25 @@ def tiered_lookup(wanted: DataFrame, declared: DataFrame, is_test) -> DataFrame:
     return best.select("source", "name", F.col("b.path").alias("target"), (F.when(F.col("b.tier") == 0, F.col("n0")).otherwise(F.col("n1")) > 1).alias("ambiguous"))
 
 
-def numbered(findings: DataFrame) -> DataFrame:
-    """Adds id: rule, node, line and the finding's number in the order of rule, path, line and evidence.
+def positioned(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Adds each row's place, from 0, in a total order.
 
-    Findings are dealt into ranges of that order; numbers run within a range and are
+    Rows are dealt into ranges of that order; numbers run within a range and are
     offset by the sizes of the ranges before it, so no task holds more than a range.
     """
-    order = [F.col("rule_id"), F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(0)), F.col("evidence")]
-    ranged = cut(findings.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    ranged = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
     sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))
     first = sizes.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
     place = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1
     full = ranged.withColumn("__place", place).join(F.broadcast(first), "__range")
-    return full.select(F.concat_ws(":", "rule_id", "node_id", F.coalesce("line", F.lit(0)).cast("string"), (F.col("__first") + F.col("__place")).cast("string")).alias("id"), *findings.columns)
+    return full.select(*rows.columns, (F.col("__first") + F.col("__place")).alias(name))
+
+
+def numbered(findings: DataFrame) -> DataFrame:
+    """Adds id: rule, node, line and the finding's number in the order of rule, path, line and evidence."""
+    order = [F.col("rule_id"), F.coalesce("path", F.lit("")), F.coalesce("line", F.lit(0)), F.col("evidence")]
+    full = positioned(findings, order, "__at")
+    return full.select(F.concat_ws(":", "rule_id", "node_id", F.coalesce("line", F.lit(0)).cast("string"), F.col("__at").cast("string")).alias("id"), *findings.columns)
 
 
 def runtime_links(links: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lex
 from ..functions import text as fx
-from ..operators import measure, merge, rules
+from ..operators import guardrails, measure, merge, rules
 from ..sources.files import is_test, scan
 from ..sources.work import cut
 
@@ -29,6 +30,7 @@ class Project:
     suppressions: tuple[dict, ...] = ()
     max_lines: int = 200
     enabled_rules: tuple[str, ...] | None = None
+    guardrails: guardrails.Options | None = None
     extra: dict = field(default_factory=dict)
 
 
@@ -94,7 +96,7 @@ def coverage(facts: DataFrame, files: DataFrame, project: Project) -> DataFrame:
 #: Rules by the kind of fact that breaks them, with their severity.
 RULES = {
     "technology.typescript.relative-imports": "error", "technology.typescript.no-any": "error", "framework.react.component-max-lines": "error",
-    "framework.react.route-file-shape": "error", "architecture.mvc.thin-controller": "warning",
+    "framework.react.route-file-shape": "error", "architecture.mvc.thin-controller": "warning", **guardrails.RULES,
 }
 
 
@@ -102,7 +104,8 @@ def findings(files: DataFrame, facts: DataFrame, project: Project) -> DataFrame:
     """What breaks the enabled rules, with evidence and suppression.
 
     Relative imports and any in front files, components that are too long, route
-    files with more than routes, controllers with more than requests and answers.
+    files with more than routes, controllers with more than requests and answers, and
+    what breaks the architecture rules, if the project sets options for them.
     The id ends with the finding's number in the order of rule, path and line.
     """
     front = F.col("path").startswith(project.front_root) & ~is_test(F.col("path"))
@@ -116,6 +119,13 @@ def findings(files: DataFrame, facts: DataFrame, project: Project) -> DataFrame:
     made = made.union(row(facts.filter(front & (F.col("fact") == "any")), "technology.typescript.no-any", at, F.col("name")))
     made = made.union(row(facts.filter(front & (kind == "route") & F.col("path").rlike(r"/routes/index\.[jt]sx\z") & (F.col("fact") == "route-shape")), "framework.react.route-file-shape", at, F.col("name")))
     made = made.union(row(facts.filter(F.contains("path", F.lit("/Controllers/")) & F.col("path").endswith("Controller.cs") & (F.col("fact") == "thick-controller")), "architecture.mvc.thin-controller", at, F.col("name")))
+    if (o := project.guardrails) is not None:
+        fact = lambda kind: facts.filter(F.col("fact") == kind).select("path", "name", F.col("value").alias("line"))
+        sources = files.filter(front).select("path", kind.alias("type"))
+        imports = facts.filter(front & (F.col("fact") == "import:static")).select("path", "name", F.col("value").alias("line"))
+        feature = re.escape(project.feature_folder).replace(r"\{module\}", "([^/]+)")
+        made = made.union(guardrails.folder_entries(sources, o)).union(guardrails.thin_views(sources, fact("view-signal"), o)).union(guardrails.hook_names(sources, fact("calls"), o))
+        made = made.union(guardrails.cross_features(imports, feature, o)).union(guardrails.ui_imports(sources, imports, o)).union(guardrails.layer_boundaries(fact("using"), o))
     enabled = list(RULES) if project.enabled_rules is None else [r for r in RULES if r in project.enabled_rules]
     severity = F.get(F.array(*map(F.lit, RULES.values())), F.array_position(F.array(*map(F.lit, RULES)), F.col("rule_id")).cast("int") - 1)
     known = made.filter(F.col("rule_id").isin(enabled)).select("rule_id", severity.alias("severity"), _file_id(F.col("path")).alias("node_id"), "path", "line", "evidence")

@@ -1,3 +1,4 @@
+from graphloom.operators.guardrails import Options
 from graphloom.plans.scan import Project, scan_graph
 
 TREE = {
@@ -56,3 +57,25 @@ def test_scan_of_a_backend(spark, tmp_path):
         ("entity:Sale", "maps-to-table", "table:sale_rows"), ("entity:Item", "maps-to-table", "table:Things"), ("entity:Sale", "domain-relation", "entity:Item"),
     }
     assert [(r.rule_id, r.line, r.evidence) for r in g.findings.collect()] == [("architecture.mvc.thin-controller", 3, "loop in controller action")]
+
+
+RULED = {
+    "front/features/cart/components/CartMain/index.tsx": "import { T } from '@/features/shop/types'\nimport { S } from '@/features/shop/inner'\nexport const CartMain = () => { const [a, b] = useState(0); fetch('/api/x'); useEffect(f); return null }\n",
+    "front/features/cart/components/Plain.tsx": "export const Plain = () => null\n",
+    "front/features/cart/repositories/cart.ts": "import React from 'react'\nimport { x } from '@/lib/x'\n",
+    "back/Shop.Domain/Cart.cs": "using System;\nusing Shop.API.Web;\nusing Z = Shop.API.Deep;\nnamespace Shop.Domain { class Cart { void M() { using var s = Open(); } } }\n",
+    "back/Shop.API/Cart.cs": "using Shop.Domain;\n",
+}
+
+
+def test_architecture_rules(spark, tmp_path):
+    for name, text in RULED.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = scan_graph(spark, str(tmp_path), Project(guardrails=Options(namespace_prefix="Shop"))).findings.collect()
+    got = {(r.rule_id.split(".")[-1], r.path.split("/")[-1], r.line, r.evidence) for r in found}
+    assert got == {
+        ("thin-view-entry", "index.tsx", 3, "React orchestration hook"), ("thin-view-entry", "index.tsx", 3, "API/service/repository access"), ("viewmodel-hook-naming", "index.tsx", 1, "useCartMain"),
+        ("no-cross-feature-internals", "index.tsx", 2, "@/features/shop/inner"), ("component-folder-entry", "Plain.tsx", 1, "Plain.tsx"),
+        ("no-ui-imports-in-data-adapters", "cart.ts", 1, "react"), ("layer-boundaries", "Cart.cs", 2, "using Shop.API"),
+    }

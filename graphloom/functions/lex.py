@@ -440,8 +440,8 @@ def configured_entity(source: str) -> str | None:
     return next((ts[i + 2].text for i in range(len(ts) - 2) if ts[i].text == "IEntityTypeConfiguration" and ts[i + 1].text == "<"), None)
 
 
-def facts_of(path: str, content: str) -> Iterator[tuple[str, str | None, str | None]]:
-    """(fact, name, value) of one file, by its extension."""
+def facts_of(path: str, content: str, architecture: bool = False) -> Iterator[tuple[str, str | None, str | None]]:
+    """(fact, name, value) of one file, by its extension; those for architecture rules only if asked for."""
     if re.search(r"\.[mc]?[jt]sx?\Z", path):
         line = lambda at: str(content.count("\n", 0, at) + 1)
         for specifier, kind, at in module_references(content):
@@ -450,10 +450,11 @@ def facts_of(path: str, content: str) -> Iterator[tuple[str, str | None, str | N
             yield "any", evidence, line(at)
         for evidence, at in route_shape(content):
             yield "route-shape", evidence, line(at)
-        for what, at in view_signals(content):
-            yield "view-signal", what, line(at)
-        for name in dict.fromkeys(name for name, _ in calls(content)):
-            yield "calls", name, None
+        if architecture:
+            for what, at in view_signals(content):
+                yield "view-signal", what, line(at)
+            for name in dict.fromkeys(name for name, _ in calls(content)):
+                yield "calls", name, None
         for e in frontend_endpoints(content):
             yield "endpoint", e.url, e.method
         if n := test_cases(content):
@@ -473,18 +474,21 @@ def facts_of(path: str, content: str) -> Iterator[tuple[str, str | None, str | N
             yield "property", name, owner
         for evidence, at in thick_controller(content):
             yield "thick-controller", evidence, str(content.count("\n", 0, at) + 1)
-        for name, at in using_namespaces(content):
+        for name, at in using_namespaces(content) if architecture else ():
             yield "using", name, str(content.count("\n", 0, at) + 1)
         for name in dispatched_requests(content):
             yield "sends", name, None
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """path, fact, ordinal, name, value for ``files(path, content)``; files without content give none."""
+def facts(files: DataFrame, architecture: bool = False) -> DataFrame:
+    """path, fact, ordinal, name, value for ``files(path, content)``; files without content give none.
+
+    With ``architecture`` also view-signal, calls and using, which the architecture rules need.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p, f, i, n, v) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if c for i, (f, n, v) in enumerate(facts_of(p, c))]
+            rows = [(p, f, i, n, v) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if c for i, (f, n, v) in enumerate(facts_of(p, c, architecture))]
             kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["path", "fact", "ordinal", "name", "value"])
 

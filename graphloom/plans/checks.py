@@ -16,12 +16,12 @@ from .queries import ENTRY_PATHS, FOLDER, ORACLE_SQL, SUFFIXES, _graph, query
 
 def _stored(spark, sf_dir, module: str = "NATION_7", changed: bool = True) -> submaps.Stored:
     n, e = _graph(spark, sf_dir)
-    own = n.filter(F.col("module") == module)
+    own = cut(n.filter(F.col("module") == module))
     ids = own.select("id")
-    inner = e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").select("id", "src", "dst", "type", "confidence")
+    inner = cut(e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").select("id", "src", "dst", "type", "confidence"))
     level = F.when(F.col("type") == "handler", "editable").when(F.col("type") == "component", "readable")
     access = own.select("id", level.alias("level")).filter("level is not null").union(own.filter("type = 'handler'").select("id", F.lit("forbidden")))
-    bounds = e.join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("id").alias("edge_id"), F.col("src").alias("inside_id"), F.col("dst").alias("outside_id"))
+    bounds = inner.join(ids.select(F.col("id").alias("dst")), "dst", "left_anti").select(F.col("id").alias("edge_id"), F.col("src").alias("inside_id"), F.col("dst").alias("outside_id"))
     label = F.when(F.col("type") == "component", F.upper("label")).otherwise(F.lower("label")) if changed else F.col("label")
     nodes = own.withColumn("label", label).union(own.filter("type = 'handler'"))
     stats = spark.createDataFrame([("nodes", 0), ("edges", -1), ("findings", 0), ("editable", None)], "field string, value long")

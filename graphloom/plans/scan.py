@@ -182,7 +182,7 @@ def persistence(facts: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFram
 def scan_graph(spark: SparkSession, root: str, project: Project = Project()) -> ScannedGraph:  # noqa: B008
     """Scans a tree. Each file is read and lexed once; everything after is joins and aggregations."""
     files = cut(scan(spark, root, [".ts", ".tsx", ".js", ".jsx", ".cs"]))
-    facts = cut(lex.facts(files))
+    facts = cut(lex.facts(files, project.guardrails is not None))
     sources = file_nodes(files, project)
     endpoints, endpoint_links = endpoint_nodes(facts, sources)
     stored, stored_links = persistence(facts, sources)

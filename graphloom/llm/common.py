@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
 
@@ -101,3 +102,42 @@ def arrow_rows(batches: Iterator, *columns: str, most: int = 500) -> Iterator[li
         for at in range(0, batch.num_rows, most):
             part = batch.slice(at, most)
             yield list(zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True))
+
+
+class ByKey(dict):
+    """A bounded map that computes what it does not hold; holding never changes a result."""
+
+    def __init__(self, compute: Callable, limit: int = 1 << 19, longest: int = 64):
+        super().__init__()
+        self.compute, self.limit, self.longest = compute, limit, longest
+
+    def __missing__(self, key):
+        value = self.compute(key)
+        if len(self) < self.limit and len(key) <= self.longest:
+            self[key] = value
+        return value
+
+
+def spaced_slices(raw: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of bytes parted by spaces, slice after slice of about ``size`` bytes, so that a very long text needs little memory."""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end].split()
+        at = end + 1
+
+
+def numbered(df: DataFrame, order: list, out: Written) -> DataFrame:
+    """The rows with their place from 1 in the total order as ``rank``: written in ranges of that order, numbered
+    within each and moved on by the sizes of the ranges before, so that no task holds more than a range."""
+    part = "__loom_range"
+    ranges = out.table(df.orderBy(*order).withColumn(part, F.spark_partition_id()), "ranges")
+    sizes = sorted((r[0], r[1]) for r in ranges.groupBy(part).count().collect())  # one row a range
+    before, starts = 0, []
+    for p, n in sizes:
+        starts.append((p, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(starts, f"{part} int, __loom_before long")
+    place = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranges.withColumn("rank", place).join(F.broadcast(offsets), part).withColumn("rank", (F.col("rank") + F.col("__loom_before")).cast("long")).drop(part, "__loom_before")

@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embdup, langid, licenses, media, mixing, neardup, pii, quality, tokenfile
+from . import bpe, chat, embdup, langid, licenses, media, mixing, neardup, phrases, pii, quality, resampling, tokenfile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_digests(_table(spark, sf_dir, "conversations"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality": op2_quality,
@@ -67,10 +79,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_personal_data": op9_personal_data,
     "op10_language_id": op10_language_id,
+    "op11_target_resampling": op11_target_resampling,
+    "op12_chat_format": op12_chat_format,
+    "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_licenses": licenses.oracle_sql(),
     "op8_mixing": mixing.oracle_sql(mixing.PRODUCTION),
+    "op11_target_resampling": resampling.oracle_sql(),
+    "op12_chat_format": chat.oracle_sql(),
+    "op13_phrases": phrases.oracle_sql(),
 }

@@ -255,9 +255,14 @@ def fold(node: Node) -> Node:
     node = Node(node.kind, node.data, kids)
     constant = [k.kind == "constant" for k in kids]
     if node.kind in ("and", "or", "choice", "if") and constant[0]:
-        return {"and": kids[1] if kids[0].data else kids[0], "or": kids[0] if kids[0].data else kids[1]}[node.kind] if node.kind in ("and", "or") else kids[1] if kids[0].data else kids[2]
+        truth = bool(kids[0].data)
+        taken = {"and": 1 if truth else 0, "or": 0 if truth else 1, "choice": 1 if truth else 2, "if": 1 if truth else 2}
+        return kids[taken[node.kind]]
     if node.kind in ("not", "compare", "add", "concat", "filter", "member") and all(constant):
-        return Node("constant", _value(node)({}))
+        try:
+            return Node("constant", _value(node)({}))
+        except (TypeError, TemplateError):  # an error of the template only if this place is reached
+            return node
     if node.kind == "out" and constant[0]:
         return Node("text", _text(kids[0].data))
     if node.kind == "block":

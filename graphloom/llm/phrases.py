@@ -8,10 +8,10 @@ by joining it with its parts afterwards.
 Two things keep the shuffle small, and neither changes a count.  A task adds up
 equal suffixes before it hands them on, and a group of one first word is dealt
 over ``salts`` parts whose counts are added again.  And as no phrase is more
-frequent than the words and pairs in it, suffixes end where a word or pair is
-certain to be too rare: two tables of counters, of a fixed size, to which words
-and pairs are hashed, say so; a shared counter can only be too high, so a full
-table lets suffixes through whole.
+frequent than the shorter ones in it, suffixes end before a phrase of fewer than
+``max_n`` words that is certain to be too rare: tables of counters, one for each
+number of words and each of a fixed size, to which phrases are hashed, say so.  A
+shared counter can only be too high, so a full table lets suffixes through whole.
 """
 
 from __future__ import annotations
@@ -33,15 +33,15 @@ from .common import ByKey, Written, spaced_slices
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256))
 _STOP = b"."
 _CHUNK = 1 << 16
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _HELD = 400_000
 
 
 @dataclass(frozen=True)
 class Mining:
     """``least``: occurrences a phrase needs; ``within_percent``: a phrase goes if a longer one around
-    it has that share of its occurrences; ``top``: rows per language; ``word_slots``, ``pair_slots``:
-    counters of the two tables (powers of two)."""
+    it has that share of its occurrences; ``top``: rows per language; ``word_slots``, ``phrase_slots``:
+    counters of the table for words and of those for longer phrases (powers of two)."""
 
     max_n: int = 4
     least: int = 30
@@ -49,7 +49,10 @@ class Mining:
     top: int = 2000
     salts: int = 32
     word_slots: int = 1 << 20
-    pair_slots: int = 1 << 24
+    phrase_slots: int = 1 << 24
+
+    def slots(self, size: int) -> int:
+        return self.word_slots if size == 1 else self.phrase_slots
 
 
 PRODUCTION = Mining()
@@ -82,55 +85,77 @@ def _runs(batch: pa.RecordBatch, overlap: int, together: int = 1 << 19) -> Itera
 
 
 class _Hashes:
-    """Hashes of words (0: stop) and pairs (0: none), apart by language."""
+    """Hashes of words (0: stop), apart by language."""
 
     def __init__(self):
         self.of: dict[str, ByKey] = {}
 
-    def __call__(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, lang: str, words: list[bytes]) -> np.ndarray:
         if lang not in self.of:
             seed = xxhash.xxh64_intdigest(lang.encode())
             self.of[lang] = ByKey(lambda w: 0 if w == _STOP else xxhash.xxh64_intdigest(w, seed) | 1)
-        one = np.fromiter(map(self.of[lang].__getitem__, words), np.uint64, len(words))
-        two = (one[:-1] * _PAIR) ^ (one[1:] + (one[1:] << np.uint64(17)))
-        two ^= two >> np.uint64(29)
-        two[(one[:-1] == 0) | (one[1:] == 0)] = 0
-        return one, two
+        return np.fromiter(map(self.of[lang].__getitem__, words), np.uint64, len(words))
+
+
+def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return ((hashes >> np.uint64(7)) & np.uint64(slots - 1)).astype(np.int64)
+
 
+def _grow(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of the phrases of one word more; ``words`` are the hashes of the words that come to them."""
+    out = hashes[: len(words)] * _STEP + (words + (words << np.uint64(17)))
+    return out ^ (out >> np.uint64(29))
 
-def _slots(hashes: np.ndarray, size: int) -> np.ndarray:
-    return ((hashes >> np.uint64(7)) & np.uint64(size - 1)).astype(np.int64)
+
+def _open(words: np.ndarray, often: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, whether it may be frequent) of the phrase of 1, 2, ... ``size`` words that starts at each position:
+    those without a stop in which no shorter phrase, and for which no table that is there, says no."""
+    hashes, fine = words, words != 0
+    for n in range(1, size + 1):
+        if n > 1:
+            hashes = _grow(hashes, words[n - 1 :])
+            fine = fine[:-1] & fine[1:]
+        told = fine & often[n - 1][_slot(hashes, len(often[n - 1]))] if n <= len(often) else fine
+        yield hashes, told
+        fine = told
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
-def survey(docs: DataFrame, spec: Mining) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(lang, n) rows, and for each counter of the two tables whether it reached ``least``.
+def _unpacked(packed: list[bytes]) -> list[np.ndarray]:
+    return [np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for b in packed]
+
+
+def survey(docs: DataFrame, spec: Mining, sizes: tuple[int, ...], known: list[bytes]) -> tuple[DataFrame, list[bytes]]:
+    """(lang, n) rows, and ``known`` with one more table for each of ``sizes``: a bit for each counter, whether it reached ``least``.
 
-    Counters stop at ``least``, so a byte or two holds one; they are added up
+    Counters stop at ``least``, so a byte or four hold one; they are added up
     chunk by chunk on the executors and come back as one bit each.
     """
     dtype = np.uint8 if spec.least < 256 else np.uint32
-    sizes = (spec.word_slots, spec.pair_slots)
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    chunks_of = {n: -(-spec.slots(n) // _CHUNK) for n in sizes}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [np.zeros(s, np.uint32) for s in sizes]
-        n: Counter = Counter()
+        often = _unpacked(shared.value)
+        tables = {n: np.zeros(spec.slots(n), np.uint32) for n in sizes}
+        total: Counter = Counter()
         hashes = _Hashes()
         for batch in batches:
-            for lang, words, old in _runs(batch, 1):
-                one, two = hashes(lang, words)
-                new = one[old:][one[old:] != 0]
-                n[lang] += len(new)
-                np.add.at(tables[0], _slots(new, sizes[0]), 1)
-                np.add.at(tables[1], _slots(two[two != 0], sizes[1]), 1)
-        rows = [(-1, lang, k, None) for lang, k in n.items()]
+            for lang, words, old in _runs(batch, sizes[-1] - 1):
+                of_words = hashes(lang, words)
+                total[lang] += int(np.count_nonzero(of_words[old:]))
+                for n, (found, fine) in enumerate(_open(of_words, often, sizes[-1]), 1):
+                    if n in tables:
+                        new = max(0, old - n + 1)  # phrases before it were counted with the slice before
+                        np.add.at(tables[n], _slot(found[new:][fine[new:]], spec.slots(n)), 1)
+        rows = [(-1, lang, k, None) for lang, k in total.items()]
         at = 0
-        for table in tables:
-            for start in range(0, len(table), _CHUNK):
-                part = table[start : start + _CHUNK]
+        for n in sizes:
+            for start in range(0, spec.slots(n), _CHUNK):
+                part = tables[n][start : start + _CHUNK]
                 if part.any():
                     rows.append((at, None, None, np.minimum(part, spec.least).astype(dtype).tobytes()))
                 at += 1
@@ -151,20 +176,21 @@ def survey(docs: DataFrame, spec: Mining) -> tuple[DataFrame, np.ndarray, np.nda
     out = Written(docs.sparkSession, "phrases")
     counted = out.table(_texts(docs).mapInArrow(count, "chunk int, lang string, n long, data binary"), "counters")
     words = out.table(counted.filter("chunk < 0").groupBy("lang").agg(F.sum("n").alias("n")), "words")
-    often = [np.zeros(s, bool) for s in sizes]
     chunks = counted.filter("chunk >= 0").select("chunk", "data").repartition("chunk").mapInArrow(add, "chunk int, bits binary")
-    for chunk, bits in chunks.collect():  # one bit a counter, whatever the data
-        table, start = (0, chunk * _CHUNK) if chunk * _CHUNK < sizes[0] else (1, chunk * _CHUNK - sizes[0])
-        part = often[table][start : start + _CHUNK]
-        part[:] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(part)).astype(bool)
+    bits = {chunk: bytes(b) for chunk, b in chunks.collect()}  # one bit a counter, whatever the data
     out.drop(counted)
-    return words, often[0], often[1]
+    tables, at = [], 0
+    for n in sizes:
+        size = min(_CHUNK, spec.slots(n))
+        tables.append(b"".join(bits.get(c, bytes(size // 8)) for c in range(at, at + chunks_of[n])))
+        at += chunks_of[n]
+    return words, known + tables
 
 
-def suffixes(docs: DataFrame, spec: Mining, often_words: np.ndarray, often_pairs: np.ndarray) -> DataFrame:
+def suffixes(docs: DataFrame, spec: Mining, often_packed: list[bytes]) -> DataFrame:
     """lang, first, suffix (words joined by spaces), n: the suffixes of every word position, ended
-    before the first word or pair that is too rare, equal ones of a task added up."""
-    shared = docs.sparkSession.sparkContext.broadcast((np.packbits(often_words), np.packbits(often_pairs)))
+    before the first phrase that is too rare, equal ones of a task added up."""
+    shared = docs.sparkSession.sparkContext.broadcast(often_packed)
 
     def rows(lang: str, counts: Counter) -> Iterator[pa.RecordBatch]:
         keys = list(counts)
@@ -175,7 +201,7 @@ def suffixes(docs: DataFrame, spec: Mining, often_words: np.ndarray, often_pairs
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([counts[k] for k in part], pa.int64())], names=["lang", "first", "suffix", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ok, pair_ok = (np.unpackbits(b).astype(bool) for b in shared.value)
+        often = _unpacked(shared.value)
         hashes = _Hashes()
         held: dict[str, Counter] = {}
         for batch in batches:
@@ -183,12 +209,9 @@ def suffixes(docs: DataFrame, spec: Mining, often_words: np.ndarray, often_pairs
                 starts = len(words) - spec.max_n + 1
                 if starts <= 0:
                     continue
-                one, two = hashes(lang, words)
-                open_ = (one != 0) & word_ok[_slots(one, spec.word_slots)]
-                step = (two != 0) & pair_ok[_slots(two, spec.pair_slots)] & open_[:-1] & open_[1:]
-                length = open_[:starts].astype(np.int8)
-                for k in range(1, spec.max_n):
-                    length += (length == k) & step[k - 1 : k - 1 + starts]
+                length = np.zeros(starts, np.int64)
+                for n, (_, fine) in enumerate(_open(hashes(lang, words), often, spec.max_n), 1):
+                    length += (length == n - 1) & fine[:starts]
                 counts = held.setdefault(lang, Counter())
                 counts.update(compress(words, (length == 1).tolist()))
                 longer = np.flatnonzero(length > 1)
@@ -243,9 +266,9 @@ def prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield taken()
 
 
-def phrase_counts(docs: DataFrame, spec: Mining, often_words: np.ndarray, often_pairs: np.ndarray) -> DataFrame:
+def phrase_counts(docs: DataFrame, spec: Mining, often: list[bytes]) -> DataFrame:
     """lang, phrase, n of every phrase of 1 to ``max_n`` words with at least ``least`` occurrences."""
-    found = suffixes(docs, spec, often_words, often_pairs)
+    found = suffixes(docs, spec, often)
     dealt = found.repartition("lang", "first", F.pmod(F.xxhash64("suffix"), F.lit(spec.salts))).select("lang", "suffix", "n")
     stacked = dealt.sortWithinPartitions("lang", F.col("suffix").desc()).mapInArrow(prefix_counts, "lang string, phrase string, n long")
     return stacked.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= spec.least)
@@ -285,8 +308,11 @@ def collocations(docs: DataFrame, spec: Mining = PRODUCTION) -> DataFrame:
     a language.  Other columns are ignored.
     """
     out = Written(docs.sparkSession, "phrases")
-    words, often_words, often_pairs = survey(docs, spec)
-    found = out.table(phrase_counts(docs, spec, often_words, often_pairs), "counts")
+    words, often = survey(docs, spec, (1, 2), [])
+    for size in range(3, spec.max_n):
+        again, often = survey(docs, spec, (size,), often)
+        out.drop(again)
+    found = out.table(phrase_counts(docs, spec, often), "counts")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(64))
     first = scored(found, spec).withColumn("salt", salt).withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("place") <= spec.top)

@@ -48,8 +48,8 @@ class Mining:
     within_percent: int = 80
     top: int = 2000
     salts: int = 32
-    word_slots: int = 1 << 20
-    phrase_slots: int = 1 << 24
+    word_slots: int = 1 << 23
+    phrase_slots: int = 1 << 25
 
     def slots(self, size: int) -> int:
         return self.word_slots if size == 1 else self.phrase_slots
@@ -128,11 +128,19 @@ def _unpacked(packed: list[bytes]) -> list[np.ndarray]:
     return [np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for b in packed]
 
 
+def _add(table: np.ndarray, at: np.ndarray, least: int) -> None:
+    """Counts the places in a table whose counters stop at ``least``."""
+    places, n = np.unique(at, return_counts=True)
+    table[places] = np.minimum(table[places] + n, least)
+
+
 def survey(docs: DataFrame, spec: Mining, sizes: tuple[int, ...], known: list[bytes]) -> tuple[DataFrame, list[bytes]]:
-    """(lang, n) rows, and ``known`` with one more table for each of ``sizes``: a bit for each counter, whether it reached ``least``.
+    """(lang, n) rows, and ``known`` with a new table for each of ``sizes``: a bit for each counter, whether it reached ``least``.
 
     Counters stop at ``least``, so a byte or four hold one; they are added up
-    chunk by chunk on the executors and come back as one bit each.
+    chunk by chunk on the executors and come back as one bit each.  Where pairs are
+    known already, words are counted as parts of pairs that may be frequent: a word in
+    no frequent pair is in no candidate, nor a part of one.
     """
     dtype = np.uint8 if spec.least < 256 else np.uint32
     shared = docs.sparkSession.sparkContext.broadcast(known)
@@ -140,7 +148,7 @@ def survey(docs: DataFrame, spec: Mining, sizes: tuple[int, ...], known: list[by
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = _unpacked(shared.value)
-        tables = {n: np.zeros(spec.slots(n), np.uint32) for n in sizes}
+        tables = {n: np.zeros(spec.slots(n), dtype) for n in sizes}
         total: Counter = Counter()
         hashes = _Hashes()
         for batch in batches:
@@ -148,16 +156,19 @@ def survey(docs: DataFrame, spec: Mining, sizes: tuple[int, ...], known: list[by
                 of_words = hashes(lang, words)
                 total[lang] += int(np.count_nonzero(of_words[old:]))
                 for n, (found, fine) in enumerate(_open(of_words, often, sizes[-1]), 1):
-                    if n in tables:
-                        new = max(0, old - n + 1)  # phrases before it were counted with the slice before
-                        np.add.at(tables[n], _slot(found[new:][fine[new:]], spec.slots(n)), 1)
+                    new = max(0, old - n + 1)  # phrases before it were counted with the slice before
+                    if n in tables and (n > 1 or not often):
+                        _add(tables[n], _slot(found[new:][fine[new:]], spec.slots(n)), spec.least)
+                    elif n == 2 and 1 in tables:
+                        starts = new + np.flatnonzero(fine[new:])
+                        _add(tables[1], _slot(of_words[np.concatenate((starts, starts + 1))], spec.slots(1)), spec.least)
         rows = [(-1, lang, k, None) for lang, k in total.items()]
         at = 0
         for n in sizes:
             for start in range(0, spec.slots(n), _CHUNK):
                 part = tables[n][start : start + _CHUNK]
                 if part.any():
-                    rows.append((at, None, None, np.minimum(part, spec.least).astype(dtype).tobytes()))
+                    rows.append((at, None, None, part.tobytes()))
                 at += 1
         for start in range(0, len(rows), 64):
             chunk, lang, k, data = zip(*rows[start : start + 64], strict=True)
@@ -179,12 +190,12 @@ def survey(docs: DataFrame, spec: Mining, sizes: tuple[int, ...], known: list[by
     chunks = counted.filter("chunk >= 0").select("chunk", "data").repartition("chunk").mapInArrow(add, "chunk int, bits binary")
     bits = {chunk: bytes(b) for chunk, b in chunks.collect()}  # one bit a counter, whatever the data
     out.drop(counted)
-    tables, at = [], 0
+    tables, at = dict(enumerate(known, 1)), 0
     for n in sizes:
         size = min(_CHUNK, spec.slots(n))
-        tables.append(b"".join(bits.get(c, bytes(size // 8)) for c in range(at, at + chunks_of[n])))
+        tables[n] = b"".join(bits.get(c, bytes(size // 8)) for c in range(at, at + chunks_of[n]))
         at += chunks_of[n]
-    return words, known + tables
+    return words, [tables[n] for n in sorted(tables)]
 
 
 def suffixes(docs: DataFrame, spec: Mining, often_packed: list[bytes]) -> DataFrame:
@@ -310,7 +321,7 @@ def collocations(docs: DataFrame, spec: Mining = PRODUCTION) -> DataFrame:
     out = Written(docs.sparkSession, "phrases")
     words, often = survey(docs, spec, (1, 2), [])
     for size in range(3, spec.max_n):
-        again, often = survey(docs, spec, (size,), often)
+        again, often = survey(docs, spec, (1, size) if size == 3 else (size,), often)
         out.drop(again)
     found = out.table(phrase_counts(docs, spec, often), "counts")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]

@@ -133,6 +133,114 @@ def resolved_url(ts: list[Token], bound: dict[str, str]) -> str | None:
     return value if value.startswith("/api") else None
 
 
+def exported_bindings(source: str) -> list[tuple[str, str]]:
+    """(name, value) of exported constants of a module that are bound to a literal that starts with /api; of a name the last."""
+    ts, out, depth = tokens(source, "typescript"), {}, 0
+    for i, t in enumerate(ts):
+        if t.kind == "p":
+            depth += (t.text in _PAIRS) - (t.text in _PAIRS.values())
+        elif depth == 0 and t.text == "export" and i + 1 < len(ts) and ts[i + 1].text in ("const", "let", "var"):
+            end = i + 2
+            inner = 0
+            while end < len(ts) and not (inner == 0 and (ts[end].text == ";" or ts[end].text == "export")):
+                inner += (ts[end].text in _PAIRS) - (ts[end].text in _PAIRS.values())
+                end += 1
+            for part in split(ts[i + 2 : end]):
+                at = next((k for k, x in enumerate(part) if x.text == "="), None)
+                if part[0].kind == "i" and at and at + 1 < len(part) and (value := literal(part[at + 1])) and value.startswith("/api") and (at + 2 == len(part) or part[at + 2].text != "+"):
+                    out[part[0].text] = value
+    return list(out.items())
+
+
+def named_imports(source: str) -> list[tuple[str, str, str]]:
+    """(specifier, exported name, local name) of the names that import statements take from a module."""
+    ts, out = tokens(source, "typescript"), []
+    for i, t in enumerate(ts):
+        if t.text != "import" or t.kind != "i" or i and ts[i - 1].text == ".":
+            continue
+        begin = next((j for j in range(i + 1, min(i + 5, len(ts))) if ts[j].text == "{"), None)
+        if begin is None:
+            continue
+        end = closing(ts, begin)
+        if end + 2 < len(ts) and ts[end + 1].text == "from" and ts[end + 2].kind == "s":
+            for part in split(ts[begin + 1 : end]):
+                names = [x.text for x in part if x.kind == "i"]
+                names = names[1:] if names[:1] == ["type"] and len(names) > 1 and names[1] != "as" else names
+                if names:
+                    out.append((literal(ts[end + 2]), names[0], names[2] if len(names) > 2 and names[1] == "as" else names[0]))
+    return out
+
+
+_PREFIX = re.compile(r"""\(\s*/(?P<pattern>(?:\\.|\[(?:\\.|[^\]\\])*\]|[^/\\\n\[])+)/[a-z]*\s*,\s*(['"`])(?P<to>/api/v\d+/)\2\s*,?\s*\)""")
+
+
+def version_prefix(source: str) -> str | None:
+    """The first /api/vN/ that a replacement puts in the place of a pattern that speaks of api."""
+    ts = tokens(source, "typescript")
+    for before, t, after in zip(ts, ts[1:], ts[2:], strict=False):
+        if before.text == "." and t.text == "replace" and after.text == "(" and (m := _PREFIX.match(source, after.at)) and "api" in m["pattern"]:
+            return m["to"]
+    return None
+
+
+#: Names of base addresses, and hooks and calls that say that a component behaves.
+BASE_NAMES = ("baseUrl", "baseURL", "BASE_URL", "authenticationUrl")
+BEHAVIOUR_HOOKS = ("useState", "useEffect", "useMemo", "useCallback", "useReducer", "useRef", "useQuery", "useMutation", "useForm", "useNavigate", "useParams", "useSearchParams")
+BEHAVIOUR_CALLS = ("request", "get", "post", "put", "patch", "delete")
+BEHAVIOURS = ("hooks", "handlers", "async", "api/service/repository calls", "state updates", "side effects")
+
+
+def behaviours(source: str) -> list[str]:
+    """What a front file does besides showing, in a fixed order."""
+    ts, found = tokens(source, "typescript"), set()
+    for name, _ in calls(source):
+        if name in BEHAVIOUR_HOOKS:
+            found.add("hooks")
+        if re.match(r"set[A-Z]", name):
+            found.add("state updates")
+        if name in BEHAVIOUR_CALLS:
+            found.add("api/service/repository calls")
+    for i, t in enumerate(ts):
+        if t.kind != "i":
+            continue
+        if t.text == "await" or t.text == "async" and i + 1 < len(ts) and ts[i + 1].text not in (":", ",", "=", ")", "."):
+            found.add("async")
+        elif t.text in BROWSER_NAMES:
+            found.add("side effects")
+        elif t.text == "apiClient" or re.search(r"(?:[Rr]epository|[Ss]ervice)\Z", t.text):
+            found.add("api/service/repository calls")
+        elif re.match(r"(?:handle|on)[A-Z]", t.text) and i and ts[i - 1].text in ("const", "let", "var", ",") and _is_arrow(ts, i + 1):
+            found.add("handlers")
+    return [b for b in BEHAVIOURS if b in found]
+
+
+def _is_arrow(ts: list[Token], i: int) -> bool:
+    """Whether what is assigned after a name at i - 1 is an arrow function."""
+    end = i
+    while end < len(ts) and ts[end].text not in ("=", ";", ","):
+        end = closing(ts, end) + 1 if ts[end].text in _PAIRS else end + 1
+    j = end + 1
+    if end >= len(ts) or ts[end].text != "=" or j >= len(ts):
+        return False
+    j += ts[j].text == "async"
+    if j < len(ts) and ts[j].text == "(":
+        j = closing(ts, j) + 1
+        while j < len(ts) and ts[j].text not in ("=>", ";", ",", "="):  # a type of the result
+            j = closing(ts, j) + 1 if ts[j].text in _PAIRS else j + 1
+        return j < len(ts) and ts[j].text == "=>"
+    return j + 1 < len(ts) and ts[j].kind == "i" and ts[j + 1].text == "=>"
+
+
+def open_endpoints(source: str) -> list[Endpoint]:
+    """Calls whose address begins with a name that the file does not bind; the name stands as ${name} in the url."""
+    ts = tokens(source, "typescript")
+    bound = url_bindings(ts)
+    names = {local for _, _, local in named_imports(source)} | set(BASE_NAMES)
+    opened = {n: f"/api\x00{n}\x01" for n in names if n not in bound}
+    found = [e for e in _calls_of_api(ts, bound | opened) if "\x00" in e.url]
+    return [e._replace(url=re.sub(r"(?:/api)?\x00(\w+)\x01", r"${\1}", e.url)) for e in found]
+
+
 def _properties(ts: list[Token]) -> dict[str, list[Token]]:
     if not ts or ts[0].text != "{":
         return {}
@@ -149,7 +257,14 @@ def _method(ts: list[Token] | None, default: str) -> str | None:
 def frontend_endpoints(source: str) -> list[Endpoint]:
     """Calls of the API, the first of each (method, url); ANY only where the url has no method of its own."""
     ts = tokens(source, "typescript")
-    bound, found = url_bindings(ts), []
+    found = _calls_of_api(ts, url_bindings(ts))
+    own = {e.url for e in found if e.method != "ANY"}
+    kept = {(e.url, e.method): e for e in reversed(found) if e.method != "ANY" or e.url not in own}
+    return [e for e in found if kept.get((e.url, e.method)) is e]
+
+
+def _calls_of_api(ts: list[Token], bound: dict[str, str]) -> list[Endpoint]:
+    found = []
     for i, t in enumerate(ts):
         if t.kind != "i":
             continue
@@ -182,9 +297,7 @@ def frontend_endpoints(source: str) -> list[Endpoint]:
             continue
         if url and method:
             found.append(Endpoint(url, method, None, how))
-    own = {e.url for e in found if e.method != "ANY"}
-    kept = {(e.url, e.method): e for e in reversed(found) if e.method != "ANY" or e.url not in own}
-    return [e for e in found if kept.get((e.url, e.method)) is e]
+    return found
 
 
 def _attribute(ts: list[Token], i: int) -> tuple[str, list[Token], int]:
@@ -260,30 +373,88 @@ def table_name(source: str) -> str | None:
     return next((literal(ts[i + 2]) for i in range(len(ts) - 2) if ts[i].text == "ToTable" and ts[i + 1].text == "(" and ts[i + 2].kind == "s"), None)
 
 
+_REQUEST = re.compile(r"(Query|Command)\Z")
+
+
 def dispatched_requests(source: str) -> list[str]:
-    """Distinct names of new XQuery(..) and new XCommand(..), in order."""
-    ts = tokens(source, "csharp")
-    return list(dict.fromkeys(ts[i + 1].text for i in range(len(ts) - 1) if ts[i].text == "new" and re.search(r"(Query|Command)\Z", ts[i + 1].text)))
+    """Distinct names that end in Query or Command of types that are created or that parameters have, in order."""
+    ts, found = tokens(source, "csharp"), []
+    for i, t in enumerate(ts[:-1]):
+        if t.kind != "i" or not _REQUEST.search(t.text):
+            continue
+        created = i and ts[i - 1].text == "new" and ts[i + 1].text in ("(", "{", "<")
+        # A parameter: a type, a name, and then the next one or the end, within the brackets of a declaration.
+        opened = i and ts[i - 1].text in ("(", ",", "]", "in", "ref", "this")
+        parameter = opened and ts[i + 1].kind == "i" and i + 2 < len(ts) and ts[i + 2].text in (",", ")", "=")
+        if created or parameter:
+            found.append(t.text)
+    return list(dict.fromkeys(found))
+
+
+#: Signs and words after which, and signs and words before which, any is no type but a name.
+_NAMED_BEFORE = (".", "function", "class", "const", "let", "var", "new", "import", "export", "interface", "enum", "namespace", "get", "set", "return", "await", "typeof")
+_NAMED_AFTER = (":", "(", ".", "?.", "++", "--", "+", "-", "*", "/")
 
 
 def any_types(source: str) -> list[tuple[str, int]]:
-    """(how it is written, position) of each any that stands for a type."""
+    """(how it is written, position) of each any that stands for a type: after a colon, as, an equals sign of a type,
+    an arrow of a function type, keyof, extends or a bar, as an argument, a default or an assertion.
+
+    Type aliases and type parameters are told from values by what opens them.
+    """
     ts, out = tokens(source, "typescript"), []
+    typed = _typed_places(ts)
     for i, t in enumerate(ts):
         if t.text != "any" or t.kind != "i" or not i:
             continue
         before, after = ts[i - 1], ts[i + 1].text if i + 1 < len(ts) else ""
-        if before.text == "as":
-            out.append(("as any", t.at))
+        if before.text in _NAMED_BEFORE or after in _NAMED_AFTER and not (after == ":" and "?" in (x.text for x in ts[max(0, i - 12) : i]) and i in typed):
+            continue
+        if before.text in ("as", "satisfies"):
+            out.append(("as any" if before.text == "as" else ": any", t.at))
         elif before.text == "<" and i > 1 and ts[i - 2].text == "Array":
             out.append(("Array<any>", t.at))
-        elif before.text == "<" and after == ">" and (i < 2 or ts[i - 2].kind == "p"):
+        elif before.text == "<" and after == ">" and (i < 2 or ts[i - 2].kind == "p") and not (i + 2 < len(ts) and ts[i + 2].text == "("):
             out.append(("<any>", t.at))
-        elif before.text in (":", "<", "|", "&", ",", "[") and after not in (":", "(", "."):
-            out.append((": any", t.at)) if before.text != "," and before.text != "[" or after in (">", "]") else None
+        elif before.text in (":", "<", "|", "&", "keyof", "extends", "is", "readonly", "infer") or i in typed:
+            out.append((": any", t.at))
+    return out
+
+
+def _typed_places(ts: list[Token]) -> set[int]:
+    """Indices of tokens in the right side of a type alias, between angle brackets that hold types, and in a type after a colon."""
+    out: set[int] = set()
+    for i, t in enumerate(ts):
+        if t.kind == "i" and t.text == "type" and i + 1 < len(ts) and ts[i + 1].kind == "i" and (not i or ts[i - 1].text in (";", "}", "export", "declare", "{", ")") or ts[i - 1].kind in "sin"):
+            out.update(range(i + 2, _end_of_type(ts, i + 2)))
+        elif t.text == "<" and i and ts[i - 1].kind == "i":
+            depth = 0
+            for j in range(i, len(ts)):
+                depth += (ts[j].text == "<") - (ts[j].text == ">")
+                if depth == 0:
+                    out.update(range(i + 1, j))
+                    break
+                if ts[j].text in (";", "&&", "||") or ts[j].kind == "n":
+                    break
+        elif t.text == ":" and i and (ts[i - 1].kind == "i" or ts[i - 1].text in (")", "?", "]")):
+            end = _end_of_type(ts, i + 1, in_list=True)
+            if any(x.text == "=>" for x in ts[i + 1 : end]) and ts[i + 1].text == "(" or ts[i + 1 : i + 2] and ts[i + 1].text == "[":
+                # A function type, or a tuple: (a: any) => any, [any, string]; a value would hold no bare any.
+                out.update(range(i + 1, end))
     return out
 
 
+def _end_of_type(ts: list[Token], i: int, in_list: bool = False) -> int:
+    """Index after a type that begins at i: at a semicolon, at a bracket that closes more than it opened, at what begins a statement."""
+    depth = 0
+    for j in range(i, len(ts)):
+        text = ts[j].text
+        depth += (text in ("(", "[", "{", "<")) - (text in (")", "]", "}", ">"))
+        if depth < 0 or depth == 0 and (text == ";" or in_list and text in (",", "=") or ts[j].kind == "i" and text in ("const", "let", "var", "export", "import", "function", "class", "interface", "type") and j > i + 1):
+            return j
+    return len(ts)
+
+
 def route_shape(source: str) -> list[tuple[str, int]]:
     """(what, last position) of things that a route file should leave to others."""
     ts, out = tokens(source, "typescript"), {}
@@ -419,6 +590,80 @@ def _parameters(ts: list[Token]) -> list[list[Token]]:
     return [x for x in out if x]
 
 
+def injected_types(source: str) -> list[tuple[str, str, list[str]]]:
+    """(name, type as written without line breaks, names in its type arguments) of the parameters of constructors,
+    once for each way of writing it; names begin with a capital."""
+    ts, out, owners = tokens(source, "csharp"), {}, set()
+    for i, t in enumerate(ts[:-1]):
+        if t.kind == "i" and t.text in ("class", "record", "struct") and ts[i + 1].kind == "i":
+            owners.add(ts[i + 1].text)
+    for i, t in enumerate(ts[:-1]):
+        if t.kind != "i" or t.text not in owners or ts[i + 1].text != "(" or not i or ts[i - 1].text not in ("class", "struct", "public", "internal", "protected", "private"):
+            continue
+        for part in _parameters(ts[i + 2 : closing(ts, i + 1)]):
+            while part and part[0].text == "[":
+                part = part[closing(part, 0) + 1 :]
+            part = [x for x in part if x.text not in ("this", "in", "ref", "out", "params")]
+            end = next((k for k, x in enumerate(part) if x.text == "="), len(part))
+            kind = part[: end - 1]
+            if end < 2 or part[end - 1].kind != "i" or not kind:
+                continue
+            generic = next((k for k, x in enumerate(kind) if x.text == "<"), None)
+            plain = [x for x in kind[:generic] if x.kind == "i"]
+            if plain and plain[-1].text[:1].isupper():
+                written = " ".join(source[kind[0].at : kind[-1].at + len(kind[-1].text)].split())
+                arguments = list(dict.fromkeys(x.text for x in kind[generic:] if x.kind == "i")) if generic is not None else []
+                out[plain[-1].text, written] = arguments
+    return [(name, written, arguments) for (name, written), arguments in out.items()]
+
+
+def semantics(source: str, path: str) -> list[str]:
+    """Which of data-context, request-handler and marker-interface a C# file is."""
+    ts, declared = tokens(source, "csharp"), type_declarations(source)
+    stem = re.sub(r"\.cs\Z", "", path.rsplit("/", 1)[-1])
+    generic = {a.text for a, b in zip(ts, ts[1:], strict=False) if a.kind == "i" and b.text == "<"}
+    out = []
+    if "DbSet" in generic or any("DbContext" in bases for _, _, bases in declared):
+        out.append("data-context")
+    if "IRequestHandler" in generic or re.search(r"(?:Command|Query)Handler\Z", stem):
+        out.append("request-handler")
+    if re.match(r"I[A-Z]", stem) and any(kind == "interface" and name == stem for kind, name, _ in declared):
+        out.append("marker-interface")
+    return out
+
+
+def mentions(source: str) -> list[tuple[str, str, int]]:
+    """(how, name, position) of every name that may be that of an entity or of its collection: set for type arguments of
+    Set, repository for those of repositories, each at its last place; member for parts of an access by a dot, at its
+    last place; name for any identifier, at its first.  Using directives and namespaces say nothing."""
+    ts, strong, weak = tokens(source, "csharp"), {}, {}
+    i = 0
+    while i < len(ts):
+        t = ts[i]
+        after = ts[i + 1].text if i + 1 < len(ts) else ""
+        if t.text in ("using", "namespace") and after != "(" and (not i or ts[i - 1].text in (";", "{", "}", "]", "global")):
+            end = next((j for j in range(i, len(ts)) if ts[j].text in (";", "{", "=")), len(ts))
+            i = end + 1
+            continue
+        if t.kind == "i":
+            weak.setdefault(t.text, t.at)
+            if after == "<":
+                how = "set" if t.text == "Set" else "repository" if t.text in ("IRepository", "IReadRepository", "Repository") else None
+                depth = 0
+                for j in range(i + 1, len(ts)):
+                    depth += (ts[j].text == "<") - (ts[j].text == ">")
+                    if depth == 0 or ts[j].text in (";", "{"):
+                        break
+                    if how and ts[j].kind == "i":
+                        strong[how, ts[j].text] = t.at
+            before = ts[i - 1].text if i else ""
+            optional = before == "." and i > 1 and ts[i - 2].text == "?"
+            if not optional and (before == "." or after == "."):
+                strong["member", t.text] = t.at
+        i += 1
+    return [(how, name, at) for (how, name), at in strong.items()] + [("name", name, at) for name, at in weak.items()]
+
+
 def property_types(source: str) -> list[tuple[str, str]]:
     """(owner, type name) of public properties: every type that a property's declaration names."""
     ts, out, owner = tokens(source, "csharp"), [], None
@@ -457,6 +702,19 @@ def facts_of(path: str, content: str, architecture: bool = False) -> Iterator[tu
                 yield "calls", name, None
         for e in frontend_endpoints(content):
             yield "endpoint", e.url, e.method
+        opened = open_endpoints(content)
+        for e in opened:
+            yield "endpoint:open", e.url, e.method
+        for name, value in url_bindings(tokens(content, "typescript")).items() if opened else ():
+            yield "binds-url", name, value
+        for name, value in exported_bindings(content):
+            yield "exports-url", name, value
+        for specifier, exported, local in named_imports(content):
+            yield "import-name", specifier, f"{exported} {local}"
+        if prefix := version_prefix(content):
+            yield "version-prefix", prefix, None
+        for what in behaviours(content):
+            yield "behaviour", what, None
         if n := test_cases(content):
             yield "test-cases", None, str(n)
     elif path.endswith(".cs"):
@@ -468,8 +726,12 @@ def facts_of(path: str, content: str, architecture: bool = False) -> Iterator[tu
             yield "db-set", entity, name
         if (name := table_name(content)) is not None:
             yield "table", name, configured_entity(content)
-        for name in constructor_dependencies(content):
-            yield "injects", name, None
+        for name, written, arguments in injected_types(content):
+            yield "injects", name, f"{written}\n{','.join(arguments)}"
+        for what in semantics(content, path):
+            yield "semantics", what, None
+        for how, name, at in mentions(content):
+            yield f"mentions:{how}", name, str(at)
         for owner, name in property_types(content):
             yield "property", name, owner
         for evidence, at in thick_controller(content):

@@ -12,7 +12,7 @@ from ..sources.work import cut
 #: Fixed values, in the order that decides: the first fragment that a path contains.
 FRONT_FRAGMENTS = [
     ("/routes/", "route", "ui-route"), ("/pages/", "page", "ui-page"), ("/hooks/", "hook", "ui-component-logic"), ("/services/", "service", "front-service"), ("/repositories/", "repository", "front-repository"),
-    ("/config/", "config", "config"), ("/schemas/", "config", "config"), ("/stores/", "auxiliary", "auxiliary"), ("/types/", "auxiliary", "auxiliary"), ("/utils/", "auxiliary", "auxiliary"), ("/lib/", "auxiliary", "auxiliary"),
+    ("/config/", "config", "config"), ("/stores/", "auxiliary", "auxiliary"), ("/types/", "auxiliary", "auxiliary"), ("/schemas/", "config", "config"), ("/utils/", "auxiliary", "auxiliary"), ("/lib/", "auxiliary", "auxiliary"),
 ]
 BACK_FRAGMENTS = [
     ("/Controllers/", "controller", "api-controller"), ("/Queries/", "query", "application-request"), ("/Commands/", "command", "application-request"), ("/Handlers/", "handler", "application-handler"), ("/DTOs/", "dto", "hidden-dto"),
@@ -107,20 +107,25 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: list[tuple[st
 
 def ranked_lookup(wanted: DataFrame, declared: DataFrame) -> DataFrame:
     """For (source, name, module) the declaration of that name: same module first, then the first path; ambiguous if several."""
-    d = declared.select("name", F.col("module").alias("d_module"), "path")
-    joined = wanted.join(d, "name")
-    best = joined.groupBy("source", "name").agg(F.min(F.struct((F.col("d_module") != F.col("module")).cast("int").alias("far"), "path")).alias("b"), F.count("*").alias("n"))
-    return best.select("source", "name", F.col("b.path").alias("target"), (F.col("n") > 1).alias("ambiguous"))
+    found = tiered_lookup(wanted, declared.select("name", "module", "path", F.lit(0).alias("tier")), lambda path: F.lit(False))
+    return found.select("source", "name", "target", "ambiguous")
 
 
 def tiered_lookup(wanted: DataFrame, declared: DataFrame, is_test) -> DataFrame:
-    """For (source, name, module) the best of ``declared(path, module, name, tier)``: the lowest tier, then the same
-    module, then no test, then the first path; ambiguous if the best tier holds several."""
-    d = declared.select("name", "tier", F.col("module").alias("d_module"), "path")
-    order = F.struct("tier", (F.col("d_module") != F.col("module")).cast("int").alias("far"), is_test(F.col("path")).cast("int").alias("test"), "path")
-    joined = wanted.join(d, "name")
-    best = joined.groupBy("source", "name").agg(F.min(order).alias("b"), *(F.count_if(F.col("tier") == t).alias(f"n{t}") for t in (0, 1)))
-    return best.select("source", "name", F.col("b.path").alias("target"), (F.when(F.col("b.tier") == 0, F.col("n0")).otherwise(F.col("n1")) > 1).alias("ambiguous"))
+    """source, name, target, ambiguous, tier: for (source, name, module) the best of ``declared(path, module, name, tier)``:
+    the lowest tier, then the same module, then no test, then the first path; ambiguous if the best tier holds several.
+
+    Declarations come down to one a name and one a name and module before anything is
+    joined, so a name that is declared very often costs a caller no more than a rare one.
+    """
+    place = F.struct("tier", is_test(F.col("path")).cast("int").alias("test"), "path")
+    own = declared.groupBy("name", "tier", F.col("module").alias("d_module")).agg(F.min(place).alias("own"), F.count("*").alias("n"))
+    first = own.groupBy("name").agg(F.min("own").alias("first"), F.min("tier").alias("low"))
+    several = own.groupBy("name", F.col("tier").alias("low")).agg(F.sum("n").alias("several"))
+    best = first.join(several, ["name", "low"])
+    near = own.select("name", F.col("tier").alias("low"), F.col("d_module").alias("module"), "own")
+    joined = wanted.select("source", "name", "module").distinct().join(best, "name").join(near, ["name", "low", "module"], "left")
+    return joined.select("source", "name", F.coalesce("own.path", "first.path").alias("target"), (F.col("several") > 1).alias("ambiguous"), F.col("low").alias("tier"))
 
 
 def positioned(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:

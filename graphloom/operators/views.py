@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.files import MOST_BYTES
 from ..functions.text import health_key, title_case
 from .components import connected_components
 from .rules import positioned
@@ -149,7 +150,7 @@ def domain_order(nodes: DataFrame, relations: DataFrame, write, drop=lambda t: N
     return positioned(known.join(whole, "component"), order).select("id", "component", "position")
 
 
-def skipped_warning(skipped: DataFrame, limit_mib: int = 1) -> str | None:
+def skipped_warning(skipped: DataFrame, limit_mib: int = MOST_BYTES >> 20) -> str | None:
     """A sentence on files that were too large to read: how many, and the first five by path; None if there are none."""
     n = skipped.count()
     if not n:

@@ -80,5 +80,5 @@ def test_internal_parents(spark):
 
 def test_skipped_files(spark):
     skipped = spark.createDataFrame([(f"p{i}",) for i in range(7)], "path string")
-    assert views.skipped_warning(skipped) == "7 source files larger than 1 MiB were skipped: p0, p1, p2, p3, p4, and 2 more."
-    assert views.skipped_warning(skipped.filter("path = 'p3'")) == "1 source file larger than 1 MiB was skipped: p3." and views.skipped_warning(skipped.limit(0)) is None
+    assert views.skipped_warning(skipped) == "7 source files larger than 2 MiB were skipped: p0, p1, p2, p3, p4, and 2 more."
+    assert views.skipped_warning(skipped.filter("path = 'p3'")) == "1 source file larger than 2 MiB was skipped: p3." and views.skipped_warning(skipped.limit(0)) is None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lex
 from ..functions import text as fx
 from ..operators import guardrails, measure, merge, rules, views
-from ..sources.files import is_test, scan, skipped
+from ..sources.files import is_test, scan
 from ..sources.work import cut
 
 ENDINGS = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -337,7 +337,7 @@ def graph_of(files: DataFrame, facts: DataFrame, project: Project = Project()) -
     links = import_edges(facts, files, project).union(endpoint_links).union(backend).union(stored_links).union(usage_edges(usages, stores, known))
     edges = cut(merge.admitted_edges(merge.first_edges(links.withColumn("seq", F.concat_ws("::", "src", "type", "dst"))), nodes).select("id", "src", "dst", "type", "confidence"))
     evidence = measure.quality_evidence(nodes, edges, project.feature_folder, list(project.entry_paths), list(project.entry_suffixes))
-    warning = views.skipped_warning(skipped(files))
+    warning = views.skipped_warning(files.filter("content is null").select("path"))
     return ScannedGraph(
         nodes, edges, findings(files, facts, project), coverage(facts, files, project), measure.orphans(nodes, edges, list(project.entry_paths), list(project.entry_suffixes)),
         measure.quality_scores(evidence), usages, reviews(facts, sources), [warning] if warning else [],

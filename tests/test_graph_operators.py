@@ -257,7 +257,7 @@ def test_levels_of_chains_and_circles(spark):
     names = sorted({v for e in chain + circle for v in e})
     n = spark.createDataFrame([(v, "m", "k" if v == "other" else "l") for v in names], "id string, module string, layer string")
     got = {r.id: r.level for r in layout.levels(n, spark.createDataFrame(chain + circle, "src string, dst string")).collect()}
-    assert got == {f"c{i:02}": i for i in range(25)} | {"x": 0, "a": 1, "b": 1, "c": 1, "y": 2, "z": 3, "other": 0}
+    assert got == {f"c{i:02}": i for i in range(25)} | {"x": 0, "a": 3, "b": 1, "c": 2, "y": 2, "z": 3, "other": 0}
 
 
 def test_levels_and_rows(spark):

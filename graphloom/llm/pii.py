@@ -37,7 +37,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("o", *KINDS)
 FEATURES = 1 << 12
 CERTAIN = 0.9
-SWEEPS = 200  # a guard against messages that never settle
+SWEEPS = 1000  # a guard against messages that never settle; documents it stops are reported
 SETTLED = 1e-6
 AGREE = 8.0  # what equal or similar tokens gain from equal labels, before learning
 
@@ -86,6 +86,27 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
+def _word_before(text: str, at: int) -> str:
+    """The whole word before a place, however far and long."""
+    n = 40
+    while True:
+        part = text[max(0, at - n) : at]
+        words = part.split()
+        if at <= n or words and (len(words) > 1 or part[0].isspace()):
+            return words[-1] if words else ""
+        n *= 4
+
+
+def _word_after(text: str, at: int) -> str:
+    n = 40
+    while True:
+        part = text[at : at + n]
+        words = part.split()
+        if at + n >= len(text) or words and (len(words) > 1 or part[-1].isspace()):
+            return words[0] if words else ""
+        n *= 4
+
+
 def tokens_of(text: str | None) -> list[tuple[int, int, str, str, bool]]:
     """(start, end, word before, word after, next to the token before) of each candidate, its edges' signs left out."""
     if not text or not _CANDIDATE.search(text):
@@ -95,16 +116,14 @@ def tokens_of(text: str | None) -> list[tuple[int, int, str, str, bool]]:
         raw, a = m[0], m.start()
         core = raw.strip(_EDGE)
         shift = raw.find(core) if core else 0
-        before = text[max(0, a - 40) : a].split()
-        after = text[m.end() : m.end() + 40].split()
         joined = last >= 0 and text[last:a].isspace()
-        out.append((a + shift, a + shift + len(core or raw), before[-1] if before else "", after[0] if after else "", joined))
+        out.append((a + shift, a + shift + len(core or raw), _word_before(text, a), _word_after(text, m.end()), joined))
         last = m.end()
     return out
 
 
 def _features(word: str, before: str, after: str) -> list[int]:
-    shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", word[:64]))
+    shape = re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", word))
     digits = sum(map(str.isdigit, word))
     names = ["1", f"s{shape}", "r" + re.sub(r"9+", "9", shape), f"d{min(digits, 20)}", f"b{before.strip(_EDGE).lower()}", f"a{after.strip(_EDGE).lower()}", f"p{word[:1]}", f"@{'@' in word}{word.count('.') > 2}"]
     return [zlib.crc32(n.encode("utf-8", "replace")) % FEATURES for n in names]
@@ -118,6 +137,9 @@ class Graph:
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
         self.observed: list[int] = []
+        self.document: list[int] = []
+        self.documents = 0
+        self.unsettled: set[int] = set()
 
     def add(self, tokens: list[tuple[str, str, str, bool, int]], anchored: bool = False) -> None:
         """One document's (word, before, after, joined, label or -1); anchored: hubs are observed tokens, if there are any."""
@@ -127,6 +149,7 @@ class Graph:
             i = len(self.feats)
             self.feats.append(_features(word, before, after))
             self.observed.append(label)
+            self.document.append(self.documents)
             if joined:
                 self.chain.append((i - 1, i))
             digits = re.sub(r"\D", "", word)
@@ -137,6 +160,7 @@ class Graph:
                     hub[k] = i
         for i, keys in named:
             self.skip += sorted({(min(i, hub[k]), max(i, hub[k])) for k in keys if hub[k] != i})
+        self.documents += 1
 
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         """Ends of all edges, and the kind (0 chain, 1 skip)."""
@@ -168,18 +192,23 @@ class Field:
         pot = self.pairs[kind]
         lse = lambda x, axis: np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis)) + x.max(axis)
         belief = unary
-        for _ in range(SWEEPS if len(ends) else 0):
-            a, b = belief[ends[:, 0]] - back, belief[ends[:, 1]] - there
-            new_there, new_back = lse(a[:, :, None] + pot, 1), lse(b[:, None, :] + pot, 2)
+        owner = np.array(graph.document, np.int64)[ends[:, 0]]
+        live = np.arange(len(ends))  # edges of documents whose messages still change: none waits for another document
+        for _ in range(SWEEPS):
+            if not len(live):
+                break
+            e, mine = ends[live], owner[live]
+            new_there, new_back = lse((belief[e[:, 0]] - back[live])[:, :, None] + pot[live], 1), lse((belief[e[:, 1]] - there[live])[:, None, :] + pot[live], 2)
             new_there -= new_there.max(1, keepdims=True)
             new_back -= new_back.max(1, keepdims=True)
-            change = max(np.abs(new_there - there).max(), np.abs(new_back - back).max())
-            there, back = 0.5 * (there + new_there), 0.5 * (back + new_back)
+            change = np.zeros(graph.documents)
+            np.maximum.at(change, mine, np.maximum(np.abs(new_there - there[live]).max(1), np.abs(new_back - back[live]).max(1)))
+            there[live], back[live] = 0.5 * (there[live] + new_there), 0.5 * (back[live] + new_back)
             belief = unary.copy()
             np.add.at(belief, ends[:, 1], there)
             np.add.at(belief, ends[:, 0], back)
-            if change < SETTLED:
-                break
+            live = live[change[mine] >= SETTLED]
+        graph.unsettled = set(owner[live].tolist())
         p = np.exp(belief - belief.max(1, keepdims=True))
         e = (belief[ends[:, 0]] - back)[:, :, None] + pot + (belief[ends[:, 1]] - there)[:, None, :]
         e = np.exp(e - e.max((1, 2), keepdims=True))
@@ -249,12 +278,18 @@ def train(docs: DataFrame, sample: Sample = Sample()) -> Field:  # noqa: B008
 
 def find_spans(field: Field, texts: list[str | None]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """For each text its base spans and those that the field adds."""
-    graph, places, bases = Graph(), [], []
+    return [(base, added) for base, added, _ in judged_spans(field, texts)]
+
+
+def judged_spans(field: Field, texts: list[str | None]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], bool]]:
+    """The spans of find_spans() and whether the messages of the text have settled."""
+    graph, places, bases, number = Graph(), [], [], {}
     for n, text in enumerate(texts):
         base = base_spans(text)
         bases.append(base)
         if text:
             labelled = _labelled(text, base)
+            number[n] = graph.documents
             graph.add(labelled, anchored=True)
             places += [(n, a, b, joined, t[4]) for (a, b, _, _, joined), t in zip(tokens_of(text), labelled, strict=True)]
     added: list[list[tuple[int, int, int]]] = [[] for _ in texts]
@@ -268,7 +303,7 @@ def find_spans(field: Field, texts: list[str | None]) -> list[tuple[list[tuple[i
                     mine[-1] = (kind, mine[-1][1], b)
                 else:
                     mine.append((kind, a, b))
-    return [(b, sorted(x)) for b, x in zip(bases, added, strict=True)]
+    return [(b, sorted(x), number.get(n) not in graph.unsettled) for n, (b, x) in enumerate(zip(bases, added, strict=True))]
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -276,9 +311,11 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:  # noqa: B008
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of ``docs(doc_id, text)``.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, settled for each row of ``docs(doc_id, text)``.
 
-    The counts and the digest are of the base spans, ``spans`` holds all.  A null
+    The counts and the digest are of the base spans, ``spans`` holds all; ``settled``
+    is false if the messages of the document still changed when they were stopped.  A
+    document is judged for itself, whatever others it is read with.  A null
     text counts as empty.  Rows are neither dropped nor merged; other columns are
     ignored.
     """
@@ -288,14 +325,15 @@ def detect(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:  # noqa: B0
         for rows in arrow_rows(batches, "doc_id", "text"):
             for at in range(0, len(rows), 200):
                 some = rows[at : at + 200]
-                found = find_spans(shared.value, [t for _, t in some])
+                judged = judged_spans(shared.value, [t for _, t in some])
+                found = [(base, added) for base, added, _ in judged]
                 counts = [[sum(k == kind for k, _, _ in base) for base, _ in found] for kind in range(len(KINDS))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d for d, _ in some], pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found]), pa.array([_joined(sorted(b + x)) for b, x in found])],
-                    names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                    [pa.array([d for d, _ in some], pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(_joined(b).encode()).hexdigest() for b, _ in found]), pa.array([_joined(sorted(b + x)) for b, x in found]), pa.array([done for _, _, done in judged], pa.bool_())],
+                    names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "settled"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, settled boolean")
 
 
 def redacted(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:

@@ -113,3 +113,17 @@ def test_labels_reach_dozens_of_mentions():
             (base, added), = find_spans(f, [text])
             assert [k for k, _, _ in base] == [3]
             assert [k for k, _, _ in added] == [3] * text.count(" 15235557040")
+
+
+def test_whole_words_stand_around_a_candidate():
+    text = "x" * 70 + "  a@b.org " + " " * 50 + "y" * 90 + " z"
+    ((_, _, before, after, _),) = pii.tokens_of(text)
+    assert (before, after) == ("x" * 70, "y" * 90)
+    assert pii.tokens_of("1")[0][2:4] == ("", "") and pii.tokens_of(" " * 100 + "1" + "\n" * 100)[0][2:4] == ("", "")
+
+
+def test_a_document_is_judged_for_itself():
+    field = pii.Field.fresh()
+    texts = ["call +49 30 1234567 or 0301234567", None, "a@b.org a@b.org x1", " ".join(f"+49 30 12345{i % 7}7 n{i} 12345{i % 7}7" for i in range(300))]
+    alone = [pii.judged_spans(field, [t])[0] for t in texts]
+    assert pii.judged_spans(field, texts) == alone and all(done for _, _, done in alone)

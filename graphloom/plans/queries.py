@@ -421,13 +421,6 @@ def module_trace_nodes(spark, sf_dir):
     return trace.module_trace(n, e, "NATION_7")
 
 
-@query("RECURSIVE, " + """l AS (SELECT DISTINCT e.src AS a, e.dst AS b FROM e JOIN part ON concat('part:', p_partkey) = e.dst WHERE e.type = 'depends-on' AND p_size = 7), bi AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r(node, root) AS (SELECT a, a FROM bi UNION SELECT bi.b, root FROM r JOIN bi ON bi.a = r.node) SELECT node, MIN(root) AS component FROM r GROUP BY node""")
-def connected_components_of_parts(spark, sf_dir):
-    small = table(spark, sf_dir, "part").filter("p_size = 7").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("dst"))
-    links = cgraph.edges(spark, sf_dir).filter("type = 'depends-on'").join(small, "dst").select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    return connected_components(links, cut)
-
-
 @query()
 def connected_components_of_dependencies(spark, sf_dir):
     links = cgraph.edges(spark, sf_dir).filter("type = 'depends-on'").select(F.col("src").alias("u"), F.col("dst").alias("v"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import lex
 from ..functions import text as fx
 from ..operators import guardrails, measure, merge, rules, views
+from ..sources.facts import kept_facts
 from ..sources.files import is_test, scan
 from ..sources.work import cut
 
@@ -318,10 +319,14 @@ def usage_edges(usages: DataFrame, stores: DataFrame, known: DataFrame) -> DataF
     return row(every, "uses-entity", F.concat(F.lit("entity:"), "entity")).union(row(every.filter("persistent"), "queries-table", F.concat(F.lit("table:"), "table")))
 
 
-def scan_graph(spark: SparkSession, root: str, project: Project = Project()) -> ScannedGraph:  # noqa: B008
-    """Scans a tree. Each file is read and lexed once; everything after is joins and aggregations."""
+def scan_graph(spark: SparkSession, root: str, project: Project = Project(), store: str | None = None) -> ScannedGraph:  # noqa: B008
+    """Scans a tree. Each file is read and lexed once; everything after is joins and aggregations.
+
+    With a ``store`` (a folder that all executors share) files that it has facts of are not lexed again.
+    """
     files = cut(scan(spark, root, [".ts", ".tsx", ".js", ".jsx", ".cs"]))
-    facts = cut(lex.facts(files, project.guardrails is not None))
+    architecture = project.guardrails is not None
+    facts = cut(lex.facts(files, architecture) if store is None else kept_facts(files, store, architecture)[0])
     return graph_of(files, facts, project)
 
 

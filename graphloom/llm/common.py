@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -141,3 +144,20 @@ def numbered(df: DataFrame, order: list, out: Written) -> DataFrame:
     offsets = df.sparkSession.createDataFrame(starts, f"{part} int, __loom_before long")
     place = F.row_number().over(Window.partitionBy(part).orderBy(*order))
     return ranges.withColumn("rank", place).join(F.broadcast(offsets), part).withColumn("rank", (F.col("rank") + F.col("__loom_before")).cast("long")).drop(part, "__loom_before")
+
+
+def gives_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of a task, which hands the memory it has freed back to the system when it ends: Spark keeps
+    Python workers for later tasks, and what they hold is missing in other stages of an executor."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim is not None:
+                trim(0)
+
+    return task

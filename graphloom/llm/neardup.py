@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import Written, arrow_rows
+from .common import Written, arrow_rows, gives_back
 
 TREES = 25
 DEPTH = 3  # positions of a tree
@@ -104,6 +104,7 @@ def tokens(shingles: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, f1, f2 (fingerprint of the set), tokens; for the empty set the last three are null."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in arrow_rows(batches, "doc_id", "text"):
             for at in range(0, len(rows), 1000):
@@ -143,6 +144,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     bitmap[words.column("w").to_numpy()] = words.column("b").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for batch in batches:
@@ -167,6 +169,7 @@ def _first_nodes(sets: DataFrame) -> DataFrame:
 def _lower_nodes(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(tree, node, rep, n): the documents of inner nodes in the children at both positions of each; tree is null there."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -251,6 +254,7 @@ def _undecided(small: DataFrame, sets: DataFrame, first: DataFrame, percent: int
     ``first(rep, small)`` says in which trees a set is in a node that is compared at the first level.
     """
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: list[tuple[int, ...]] = []

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows
+from .common import arrow_rows, gives_back
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("o", *KINDS)
@@ -263,6 +263,7 @@ def train(docs: DataFrame, sample: Sample = Sample()) -> Field:  # noqa: B008
     share = min(1.0, sample.documents / max(1, docs.count()))
     unit = (F.xxhash64(F.lit(31), "doc_id") % (1 << 20) + (1 << 20)) / (1 << 21)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in arrow_rows(batches, "doc_id", "text"):
             found = [(d, json.dumps(t)) for d, t in ((d, _labelled(x, base_spans(x))) for d, x in rows if x) if t]
@@ -321,6 +322,7 @@ def detect(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:  # noqa: B0
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in arrow_rows(batches, "doc_id", "text"):
             for at in range(0, len(rows), 200):
@@ -352,6 +354,7 @@ def redact(docs: DataFrame, sample: Sample = Sample()) -> DataFrame:  # noqa: B0
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
     columns, at = docs.columns, docs.columns.index("text")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 200):

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written
+from .common import Written, gives_back
 from .neardup import _BYTE, _mix, _powers
 
 BUCKETS = 1 << 16
@@ -93,6 +93,7 @@ def calibrates(doc_id: int) -> bool:
 def log_ratios(docs: DataFrame, good: frozenset[int]) -> np.ndarray:
     """The log ratio of target to raw model of each bucket; counts cover all documents."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
@@ -150,6 +151,7 @@ def _scored(docs: DataFrame, ratios: np.ndarray, sample: dict[int, int], seed: i
     """doc_id, n_grams, log_weight, score (with noise), label (of those that calibrate) for each row."""
     shared = docs.sparkSession.sparkContext.broadcast((ratios, sample))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, known = shared.value
         for batch in batches:
@@ -202,6 +204,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, selection: Selection = Sele
     columns = docs.columns
     at = columns.index("text")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weight = np.array([log_weight(shared.value, t.as_py())[0] for t in batch.column(at)])

@@ -43,9 +43,10 @@ def _written(document: str) -> str:
 
 @_query(f"""SELECT concat('f', c_custkey, '.submap.json') AS file, CASE WHEN form < 3 THEN concat('map', c_custkey % 100) ELSE concat('invalid:f', c_custkey, '.submap.json') END AS id,
 CASE WHEN form < 3 THEN concat('Map ', c_custkey % 100) ELSE concat('f', c_custkey, '.submap.json') END AS name, CASE WHEN form < 3 THEN concat('sha256:', sha256({_written(DOCUMENT)})) END AS uid,
-CASE WHEN form < 3 THEN CAST(c_custkey // 100 + 1 AS BIGINT) END AS revision, CASE WHEN form < 3 THEN CAST(2 AS BIGINT) END AS n_nodes, CASE WHEN form < 3 THEN 'valid' ELSE 'invalid' END AS status,
+CASE WHEN form < 3 THEN CAST(c_custkey // 100 + 1 AS BIGINT) ELSE 0 END AS revision, CASE WHEN form < 3 THEN CAST(2 AS BIGINT) ELSE 0 END AS n_nodes, CASE WHEN form < 3 THEN 'valid' ELSE 'invalid' END AS status,
 CASE form WHEN 3 THEN 'SUBMAP_INVALID_JSON' WHEN 4 THEN 'SUBMAP_EDGE_ENDPOINT_MISSING' WHEN 5 THEN 'SUBMAP_UID_MISMATCH' WHEN 6 THEN 'SUBMAP_INVALID_REVISION' WHEN 7 THEN 'SUBMAP_STATISTICS_MISMATCH' ELSE '' END AS issues
 FROM (SELECT *, c_custkey % 8 AS form FROM customer) x""")
 def stored_submaps(spark, sf_dir):
     """Which stored documents are sound, and what is wrong with the others."""
-    return catalogue.catalogue(stored_texts(spark, sf_dir)).select("file", "id", "name", "uid", "revision", "n_nodes", "status", F.array_join("issues", ",").alias("issues"))
+    number = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return catalogue.catalogue(stored_texts(spark, sf_dir)).select("file", "id", "name", "uid", number("revision"), number("n_nodes"), "status", F.array_join("issues", ",").alias("issues"))

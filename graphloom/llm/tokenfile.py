@@ -36,6 +36,8 @@ SAMPLE = 256
 _HEAD = struct.Struct("<QQIIII")  # n, universe, low bits, bytes of low, bytes of high, samples
 #: n_docs, n_tokens, bytes an id, documents without id, smallest id, place of ends, place of doc ids
 _FOOTER = struct.Struct("<QQIQqQQ")
+#: About as much text (and 16 bytes a document beside) as a shard holds at most, unless one document is longer.
+SHARD_BYTES = 128 << 20
 
 
 class EliasFano:
@@ -164,7 +166,13 @@ def _worker_memo(path: str) -> tuple[Memo, int]:
     return Memo(encode, limit=7 << 17, whole_if=lambda t: marks is not None and marks.search(t) is not None), library.get_vocab_size(with_added_tokens=True)
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0) -> list[tuple[str, int, int]]:
+def shard_count(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
+    """How many shards documents take: as many as their counted bytes fill, and no fewer than the shuffle has partitions."""
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+
+
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 0, shard_bytes: int = SHARD_BYTES) -> list[tuple[str, int, int]]:
     """Writes ``docs(doc_id, text)`` to shards in ``folder``; returns (file, documents, tokens) in order.
 
     Documents stand in ascending doc_id, first those without one; equal doc_ids
@@ -172,7 +180,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     return value holds one row per shard, never one per document.
 
     Each task writes to a name of its own and renames it when complete, so lost
-    executors and repeated attempts leave no half-written shard behind.
+    executors and repeated attempts leave no half-written shard behind; what
+    attempts that died have left under their own names is deleted at the end.
+    The number of shards follows the bytes of all texts, which are counted first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +190,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
         memo, vocabulary = _worker_memo(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        name, writer, n = f"shard-{TaskContext.get().partitionId():06d}.ids", None, 0
+        name, writer, n = f"shard-{TaskContext.get().partitionId():09d}.ids", None, 0
         fs, base = pafs.FileSystem.from_uri(folder)
         part = f"{base}/_{name}.{uuid.uuid4().hex}"
         for batch in batches:
@@ -198,9 +208,20 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
             fs.move(part, f"{base}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([writer.total], pa.int64())], names=["file", "docs", "tokens"])
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = shard_count(docs, shard_bytes)
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return sorted(map(tuple, ordered.mapInArrow(run, "file string, docs long, tokens long").collect()))
+    shards = sorted(map(tuple, ordered.mapInArrow(run, "file string, docs long, tokens long").collect()))
+    _delete_parts(docs.sparkSession, folder)
+    return shards
+
+
+def _delete_parts(spark: SparkSession, folder: str) -> None:
+    """Deletes the unfinished files of attempts that died; those of an attempt still at work fail with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(path) if fs.exists(path) else []:
+        if status.getPath().getName().startswith("_shard-"):
+            fs.delete(status.getPath(), False)
 
 
 def read_token_files(spark: SparkSession, folder: str, shards: list[tuple[str, int, int]], block: int = 1 << 20) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from graphloom.llm.common import new_path
-from graphloom.llm.tokenfile import EliasFano, ShardReader, read_token_files, stored_documents, write_token_files
+from graphloom.llm.tokenfile import EliasFano, ShardReader, read_token_files, shard_count, stored_documents, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -88,3 +88,16 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert stored_documents(df, PATH).count() == 0
     assert read_token_files(spark, "file:///nowhere", []).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_shards_follow_the_bytes_and_parts_of_dead_attempts_go(spark, tmp_path):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = spark.createDataFrame([(i, "ä" * 50) for i in range(40)] + [(90, None)], "doc_id long, text string")
+    assert shard_count(docs) == least == shard_count(docs.limit(0))
+    assert shard_count(docs, 40 * 116 + 16) == least and shard_count(docs, 400) == -(-(40 * 116 + 16) // 400)
+    (tmp_path / "_shard-000000.ids.dead").write_bytes(b"half")
+    shards = write_token_files(docs, PATH, f"file://{tmp_path}", shard_bytes=400)
+    assert len(shards) > least and sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == [s[0] for s in shards]
+    got = {r["doc_id"]: r["start"] for r in read_token_files(spark, f"file://{tmp_path}", shards).collect()}
+    whole = {r["doc_id"]: r["start"] for r in stored_documents(docs, PATH).collect()}
+    assert got == whole

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lex
@@ -35,6 +35,26 @@ class Project:
     extra: dict = field(default_factory=dict)
 
 
+def project_of(row: Row) -> Project:
+    """The project that a row of ``projectmaps.normalized`` describes; files outside the frontend count as backend.
+
+    An empty list of rules stands for all; a null list of entry points or suffixes for none.
+    """
+    front = row["frontend_root"].strip("/")
+    back = (row["backend_root"] or "").strip("/")
+    keys = {"ruleId": "rule", "pathPattern": "path", "reason": "reason", "expiresOn": "expires"}
+    return Project(
+        front_root=f"{front}/",
+        back_root=f"{back}/",
+        aliases=tuple((a["prefix"], a["path"].strip("/") + "/" if a["prefix"].endswith("/") else a["path"]) for a in row["aliases"]),
+        feature_folder=f"{front}/{(row['feature_folder_pattern'] or '').strip('/')}/",
+        entry_paths=tuple(row["entry_points"] or ()),
+        entry_suffixes=tuple(row["entry_suffixes"] or ()),
+        suppressions=tuple({keys[k]: v for k, v in s.asDict().items() if v is not None} for s in row["suppressions"]),
+        enabled_rules=tuple(row["rules_enabled"]) or None,
+    )
+
+
 @dataclass(frozen=True)
 class ScannedGraph:
     """Tables of a scanned tree; findings carry suppressed and reason, usages say why a file uses an entity, reviews

@@ -18,9 +18,11 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,27 +105,41 @@ def _frames(payloads: list[bytes]) -> Iterator[list[bytes]]:
         yield out
 
 
-def _avi(frames: list[bytes], payload_bytes: int) -> bytes:
-    """A RIFF file with headers, the frames and their index; chunk ``plen`` has the payload's length."""
-    w, h, n, most = WIDE * 8, HIGH * 8, len(frames), max(map(len, frames))
+def _head(n: int, most: int, payload_bytes: int) -> bytes:
+    """All that stands before the frames, but for the sizes of the file and of the list of frames; as long for any numbers."""
+    w, h = WIDE * 8, HIGH * 8
     avih = struct.pack("<14I", 1_000_000 // FPS, most * FPS, 0, 0x10, n, 0, 1, most, w, h, 0, 0, 0, 0)
     strh = b"vidsMJPG" + struct.pack("<IHHIIIIIIII4H", 0, 0, 0, 0, 1, FPS, 0, n, most, 0xFFFFFFFF, 0, 0, 0, w, h)
     strf = struct.pack("<IiiHH4sIiiII", 40, w, h, 1, 24, b"MJPG", w * h * 3, 0, 0, 0, 0)
     hdrl = _chunk(b"LIST", b"hdrl" + _chunk(b"avih", avih) + _chunk(b"LIST", b"strl" + _chunk(b"strh", strh) + _chunk(b"strf", strf)))
-    movi, index, at = [], [], 4
+    return b"AVI " + hdrl + _chunk(b"plen", struct.pack("<Q", payload_bytes))
+
+
+def _avi(frames: Iterable[bytes], payload_bytes: int) -> bytes:
+    """A RIFF file with headers, the frames as they come and their index; chunk ``plen`` has the payload's length."""
+    movi = 8 + len(_head(0, 0, 0))
+    out = bytearray(movi + 12)
+    lengths, places = array("I"), array("I")
     for f in frames:
-        c = _chunk(b"00dc", f)
-        movi.append(c)
-        index.append(b"00dc" + struct.pack("<III", 0x10, at, len(f)))
-        at += len(c)
-    body = b"AVI " + hdrl + _chunk(b"plen", struct.pack("<Q", payload_bytes)) + _chunk(b"LIST", b"movi" + b"".join(movi)) + _chunk(b"idx1", b"".join(index))
-    return b"RIFF" + struct.pack("<I", len(body)) + body
+        places.append(len(out) - movi - 8)
+        lengths.append(len(f))
+        out += _chunk(b"00dc", f)
+    out[movi : movi + 12] = b"LIST" + struct.pack("<I", len(out) - movi - 8) + b"movi"
+    index = np.full((len(lengths), 4), int.from_bytes(b"00dc", "little"), "<u4")
+    index[:, 1], index[:, 2], index[:, 3] = 0x10, places, lengths
+    out += _chunk(b"idx1", index.tobytes())
+    out[:movi] = b"RIFF" + struct.pack("<I", len(out) - 8) + _head(len(lengths), max(lengths), payload_bytes)
+    return bytes(out)
 
 
 def write_avi(payloads: list[bytes]) -> list[bytes]:
-    """Media of payloads whose lengths are positive multiples of UNIT."""
+    """Media of payloads whose lengths are positive multiples of UNIT; one on its own is coded slice by slice."""
     if any(not p or len(p) % UNIT for p in payloads):
         raise ValueError(f"payloads must be positive multiples of {UNIT} bytes")
+    if len(payloads) == 1:
+        step = FRAMES * PER_FRAME * UNIT
+        slices = (next(_frames([payloads[0][at : at + step]])) for at in range(0, len(payloads[0]), step))
+        return [_avi(chain.from_iterable(slices), len(payloads[0]))]
     return [_avi(f, len(p)) for f, p in zip(_frames(payloads), payloads, strict=True)]
 
 
@@ -338,7 +354,11 @@ class Read:
 
     @property
     def feature(self) -> str:
-        return f"frames={self.frames};cuts={' '.join(map(str, self.cuts))};hist={zlib.crc32(self.histograms.astype('<u4').tobytes()):08x}"
+        return _feature(self.cuts, self.histograms)
+
+
+def _feature(cuts: list[int], histograms: np.ndarray) -> str:
+    return f"frames={len(histograms)};cuts={' '.join(map(str, cuts))};hist={zlib.crc32(histograms.astype('<u4').tobytes()):08x}"
 
 
 def read_avi(media: list[bytes]) -> list[Read]:
@@ -355,9 +375,50 @@ def read_avi(media: list[bytes]) -> list[Read]:
     return out
 
 
+@dataclass(frozen=True)
+class Summary:
+    """What is read back from a medium, without the payload itself."""
+
+    payload_bytes: int
+    payload_sha256: str
+    tail_crc32: int
+    frames: int
+    fps: float
+    cuts: list[int]
+    feature: str
+
+
+def _sliced(medium: bytes) -> Summary:
+    """Reads a medium ``FRAMES`` frames at a time, with running digests."""
+    places, length, fps = read_index(medium)
+    left = len(places) * PER_FRAME * UNIT if length is None else length
+    size, sha, tail, hists = 0, hashlib.sha256(), b"", [np.empty((0, BINS), np.int64)]
+    for at in range(0, len(places), FRAMES):
+        units = decode_frames([medium[a : a + n] for a, n in places[at : at + FRAMES]])
+        hists.append(luminance_histograms(units))
+        part = units.tobytes()[: left - size]
+        sha.update(part)
+        size += len(part)
+        tail = (tail + part[-16:])[-16:]
+    h = np.concatenate(hists)
+    cuts = shot_cuts(h)
+    return Summary(size, sha.hexdigest(), zlib.crc32(tail), len(places), fps, cuts, _feature(cuts, h))
+
+
+def summaries(media: list[bytes]) -> list[Summary]:
+    """Of media that are read together, or of one that is read slice by slice."""
+    if len(media) == 1:
+        return [_sliced(media[0])]
+    return [Summary(len(r.payload), hashlib.sha256(r.payload).hexdigest(), zlib.crc32(r.payload[-16:]), r.frames, r.fps, r.cuts, _feature(r.cuts, r.histograms)) for r in read_avi(media)]
+
+
 def _grouped(rows: list[tuple], size) -> Iterator[list[tuple]]:
+    """Rows of some CHUNK bytes together; one that is as large by itself stands alone."""
     part, total = [], 0
     for r in rows:
+        if part and size(r) >= CHUNK:
+            yield part
+            part, total = [], 0
         part.append(r)
         total += size(r)
         if total >= CHUNK or len(part) >= 1000:
@@ -389,7 +450,7 @@ def clips(media: DataFrame) -> DataFrame:
         for rows in arrow_rows(batches, "doc_id", "media"):
             for part in _grouped([r for r in rows if r[1] is not None], lambda r: len(r[1])):
                 out = []
-                for (d, _), r in zip(part, read_avi([m for _, m in part]), strict=True):
+                for (d, _), r in zip(part, summaries([m for _, m in part]), strict=True):
                     edges = [0, *r.cuts, r.frames]
                     out += [(d, k, a, b - a, a / r.fps, b / r.fps) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
@@ -404,18 +465,24 @@ def media_digests(docs: DataFrame) -> DataFrame:
     doc_id, n_bytes (of the text), payload_bytes, payload_sha256 and tail_crc32
     (both as read back), media_bytes, media_sha256, feature.  A null text is
     stored as empty.  Rows are neither dropped nor merged.  Other columns are ignored.
+    Of a long text the bytes and the medium are in memory; frames are coded and read in slices.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in arrow_rows(batches, "doc_id", "text"):
             for part in _grouped(rows, lambda r: len(r[1] or "")):
-                raw = [(t or "").encode("utf-8", "replace") for _, t in part]
-                media = write_avi([padded(r) for r in raw])
-                back = read_avi(media)
-                sha = lambda x: hashlib.sha256(x).hexdigest()
+                sizes, payloads = [], []
+                for _, t in part:
+                    raw = (t or "").encode("utf-8", "replace")
+                    sizes.append(len(raw))
+                    payloads.append(padded(raw))
+                    del raw
+                media = write_avi(payloads)
+                del payloads
+                back = summaries(media)
                 cols = [
-                    pa.array([d for d, _ in part], pa.int64()), pa.array([len(r) for r in raw], pa.int64()), pa.array([len(b.payload) for b in back], pa.int64()), pa.array([sha(b.payload) for b in back]),
-                    pa.array([zlib.crc32(b.payload[-16:]) for b in back], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([sha(m) for m in media]), pa.array([b.feature for b in back]),
+                    pa.array([d for d, _ in part], pa.int64()), pa.array(sizes, pa.int64()), pa.array([b.payload_bytes for b in back], pa.int64()), pa.array([b.payload_sha256 for b in back]),
+                    pa.array([b.tail_crc32 for b in back], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([b.feature for b in back]),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 

@@ -97,3 +97,22 @@ def test_long_payloads_in_slices(monkeypatch):
     assert M.write_avi(raw) == stored
     assert [r.payload for r in sliced] == raw
     assert [r.feature for r in M.read_avi(stored)] == [r.feature for r in sliced]
+
+
+def test_one_medium_is_read_slice_by_slice(monkeypatch):
+    rng = random.Random(8)
+    raw = [M.padded(rng.randbytes(n)) for n in (0, 1535, 1536, 1537, 3 * 1536, 3 * 1536 + 1, 40_000)]
+    stored = M.write_avi(raw)
+    whole = M.read_avi(stored)
+    monkeypatch.setattr(M, "FRAMES", 3)
+    for p, m, r in zip(raw, stored, whole, strict=True):
+        assert M.write_avi([p]) == [m]
+        got = M.summaries([m])[0]
+        assert (got.payload_bytes, got.payload_sha256, got.tail_crc32) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        assert (got.frames, got.fps, got.cuts, got.feature) == (r.frames, r.fps, r.cuts, r.feature)
+    assert M.summaries(stored) == [M.summaries([m])[0] for m in stored]
+
+
+def test_a_long_text_stands_alone():
+    parts = list(M._grouped([(1, 5), (2, M.CHUNK), (3, 7), (4, M.CHUNK - 8), (5, 2), (6, 1)], lambda r: r[1]))
+    assert [[r[0] for r in p] for p in parts] == [[1], [2], [3, 4, 5], [6]]

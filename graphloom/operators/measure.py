@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,16 +144,30 @@ def latest_revisions(revisions: DataFrame) -> DataFrame:
     return ranked.filter("rn = 1").drop("rn")
 
 
-def digest(lines: DataFrame, bucket: int = 1 << 16) -> DataFrame:
+def digest(lines: DataFrame) -> DataFrame:
     """One row: SHA-256 over a set of lines, in two levels so that no task sorts them all.
 
-    Lines fall into buckets by their own hash, 16 ** width of them with about
-    ``bucket`` lines each, where the width follows from the number of lines (2 at
-    least, 5 at most); the digests of the buckets, in order, are hashed again.
+    Lines fall into 256 buckets by the first two digits of their own hash, whatever
+    their number, so equal sets have equal digests; a bucket's lines stream through its
+    hash in order, and the digests of the buckets, in order, are hashed again.
     """
-    n, width = lines.count(), 2
-    while 16**width * bucket < n and width < 5:
-        width += 1
-    keyed = lines.select(F.substring(F.sha2("line", 256), 1, width).alias("b"), "line")
-    buckets = keyed.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
+    keyed = lines.filter("line is not null").select(F.substring(F.sha2("line", 256), 1, 2).alias("b"), "line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha = None, hashlib.sha256()
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([now]), pa.array([sha.hexdigest()])], names=["b", "d"])
+        for batch in batches:
+            for b, rows in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), itemgetter(0)):
+                text = "\n".join(line for _, line in rows)
+                if b != now:
+                    if now is not None:
+                        yield done()
+                    now, sha = b, hashlib.sha256()
+                else:
+                    text = "\n" + text
+                sha.update(text.encode())
+        if now is not None:
+            yield done()
+
+    buckets = keyed.repartition("b").sortWithinPartitions("b", "line").mapInArrow(run, "b string, d string")
     return buckets.agg(F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: F.concat(x.b, F.lit(" "), x.d)), "\n"), 256)).alias("digest"))

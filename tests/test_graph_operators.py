@@ -265,3 +265,18 @@ def test_levels_and_rows(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
     assert {r.id: r.level for r in layout.levels(n, e).collect()} == {"a": 0, "b": 1, "c": 2}
     assert {r.id: r.y for r in layout.rows(n).collect()} == {"a": 0, "b": 76, "c": 152}
+
+
+def test_digest_has_the_same_buckets_whatever_the_number_of_lines(spark, monkeypatch):
+    from hashlib import sha256
+
+    texts = [f"line {i} é" for i in range(600)] + ["line 1 é", "", "a\nb"]
+    lines = spark.createDataFrame([(t,) for t in [*texts, None]], "line string").repartition(7)
+    monkeypatch.setattr(lines, "count", lambda: 1 << 30)
+    buckets = {}
+    for t in sorted(texts, key=str.encode):
+        buckets.setdefault(sha256(t.encode()).hexdigest()[:2], []).append(t)
+    whole = "\n".join(f"{b} {sha256(chr(10).join(ts).encode()).hexdigest()}" for b, ts in sorted(buckets.items()))
+    assert measure.digest(lines).first().digest == "sha256:" + sha256(whole.encode()).hexdigest()
+    none = spark.createDataFrame([], "line string")
+    assert measure.digest(none).first().digest == "sha256:" + sha256(b"").hexdigest()

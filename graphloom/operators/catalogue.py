@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..plans.documents import ACCESS, submap_uid
-from ..sources.work import cut, drop
+from ..sources.work import cut, dealt, drop
 
 # What a document must hold, in the order in which it is checked, and the codes that callers match.
 KIND = "code-map/submap"
@@ -171,8 +171,11 @@ def judged(texts: DataFrame) -> DataFrame:
 
 
 def catalogue(texts: DataFrame) -> DataFrame:
-    """All stored subgraphs, by name as people order names, the newest revision first, then by file."""
-    return judged(texts).orderBy(F.collate("name", "UNICODE"), F.coalesce("revision", F.lit(0)).desc(), "file")
+    """All stored subgraphs, by name as people order names, the newest revision first, then by file.
+
+    Judging costs far more than reading, so texts are dealt over all tasks and judged once, before they are ordered.
+    """
+    return cut(judged(dealt(texts, 1_000))).orderBy(F.collate("name", "UNICODE"), F.coalesce("revision", F.lit(0)).desc(), "file")
 
 
 def by_uid(texts: DataFrame, uid: str) -> DataFrame:

@@ -37,3 +37,11 @@ def drop(*tables: DataFrame) -> None:
         if path := getattr(t, "_loom_path", None):
             hadoop = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def dealt(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """The same rows in parts of about ``rows``, for work on rows that costs far more than reading them: a small file is one part, however long its rows take."""
+    spark = df.sparkSession
+    most = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(most, -(-df.count() // rows))
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df

@@ -112,3 +112,18 @@ def test_clashing_columns_repeats_and_empty(spark):
     odd = catalogue.judged(spark.createDataFrame(rows, "file string, text string, tree string, issues int"))
     assert sorted((r["file"], r["status"]) for r in odd.collect()) == [("", "invalid"), ("x", "valid"), ("x", "valid")]
     assert catalogue.catalogue(spark.createDataFrame([], "file string, text string")).count() == 0
+
+
+def test_catalogue_judges_each_text_once_and_in_several_parts(spark):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(n):
+        read.add(1)
+        return "{}"
+
+    texts = spark.range(0, 2_500, 1, 1).select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("file"), F.udf(seen, "string")("id").alias("text"))
+    assert catalogue.catalogue(texts).count() == 2_500
+    assert len(catalogue.catalogue(texts).collect()) == 2_500
+    assert read.value == 5_000

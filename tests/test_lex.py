@@ -148,3 +148,11 @@ def test_streamed_upserts(spark, tmp_path):
     table.apply(two, 1)
     whole = {tuple(r) for r in merged(None, one.union(two), ["label", "type"]).collect()}
     assert {tuple(r) for r in table.read().collect()} == whole and {(r[0], r[1], r[2]) for r in whole} == {("a", "A", "x"), ("b", "B", "t")}
+
+
+def test_facts_of_many_small_files_in_one_part_are_read_in_several(spark):
+    from pyspark.sql import functions as F
+
+    files = spark.range(0, 30_001, 1, 1).select(F.concat(F.lit("a"), F.col("id").cast("string"), F.lit(".ts")).alias("path"), F.lit("const a: any = 1").alias("content"))
+    assert lex.facts(files).rdd.getNumPartitions() == 4
+    assert lex.facts(files.limit(1)).rdd.getNumPartitions() == 1

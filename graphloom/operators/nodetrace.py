@@ -51,6 +51,11 @@ def _target(best: DataFrame, kinds: DataFrame, key: list[str], wanted: tuple[str
     return near.groupBy(*key).agg(F.coalesce(*firsts).alias("t")).select(*key, F.col("t.id").alias("id"))
 
 
+def node_paths(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entry_paths: tuple[str, ...] = ()) -> DataFrame:
+    """The ways of node_traces() alone: its ``paths`` without the counts of members, which cost a search from and to all stores."""
+    return _sides(nodes, edges, selected, entry_paths)[0]
+
+
 def node_traces(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entry_paths: tuple[str, ...] = ()) -> Traces:
     """The traces of ``selected(id)``; ids that are no nodes have none.
 
@@ -60,6 +65,17 @@ def node_traces(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entry_p
     contain it, cost less.  If there is none, components, subcomponents and hooks go on from
     the nearest such ancestor that has one.
     """
+    sides, allowed, kinds, origins = _sides(nodes, edges, selected, entry_paths)
+    members = cut(_members(sides, allowed, kinds, origins))
+    counts = members.join(kinds, "id").groupBy("source").agg(F.count_if(F.col("type") == "table").alias("n_tables"), F.count_if(F.col("type") == "endpoint").alias("n_endpoints"))
+    paths = sides.join(counts, "source", "left").withColumn("path_count", F.greatest(F.lit(1), "n_endpoints", "n_tables"))
+    end = lambda c: members.select("source", F.col("id").alias(c))
+    inner = allowed.select(F.col("id").alias("edge"), "src", "dst").join(end("src"), "src").join(end("dst"), ["source", "dst"]).select("source", "edge")
+    return Traces(paths, members, inner)
+
+
+def _sides(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entry_paths: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Both ways of each source; and allowed edges, types of nodes, origins, all from written tables."""
     optional = lambda c: F.col(c) if c in nodes.columns else F.lit(None).cast("string")
     known = cut(nodes.select("id", "type", "module", "label", "path", optional("action").alias("action"), optional("method").alias("method")))
     allowed = cut(trace.trace_edges(edges, nodes).withColumn("base", trace.edge_weight()).select("id", "src", "dst", "base"))
@@ -76,11 +92,12 @@ def node_traces(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entry_p
     containers = cut(above.join(chosen.select("source", "module", "type"), "source").filter("their <=> module").select("source", "at", "id", "type", "name"))
     named = containers.groupBy("source").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", trace.token_column(F.col("name")).alias("t")))), lambda x: x["t"])).alias("more"))
     none = F.array().cast("array<string>")
-    wants = cut(chosen.join(named, "source", "left").select("source", F.array_distinct(F.concat(trace.token_column(F.col("label")), F.coalesce("more", none))).alias("tokens")))
+    wants = cut(chosen.join(named, "source", "left").select("source", F.array_distinct(F.concat(trace.token_column(F.col("label")), F.coalesce("more", none))).alias("tokens")).withColumn("singles", trace.singulars(F.col("tokens"))))
 
-    toward = known.select(F.col("id").alias("dst"), F.col("type").alias("kind"), "label", "path", "action", "method")
+    words, hay = trace.boost_parts(F.col("type"), F.col("label"), F.col("path"), F.col("action"))
+    toward = known.select(F.col("id").alias("dst"), F.col("type").alias("kind"), words.alias("words"), hay.alias("hay"), "action", "method")
     on = cut(allowed.select("src", "dst", F.col("id").alias("edge"), "base").join(toward, "dst"))
-    price = _price(F.col("tokens"))
+    price = _price(F.col("tokens"), F.col("singles"))
     kinds = known.select("id", "type")
     ahead = cut(trace.cheapest_by(on, starts, ["source"], price, wants))
     right = cut(trace.ways(ahead, _target(ahead, kinds, ["source"], ("table", "entity")), ["source"]))
@@ -98,17 +115,11 @@ def node_traces(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entry_p
     )
     onward = F.slice("right_nodes", F.lit(2), F.size("right_nodes"))
     sides = cut(sides.select("*", F.array_distinct(F.concat(F.reverse("left_nodes"), onward)).alias("primary_nodes"), F.array_distinct(F.concat("left_edges", "right_edges")).alias("primary_edges"), (~F.col("missing_start") & ~F.col("missing_persistence")).alias("complete")))
-
-    members = cut(_members(sides, allowed, kinds, known.filter(origin).select("id")))
-    counts = members.join(kinds, "id").groupBy("source").agg(F.count_if(F.col("type") == "table").alias("n_tables"), F.count_if(F.col("type") == "endpoint").alias("n_endpoints"))
-    paths = sides.join(counts, "source", "left").withColumn("path_count", F.greatest(F.lit(1), "n_endpoints", "n_tables"))
-    end = lambda c: members.select("source", F.col("id").alias(c))
-    inner = allowed.select(F.col("id").alias("edge"), "src", "dst").join(end("src"), "src").join(end("dst"), ["source", "dst"]).select("source", "edge")
-    return Traces(paths, members, inner)
+    return sides, allowed, kinds, known.filter(origin).select("id")
 
 
-def _price(tokens: Column) -> Column:
-    gain = trace.semantic_boost(F.col("kind"), F.col("label"), F.col("path"), F.col("action"), tokens)
+def _price(tokens: Column, singles: Column) -> Column:
+    gain = trace.boost_of(F.col("kind"), F.col("words"), F.col("hay"), tokens, singles)
     return F.greatest(F.lit(0.25), F.col("base") - gain) + trace.intent_penalty(F.col("kind"), F.col("action"), F.col("method"), tokens)
 
 

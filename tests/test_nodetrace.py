@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from graphloom.operators import trace
+from graphloom.operators import nodetrace, trace
 from graphloom.operators.nodetrace import CONTAINERS, CONTINUED, node_traces
 
 NODE = "id string, label string, type string, layer string, module string, path string, action string, method string"
@@ -171,3 +171,22 @@ def test_ways_of_a_chain_take_few_rounds(spark):
 def test_no_nodes(spark):
     got = node_traces(spark.createDataFrame([], NODE), spark.createDataFrame([], EDGE), spark.createDataFrame([("a",)], "id string"))
     assert got.paths.count() == got.members.count() == got.member_edges.count() == 0
+
+
+def test_ways_alone_need_no_search_for_members(spark, monkeypatch):
+    n = spark.createDataFrame([("r", "route", "m", "Home", "front/r"), ("p", "page", "m", "Ships", "front/p"), ("h", "handler", "m", "Ship", "back/h"), ("t", "table", "m", "ships", None)], "id string, type string, module string, label string, path string")
+    e = spark.createDataFrame([("r", "imports", "p"), ("p", "calls-api", "h"), ("h", "queries-table", "t")], "src string, type string, dst string")
+    e = e.selectExpr("concat_ws('::', src, type, dst) AS id", "src", "dst", "type", "'high' AS confidence")
+    chosen = n.filter("id = 'p'").select("id")
+    whole = nodetrace.node_traces(n, e, chosen).paths
+    monkeypatch.setattr(nodetrace, "spread", None)
+    alone = nodetrace.node_paths(n, e, chosen)
+    assert alone.collect() == whole.select(alone.columns).collect()
+    assert alone.first().primary_nodes == ["r", "p", "h", "t"]
+
+
+def test_ways_longer_than_those_followed_edge_by_edge(spark):
+    for n in (3, trace.SHORT_WAY + 2):
+        best = spark.createDataFrame([(1, f"v{i:03}", float(i), f"v{i - 1:03}" if i else None, f"e{i}" if i else None) for i in range(n + 1)], "k int, id string, cost double, previous string, edge string")
+        got = trace.ways(best, spark.createDataFrame([(1, f"v{n:03}")], "k int, id string"), ["k"]).collect()
+        assert [(r.nodes, r.edges) for r in got] == [([f"v{i:03}" for i in range(n + 1)], [f"e{i}" for i in range(1, n + 1)])]

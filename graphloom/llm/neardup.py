@@ -417,8 +417,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         more = spark.createDataFrame([], "a long, b long")
         written += [undecided, found]
         if found.first() is not None:
-            links = links.union(found)
-            comp = out.table(connected_components(links, out.table, out.drop), "components")
+            # What is known already stands as stars, which settle in fewer rounds than the links behind them.
+            known = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            comp = out.table(connected_components(known.union(found), out.table, out.drop), "components")
         if last or large.first() is None:
             break
         members = out.table(_sized(_lower_nodes(large, sets)), "nodes")

@@ -5,26 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def _lowest(pairs: DataFrame) -> DataFrame:
-    """(u, m): the smallest node among u and the v of its pairs."""
-    return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _with_lowest(pairs: DataFrame) -> DataFrame:
+    """u, v, m of the pairs: m is the smallest node among u and the v of its pairs.  One shuffle; a hub's pairs are sorted and spill."""
+    return pairs.select("u", "v", F.least("u", F.min("v").over(W.partitionBy("u"))).alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # Strictly larger neighbours move to the lowest node of the neighbourhood.
-    return both.join(_lowest(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_lowest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    joined = down.join(_lowest(down), "u")
-    moved = joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = joined.filter("v = m").select("u", "v")
-    return moved.union(own).filter("u <> v").distinct()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+    # The node itself and its other smaller neighbours move to the lowest one.
+    moved = _with_lowest(down).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return moved.filter("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, write: Callable[[DataFrame], DataFrame], drop: Callable[[DataFrame], None] = lambda t: None, rounds: int = 60) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+from graphloom.operators import components
 from graphloom.operators.components import connected_components
 from graphloom.plans import cgraph
 from graphloom.plans.queries import QUERIES
@@ -46,3 +47,9 @@ def test_all_dependencies(spark, sf_dir):
     links = [(r.src, r.dst) for r in cgraph.edges(spark, sf_dir).filter("type = 'depends-on'").select("src", "dst").collect()]
     got = [tuple(r) for r in QUERIES["connected_components_of_dependencies"](spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(links)
+
+
+def test_a_round_shuffles_three_times(spark):
+    edges = spark.range(50).selectExpr("id + 1 as u", "id div 3 as v")
+    plan = components._small_star(components._large_star(edges))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # every shuffle costs as many tasks as there are partitions, however few rows

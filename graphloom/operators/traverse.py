@@ -1,8 +1,8 @@
 """Bounded subgraphs: selectors, breadth-first hops, boundaries, access, differences.
 
 Hops are loops on the driver over distributed frontiers.  The adjacency is written
-once, before the first hop; each hop joins the frontier with it and leaves out what
-is known, which is kept in few tables.
+once, before the first hop, and never sorted as a whole: each hop joins the frontier
+with it and leaves out what is known, which is kept in few tables.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import submap_glob
-from ..sources.work import cut
+from ..sources.work import cut, written
 
 LEVELS = ("forbidden", "generated", "editable", "readable", "external")
 
@@ -88,23 +88,23 @@ def adjacency(edges: DataFrame, direction: str) -> DataFrame:
     return {"outgoing": out, "incoming": back, "both": out.union(back)}[direction]
 
 
-def hops(seeds: DataFrame, adjacent: DataFrame, max_depth: int, excluded: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
+def hops(seeds: DataFrame, adjacent: DataFrame, max_depth: int, excluded: DataFrame | None = None, blocked: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """(id, depth) of all that is reached within ``max_depth`` hops, with the least depth.
 
     ``excluded`` nodes are never entered; ``blocked`` ones are entered but not left.
+    ``stored`` says that the adjacency is read from a written table as it is.
     """
     if max_depth <= 0:
         return seeds.select("id").distinct().withColumn("depth", F.lit(0))
     near = adjacent.select("a", "b").filter("a <> b")
-    if blocked is not None:
-        near = near.join(blocked.select(F.col("id").alias("a")), "a", "left_anti")
-    if excluded is not None:
-        near = near.join(excluded.select(F.col("id").alias("b")), "b", "left_anti")
-    near = cut(near.distinct()) if max_depth > 1 else near
+    near = near if stored or max_depth == 1 else cut(near)
+    barred, ends = (None if t is None else cut(t.select("id")) for t in (excluded, blocked))
     known = frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     parts = [known]
     for depth in range(1, max_depth + 1):
-        found = frontier.select(F.col("id").alias("a")).join(near, "a").select(F.col("b").alias("id")).distinct().join(known.select("id"), "id", "left_anti")
+        leaving = frontier if ends is None else frontier.join(ends, "id", "left_anti")
+        found = leaving.select(F.col("id").alias("a")).join(near, "a").select(F.col("b").alias("id")).distinct()
+        found = (found if barred is None else found.join(barred, "id", "left_anti")).join(known.select("id"), "id", "left_anti")
         frontier = cut(found.withColumn("depth", F.lit(depth)))
         if frontier.first() is None:
             break
@@ -127,15 +127,20 @@ class Submap:
 
 
 def create(nodes: DataFrame, edges: DataFrame, request: Request) -> Submap:
-    """Selects, traverses and cuts out a subgraph; raises SelectionConflict where the request contradicts itself."""
-    excluded = request.exclusions.ids(nodes)
-    seeds = request.seeds.ids(nodes)
+    """Selects, traverses and cuts out a subgraph; raises SelectionConflict where the request contradicts itself.
+
+    Nodes and edges are written once, unless they have been, and read from there in every step.
+    """
+    nodes, edges = written(nodes), written(edges)
+    excluded = cut(request.exclusions.ids(nodes))
+    seeds = cut(request.seeds.ids(nodes))
     if seeds.join(excluded, "id", "left_semi").first() is not None:
         raise SelectionConflict("a seed is excluded")
     forbidden = request.access["forbidden"].ids(nodes) if "forbidden" in request.access else None
     usable = allowed(edges, request.traversal)
-    reached = hops(seeds, adjacency(usable, request.traversal.direction), request.traversal.max_depth, excluded, forbidden).join(nodes.select("id"), "id", "left_semi")
-    inside = nodes.join(reached.select("id"), "id", "left_semi")
+    found = hops(seeds, adjacency(usable, request.traversal.direction), request.traversal.max_depth, excluded, forbidden, stored=True)
+    inside = cut(nodes.join(found.select("id"), "id", "left_semi"))
+    reached = inside.select("id").distinct()
     return Submap(inside, induced(usable, reached), boundaries(usable, nodes, reached, excluded), access(inside, request))
 
 

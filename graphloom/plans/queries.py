@@ -283,10 +283,16 @@ def submap_edge_types(spark, sf_dir):
     return traverse.hops(n.filter("id = 'nation:3'"), traverse.adjacency(traverse.allowed(e, t), "outgoing"), 6)
 
 
-def _submap(spark, sf_dir, depth: int = 2) -> traverse.Submap:
+def _submap(spark, sf_dir, depth: int = 2, graph: tuple[DataFrame, DataFrame] | None = None) -> traverse.Submap:
     S = traverse.Selector
     request = traverse.Request(S(node_ids=("nation:3",)), S(paths=("front/features/*/BUILDING/**",)), traverse.Traversal("outgoing", depth), {"editable": S(types=("component",)), "forbidden": S(paths=("api/F/*",)), "external": S(types=("page",))})
-    return traverse.create(*_graph(spark, sf_dir), request)
+    return traverse.create(*(graph or _graph(spark, sf_dir)), request)
+
+
+def _two_submaps(spark, sf_dir) -> tuple[traverse.Submap, traverse.Submap]:
+    """Those of depth 1 and 2, over one written graph."""
+    graph = tuple(map(cut, _graph(spark, sf_dir)))
+    return _submap(spark, sf_dir, 1, graph), _submap(spark, sf_dir, 2, graph)
 
 
 def _submap_sql(depth: int, name: str = "sm") -> str:
@@ -341,17 +347,20 @@ def focus_set(spark, sf_dir):
 
 @query("RECURSIVE" + _submap_sql(1, "sa") + _submap_sql(2, "sb") + " SELECT 'added' AS change, id FROM sb WHERE id NOT IN (SELECT id FROM sa) UNION ALL SELECT 'removed', id FROM sa WHERE id NOT IN (SELECT id FROM sb)")
 def submap_diff_nodes(spark, sf_dir):
-    return traverse.changes(_submap(spark, sf_dir, 1).nodes, _submap(spark, sf_dir, 2).nodes)
+    before, after = _two_submaps(spark, sf_dir)
+    return traverse.changes(before.nodes, after.nodes)
 
 
 @query("RECURSIVE" + _submap_sql(1, "sa") + _submap_sql(2, "sb") + " SELECT 'added' AS change, id FROM sb_e WHERE id NOT IN (SELECT id FROM sa_e) UNION ALL SELECT 'removed', id FROM sa_e WHERE id NOT IN (SELECT id FROM sb_e)")
 def submap_diff_edges(spark, sf_dir):
-    return traverse.changes(_submap(spark, sf_dir, 1).edges, _submap(spark, sf_dir, 2).edges)
+    before, after = _two_submaps(spark, sf_dir)
+    return traverse.changes(before.edges, after.edges)
 
 
 @query("RECURSIVE" + _submap_sql(1, "sa") + _submap_sql(2, "sb") + " SELECT id, a.level AS previous, b.level AS current FROM sa_a a FULL JOIN sb_a b USING (id) WHERE a.level IS DISTINCT FROM b.level")
 def submap_diff_access(spark, sf_dir):
-    return traverse.access_changes(_submap(spark, sf_dir, 1).access, _submap(spark, sf_dir, 2).access)
+    before, after = _two_submaps(spark, sf_dir)
+    return traverse.access_changes(before.access, after.access)
 
 
 @query("RECURSIVE" + _submap_sql(2) + " SELECT id, id NOT IN (SELECT id FROM n WHERE type = 'endpoint' AND path LIKE 'api/O/%') AS available FROM sm")

@@ -31,6 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The table itself if cut() has written it, else what cut() makes of it."""
+    return df if getattr(df, "_loom_path", None) else cut(df)
+
+
 def drop(*tables: DataFrame) -> None:
     """Removes tables that cut() has written and that nothing reads any more."""
     for t in tables:

@@ -1,5 +1,6 @@
 from graphloom.operators import submaps, views
 from graphloom.operators.submaps import Stored
+from graphloom.plans import cgraph, queries
 from graphloom.sources.work import cut
 
 
@@ -82,3 +83,15 @@ def test_skipped_files(spark):
     skipped = spark.createDataFrame([(f"p{i}",) for i in range(7)], "path string")
     assert views.skipped_warning(skipped) == "7 source files larger than 2 MiB were skipped: p0, p1, p2, p3, p4, and 2 more."
     assert views.skipped_warning(skipped.filter("path = 'p3'")) == "1 source file larger than 2 MiB was skipped: p3." and views.skipped_warning(skipped.limit(0)) is None
+
+
+def test_a_submap_reads_written_tables(spark, sf_dir):
+    graph = cut(cgraph.nodes(spark, sf_dir)), cut(cgraph.edges(spark, sf_dir))
+    found = queries._submap(spark, sf_dir, 1, graph)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for part in (found.nodes, found.edges, found.boundaries, found.access):
+        assert "l_quantity" not in plan(part) and "o_custkey" not in plan(part)  # else the graph is made again in every step
+    without = queries._submap(spark, sf_dir, 1)
+    for part in ("nodes", "edges", "boundaries", "access"):
+        assert "l_quantity" not in plan(getattr(without, part)) and "o_custkey" not in plan(getattr(without, part))
+        assert sorted(map(str, getattr(without, part).collect())) == sorted(map(str, getattr(found, part).collect()))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress
+from itertools import batched, compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ByKey, Written, spaced_slices
+from .common import ByKey, Written, gives_back, spaced_slices
 
 #: A-Z to a-z, the signs that end a piece to a full stop (which no word can hold), tab to space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\n\v\f\r" else 32 if c == 9 else c for c in range(256))
 _STOP = b"."
 _CHUNK = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_HELD = 400_000
+_HELD = 400_000  # suffixes that a task holds, of all languages
+_KNOWN = 1 << 18  # words whose hashes a task holds, of all languages
 
 
 @dataclass(frozen=True)
@@ -85,16 +86,20 @@ def _runs(batch: pa.RecordBatch, overlap: int, together: int = 1 << 19) -> Itera
 
 
 class _Hashes:
-    """Hashes of words (0: stop), apart by language."""
+    """Hashes of words (0: stop), apart by language; what is held of all languages together is bounded."""
 
-    def __init__(self):
+    def __init__(self, most: int = _KNOWN):
         self.of: dict[str, ByKey] = {}
+        self.most = most
 
     def __call__(self, lang: str, words: list[bytes]) -> np.ndarray:
         if lang not in self.of:
             seed = xxhash.xxh64_intdigest(lang.encode())
-            self.of[lang] = ByKey(lambda w: 0 if w == _STOP else xxhash.xxh64_intdigest(w, seed) | 1)
-        return np.fromiter(map(self.of[lang].__getitem__, words), np.uint64, len(words))
+            self.of[lang] = ByKey(lambda w: 0 if w == _STOP else xxhash.xxh64_intdigest(w, seed) | 1, self.most)
+        out = np.fromiter(map(self.of[lang].__getitem__, words), np.uint64, len(words))
+        if sum(map(len, self.of.values())) > self.most:
+            self.of.clear()
+        return out
 
 
 def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
@@ -115,7 +120,7 @@ def _open(words: np.ndarray, often: list[np.ndarray], size: int) -> Iterator[tup
         if n > 1:
             hashes = _grow(hashes, words[n - 1 :])
             fine = fine[:-1] & fine[1:]
-        told = fine & often[n - 1][_slot(hashes, len(often[n - 1]))] if n <= len(often) else fine
+        told = fine & _told(often[n - 1], hashes) if n <= len(often) else fine
         yield hashes, told
         fine = told
 
@@ -124,8 +129,15 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
 
-def _unpacked(packed: list[bytes]) -> list[np.ndarray]:
-    return [np.unpackbits(np.frombuffer(b, np.uint8)).astype(bool) for b in packed]
+def _tables(packed: list[bytes]) -> list[np.ndarray]:
+    """The tables of bits as they were sent, eight counters to a byte."""
+    return [np.frombuffer(b, np.uint8) for b in packed]
+
+
+def _told(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Of each phrase whether its counter reached ``least``."""
+    at = _slot(hashes, 8 * len(table))
+    return (table[at >> 3] >> (~at & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def _add(table: np.ndarray, at: np.ndarray, least: int) -> None:
@@ -146,8 +158,9 @@ def survey(docs: DataFrame, spec: Mining, sizes: tuple[int, ...], known: list[by
     shared = docs.sparkSession.sparkContext.broadcast(known)
     chunks_of = {n: -(-spec.slots(n) // _CHUNK) for n in sizes}
 
+    @gives_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = _unpacked(shared.value)
+        often = _tables(shared.value)
         tables = {n: np.zeros(spec.slots(n), dtype) for n in sizes}
         total: Counter = Counter()
         hashes = _Hashes()
@@ -162,18 +175,18 @@ def survey(docs: DataFrame, spec: Mining, sizes: tuple[int, ...], known: list[by
                     elif n == 2 and 1 in tables:
                         starts = new + np.flatnonzero(fine[new:])
                         _add(tables[1], _slot(of_words[np.concatenate((starts, starts + 1))], spec.slots(1)), spec.least)
-        rows = [(-1, lang, k, None) for lang, k in total.items()]
-        at = 0
-        for n in sizes:
-            for start in range(0, spec.slots(n), _CHUNK):
-                part = tables[n][start : start + _CHUNK]
-                if part.any():
-                    rows.append((at, None, None, part.tobytes()))
-                at += 1
-        for start in range(0, len(rows), 64):
-            chunk, lang, k, data = zip(*rows[start : start + 64], strict=True)
+        del hashes
+
+        def rows() -> Iterator[tuple]:
+            yield from ((-1, lang, k, None) for lang, k in total.items())
+            parts = (tables[n][start : start + _CHUNK] for n in sizes for start in range(0, spec.slots(n), _CHUNK))
+            yield from ((at, None, None, part.tobytes()) for at, part in enumerate(parts) if part.any())
+
+        for some in batched(rows(), 64):
+            chunk, lang, k, data = zip(*some, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array(lang, pa.string()), pa.array(k, pa.int64()), pa.array(data, pa.binary())], names=["chunk", "lang", "n", "data"])
 
+    @gives_back
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -211,8 +224,9 @@ def suffixes(docs: DataFrame, spec: Mining, often_packed: list[bytes]) -> DataFr
             columns = [[lang] * len(part), [t.split(" ", 1)[0] for t in texts], texts]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array([counts[k] for k in part], pa.int64())], names=["lang", "first", "suffix", "n"])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = _unpacked(shared.value)
+        often = _tables(shared.value)
         hashes = _Hashes()
         held: dict[str, Counter] = {}
         for batch in batches:
@@ -227,14 +241,16 @@ def suffixes(docs: DataFrame, spec: Mining, often_packed: list[bytes]) -> DataFr
                 counts.update(compress(words, (length == 1).tolist()))
                 longer = np.flatnonzero(length > 1)
                 counts.update(b" ".join(words[i:end]) for i, end in zip(longer.tolist(), (longer + length[longer]).tolist(), strict=True))
-                if len(counts) > _HELD:
-                    yield from rows(lang, held.pop(lang))
+                if sum(map(len, held.values())) > _HELD:
+                    full = max(held, key=lambda x: len(held[x]))
+                    yield from rows(full, held.pop(full))
         for lang, counts in held.items():
             yield from rows(lang, counts)
 
     return _texts(docs).mapInArrow(run, "lang string, first string, suffix string, n long")
 
 
+@gives_back
 def prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, phrase, n) of every prefix of suffixes (lang, suffix, n) that stand in reverse order: one stack of open prefixes.
 

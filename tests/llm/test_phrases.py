@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -93,3 +94,16 @@ def test_like_its_sql(spark, sf_dir):
     spec = Mining(least=5)
     got = collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"), spec)
     assert sorted(map(tuple, got.collect())) == sorted(con.sql(phrases.oracle_sql(spec)).fetchall())
+
+
+def test_what_a_task_holds_does_not_grow_with_languages_and_tables_stay_bits():
+    hashes = phrases._Hashes(100)
+    words = [[f"{lang}{i}".encode() for i in range(60)] for lang in range(20)]
+    first = [hashes(str(lang), w).tolist() for lang, w in enumerate(words)]
+    assert sum(map(len, hashes.of.values())) <= 100
+    assert [hashes(str(lang), w).tolist() for lang, w in enumerate(words)] == first
+    often = np.random.default_rng(1).integers(0, 2, 1 << 12).astype(bool)
+    (table,) = phrases._tables([np.packbits(often).tobytes()])
+    assert table.nbytes == len(often) // 8
+    found = np.arange(0, 1 << 20, 77, dtype=np.uint64) << np.uint64(5)
+    assert (phrases._told(table, found) == often[phrases._slot(found, len(often))]).all()

@@ -4,7 +4,7 @@ A document's set of word shingles is turned into ``TOKENS`` minwise tokens.  Eac
 ``TREES`` independent trees has ``DEPTH`` positions of its own, so its nodes hold the
 documents that agree on ``DEPTH`` tokens; a pair at 0.8 meets in a tree with a chance
 of 0.51 and in none with (1 - 0.8 ** 3) ** 25 = 2e-8.  In every node all members are
-compared with a few of them, its pivots.  Nodes of at most ``SMALL`` sets are then
+compared with a few of them, its pivots.  Nodes of at most ``SMALL`` sets are
 compared exhaustively, a pair in the first of them where it meets; larger ones that
 hold more than one component branch on, each on two positions that a hash of the node
 chooses.  Two are more than the 1 / 0.8 that
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -190,7 +191,7 @@ def _lower_nodes(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _sized(rows: DataFrame) -> DataFrame:
     """tree, node, rep, n, size of the nodes that hold two sets at least."""
-    return rows.join(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), "node")
+    return rows.withColumn("size", F.count("*").over(W.partitionBy("node"))).filter("size > 1")
 
 
 def _with_pivots(rows: DataFrame) -> DataFrame:
@@ -198,9 +199,9 @@ def _with_pivots(rows: DataFrame) -> DataFrame:
 
     A pivot is the member that comes first in one of PIVOTS orders of all doc_ids.
     """
-    first = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in (0, 0x2545F4914F6CDD1D, 0x5DEECE66DAB54F07, 0x1A2B3C4D5E6F7081)[:PIVOTS]]
-    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.array(*first).alias("pivots")).filter("size > 1")
-    return rows.join(nodes, "node")
+    node = W.partitionBy("node")
+    first = [F.min(F.col("rep").bitwiseXOR(F.lit(m))).over(node).bitwiseXOR(F.lit(m)) for m in (0, 0x2545F4914F6CDD1D, 0x5DEECE66DAB54F07, 0x1A2B3C4D5E6F7081)[:PIVOTS]]
+    return _sized(rows.withColumn("pivots", F.array(*first)))
 
 
 def _starred(members: DataFrame) -> DataFrame:
@@ -220,11 +221,12 @@ def _least(percent: int) -> int:
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those that may reach the threshold, with how many tokens agree."""
+    """(a, b, best): of ``pairs(a, b)`` those that may reach the threshold; with the best a of each b most tokens agree."""
     side = lambda c: sets.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
     agree = F.size(F.filter(F.zip_with("t_a", "t_b", lambda x, y: x == y), lambda x: x))
     joined = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    return joined.select("a", "b", agree.alias("agree")).filter(F.col("agree") >= _least(percent))
+    told = joined.select("a", "b", agree.alias("agree")).filter(F.col("agree") >= _least(percent))
+    return told.select("a", "b", (F.row_number().over(W.partitionBy("b").orderBy(F.col("agree").desc(), F.col("a").desc())) == 1).alias("best"))
 
 
 def _confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -369,8 +371,8 @@ def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The members, with their components so far, of nodes that hold more than one."""
     placed = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("tree", "node", "rep", "n", "size", F.coalesce("component", "rep").alias("component"))
-    nodes = placed.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("node")
-    return placed.join(nodes, "node")
+    node = W.partitionBy("node")
+    return placed.withColumns({"lo": F.min("component").over(node), "hi": F.max("component").over(node)}).filter("lo <> hi").drop("lo", "hi")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -393,38 +395,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shingles = out.table(full_sets(docs, ends(pairs), k), "shingles")
     written = [pairs, shingles]  # read until the last link is found
     # First each set against the pivot that its tokens agree with most, later what that leaves apart.
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a")).select("a", "b")
-    links = out.table(_confirmed(best, shingles, percent), "links")
-    written.append(links)
+    links = out.table(_confirmed(pairs.filter("best").select("a", "b"), shingles, percent), "links")
     comp = out.table(connected_components(links, out.table, out.drop), "components")
-    more = _apart(pairs.join(best, ["a", "b"], "left_anti"), comp)
-    first = None
+    more = out.table(_apart(pairs.filter("not best").select("a", "b"), comp), "more")
+    written += [links, more]
+    # All levels are dealt before anything is compared, so full sets are made and moved, and components joined, once.
+    small, first = None, None
     for descents in range(ROUNDS + 1):
         active = out.table(_mixed(members, comp), "active")
         out.drop(members)
-        if active.first() is None and descents:
-            break
-        small, large = active.filter(F.col("size") <= SMALL), active.filter(F.col("size") > SMALL)
-        last = descents == ROUNDS
+        written.append(active)
+        here = active.filter(F.col("size") <= SMALL)
         if first is None:
-            first = out.table(small.groupBy("rep").agg(F.expr("bit_or(shiftleft(1, tree))").alias("small")), "first")
-        undecided = out.table(_undecided(small, sets, first, percent).union(large.filter(F.lit(last)).select("node", "rep", "n", "component")), "undecided")
-        wanted = undecided.select(F.col("rep").alias("doc_id")).union(ends(more)).distinct().join(shingles.select("doc_id"), "doc_id", "left_anti")
-        if wanted.first() is not None:
-            written.append(out.table(full_sets(docs, wanted, k), "shingles"))
-            shingles = shingles.union(written[-1])
+            first = here.groupBy("rep").agg(F.expr("bit_or(shiftleft(1, tree))").alias("small"))
+        small = here if small is None else small.unionByName(here)
+        large = active.filter(F.col("size") > SMALL)
+        if descents == ROUNDS or large.first() is None:
+            break
+        members = out.table(_sized(_lower_nodes(large, sets)), "nodes")
+    undecided = out.table(_undecided(small, sets, first, percent).union(large.select("node", "rep", "n", "component")), "undecided")
+    wanted = undecided.select(F.col("rep").alias("doc_id")).union(ends(more)).distinct().join(shingles.select("doc_id"), "doc_id", "left_anti")
+    written.append(undecided)
+    if undecided.first() is not None or more.first() is not None:
+        written.append(out.table(full_sets(docs, wanted, k), "shingles"))
+        shingles = shingles.union(written[-1])
         found = out.table(_linked_in_blocks(undecided, shingles, percent).union(_confirmed(more, shingles, percent)), "links")
-        more = spark.createDataFrame([], "a long, b long")
-        written += [undecided, found]
+        written.append(found)
         if found.first() is not None:
             # What is known already stands as stars, which settle in fewer rounds than the links behind them.
             known = comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
             comp = out.table(connected_components(known.union(found), out.table, out.drop), "components")
-        if last or large.first() is None:
-            break
-        members = out.table(_sized(_lower_nodes(large, sets)), "nodes")
-        out.drop(active)
-    written.append(first)
 
     for t in written:
         out.drop(t)

@@ -155,3 +155,20 @@ def test_recall_in_a_group_of_near_copies(spark):
     linked = [(a, b) for a, b in planted if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     got = {r[0]: r[2] for r in run(spark, rows, 4)}
     assert len(linked) > 50 and sum(got[a] == got[b] for a, b in linked) >= 0.99 * len(linked)
+
+
+def test_full_sets_are_made_and_components_joined_twice_whatever_the_levels(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(60), 2):
+            words[at] = f"x{rng.randrange(1000)}"
+        docs.append((i, " ".join(words)))
+    calls = {"full_sets": 0, "connected_components": 0}
+    for name in calls:
+        real = getattr(neardup, name)
+        monkeypatch.setattr(neardup, name, lambda *a, real=real, name=name: (calls.__setitem__(name, calls[name] + 1), real(*a))[1])
+    neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4).count()
+    assert max(calls.values()) <= 2

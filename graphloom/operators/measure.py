@@ -108,14 +108,21 @@ def module_degrees(between: DataFrame) -> DataFrame:
 
 
 def module_stats(nodes: DataFrame, orphaned: DataFrame, covered: DataFrame, findings: DataFrame, scores: DataFrame, review_below: int = 6) -> DataFrame:
-    """module, n_nodes, n_orphans, n_uncovered, n_review, n_findings, finding_rules, quality_sum, quality_count."""
-    flag = lambda df, c: df.select("id").distinct().withColumn(c, F.lit(1))
-    per_node = findings.groupBy(F.col("node_id").alias("id")).count()
-    full = nodes.join(flag(orphaned, "orphan"), "id", "left").join(flag(covered, "covered"), "id", "left").join(per_node, "id", "left").join(scores.select("id", "score"), "id", "left")
+    """module, n_nodes, n_orphans, n_uncovered, n_review, n_findings, finding_rules, quality_sum, quality_count; ``scores`` has a row an id."""
+    # What is known of a node is added up by id first and joined once: numbers only, so neither tables of wide rows nor a sort for each fact meet in a task.
+    none, one = F.lit(None).cast("long"), F.lit(1).cast("long")
+    facts = {"orphan": orphaned, "covered": covered, "found": findings.select(F.col("node_id").alias("id")), "score": scores}
+    told = None
+    for name, of in facts.items():
+        value = F.col("score").cast("long") if name == "score" else one
+        part = of.select("id", *((value if c == name else none).alias(c) for c in facts))
+        told = part if told is None else told.union(part)
+    told = told.groupBy("id").agg(F.max("orphan").alias("orphan"), F.max("covered").alias("covered"), F.sum("found").alias("found"), F.max("score").alias("score"))
     coverable = F.col("type").isin(COVERABLE) & F.col("path").isNotNull()
+    full = nodes.select("id", "module", coverable.alias("coverable")).join(told, "id", "left")
     base = full.groupBy("module").agg(
-        F.count("*").alias("n_nodes"), F.count("orphan").alias("n_orphans"), F.count_if(coverable & F.col("covered").isNull()).alias("n_uncovered"), F.count_if(F.coalesce(F.col("score") < review_below, F.lit(False))).alias("n_review"),
-        F.coalesce(F.sum("count"), F.lit(0)).alias("n_findings"), F.coalesce(F.sum("score"), F.lit(0)).alias("quality_sum"), F.count("score").alias("quality_count"),
+        F.count("*").alias("n_nodes"), F.count("orphan").alias("n_orphans"), F.count_if(F.col("coverable") & F.col("covered").isNull()).alias("n_uncovered"), F.count_if(F.coalesce(F.col("score") < review_below, F.lit(False))).alias("n_review"),
+        F.coalesce(F.sum("found"), F.lit(0)).alias("n_findings"), F.coalesce(F.sum("score"), F.lit(0)).alias("quality_sum"), F.count("score").alias("quality_count"),
     )
     rules = findings.join(nodes.select(F.col("id").alias("node_id"), "module"), "node_id").groupBy("module", "rule_id").count()
     rules = rules.groupBy("module").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "rule_id", F.col("count").cast("string")))), ";").alias("finding_rules"))

@@ -280,3 +280,14 @@ def test_digest_has_the_same_buckets_whatever_the_number_of_lines(spark, monkeyp
     assert measure.digest(lines).first().digest == "sha256:" + sha256(whole.encode()).hexdigest()
     none = spark.createDataFrame([], "line string")
     assert measure.digest(none).first().digest == "sha256:" + sha256(b"").hexdigest()
+
+
+def test_module_stats_join_what_is_known_of_nodes_once(spark):
+    nodes = spark.createDataFrame([("a", "component", "m", "p/a"), ("b", "component", "m", "p/b"), ("c", "table", "n", None), ("d", "page", None, "p/d")], "id string, type string, module string, path string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    found = spark.createDataFrame([("a", "r1"), ("a", "r1"), ("c", "r2"), ("gone", "r2")], "node_id string, rule_id string")
+    scores = spark.createDataFrame([("a", 4), ("b", 9)], "id string, score long")
+    out = measure.module_stats(nodes, ids("b", "b", "gone"), ids("a", "a"), found, scores)
+    got = {r.module: tuple(r)[1:] for r in out.collect()}
+    assert got == {"m": (2, 1, 1, 1, 2, 13, 2, "r1=2"), "n": (1, 0, 0, 0, 1, 0, 0, "r2=1"), None: (1, 0, 1, 0, 0, 0, 0, "")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 3

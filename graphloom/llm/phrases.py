@@ -6,7 +6,8 @@ stack of open prefixes counts all phrases in a single pass; every phrase is scor
 by joining it with its parts afterwards.
 
 Two things keep the shuffle small, and neither changes a count.  A task adds up
-equal suffixes before it hands them on, and a group of one first word is dealt
+equal suffixes before it hands them on, texts are dealt by language first, so that
+few tasks meet the same suffix, and a group of one first word is dealt
 over ``salts`` parts whose counts are added again.  And as no phrase is more
 frequent than the shorter ones in it, suffixes end before a phrase of fewer than
 ``max_n`` words that is certain to be too rare: tables of counters, one for each
@@ -36,6 +37,7 @@ _CHUNK = 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _HELD = 400_000  # suffixes that a task holds, of all languages
 _KNOWN = 1 << 18  # words whose hashes a task holds, of all languages
+_WORDS = 1 << 25  # words of the texts that are dealt to a task, about
 
 
 @dataclass(frozen=True)
@@ -211,6 +213,14 @@ def survey(docs: DataFrame, spec: Mining, sizes: tuple[int, ...], known: list[by
     return words, [tables[n] for n in sorted(tables)]
 
 
+def by_language(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """The documents dealt in ranges of their language, as many to a task: a frequent suffix comes out of every task
+    that reads its language, so these are few, whatever files the texts stand in; a large language fills several."""
+    total = words.agg(F.sum("n")).first()[0] or 0  # one number
+    parts = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total // _WORDS))
+    return docs.select("lang", "text", F.monotonically_increasing_id().alias("at")).repartitionByRange(parts, F.coalesce(F.col("lang").cast("string"), F.lit("und")), "at")
+
+
 def suffixes(docs: DataFrame, spec: Mining, often_packed: list[bytes]) -> DataFrame:
     """lang, first, suffix (words joined by spaces), n: the suffixes of every word position, ended
     before the first phrase that is too rare, equal ones of a task added up."""
@@ -339,7 +349,7 @@ def collocations(docs: DataFrame, spec: Mining = PRODUCTION) -> DataFrame:
     for size in range(3, spec.max_n):
         again, often = survey(docs, spec, (1, size) if size == 3 else (size,), often)
         out.drop(again)
-    found = out.table(phrase_counts(docs, spec, often), "counts")
+    found = out.table(phrase_counts(by_language(docs, words), spec, often), "counts")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     salt = F.pmod(F.xxhash64("phrase"), F.lit(64))
     first = scored(found, spec).withColumn("salt", salt).withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("place") <= spec.top)

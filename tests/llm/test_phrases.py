@@ -107,3 +107,15 @@ def test_what_a_task_holds_does_not_grow_with_languages_and_tables_stay_bits():
     assert table.nbytes == len(often) // 8
     found = np.arange(0, 1 << 20, 77, dtype=np.uint64) << np.uint64(5)
     assert (phrases._told(table, found) == often[phrases._slot(found, len(often))]).all()
+
+
+def test_suffixes_come_out_of_the_tasks_of_a_language_and_not_of_every_file(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(" ".join(rng.choice("abc") for _ in range(200)), lang) for _ in range(60) for lang in ("de", "en", "fr", None)]
+    real, seen = phrases.suffixes, []
+    monkeypatch.setattr(phrases, "suffixes", lambda *args: seen.append(real(*args)) or seen[-1])
+    got = collocations(spark.createDataFrame(docs, "text string, lang string").repartition(60), WHOLE)
+    assert sorted(map(tuple, got.collect())) == plain(docs, WHOLE)
+    (rows,) = seen
+    different = rows.groupBy("lang", "suffix").count().count()
+    assert rows.count() < 4 * different  # 8 tasks for 4 languages; of 60 files each would give most of them again

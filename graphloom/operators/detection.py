@@ -123,16 +123,15 @@ def _package_paths() -> list[str]:
 
 
 def _present(detectors: Detectors) -> Column:
-    """The probed paths that a file stands for, and folder/* for a backend's folders that may hold projects."""
+    """The probed paths that a file stands for, and folder/* for a backend's folders that may hold projects; null for each depth that stands for none."""
     parts = F.split("path", "/")
     probed = _probed(detectors)
     deepest = max(p.count("/") for p in probed) + 1
-    ways = F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(deepest))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     backs = sorted({b for _, b in ROOTS if b})
-    second = F.get(parts, F.lit(1))
-    projects = F.get(parts, F.lit(0)).isin(backs) & (F.size(parts) > 2) & ~second.startswith(".") & (second != "node_modules")
-    found = F.array_intersect(ways, F.array(*map(F.lit, probed)))
-    return F.when(projects, F.concat(found, F.array(F.concat(F.get(parts, F.lit(0)), F.lit("/*"))))).otherwise(found)
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    projects = F.substring_index("path", "/", 1).isin(backs) & (F.size(parts) > 2) & ~second.startswith(".") & (second != "node_modules")
+    way = lambda i: F.substring_index("path", "/", i)
+    return F.array(*(F.when(way(i).isin([p for p in probed if p.count("/") < i]), way(i)) for i in range(1, deepest + 1)), F.when(projects, F.concat(first, F.lit("/*"))))
 
 
 def _package(detectors: Detectors) -> Column:
@@ -150,13 +149,15 @@ def _evidence(files: DataFrame, detectors: Detectors) -> DataFrame:
     suffixes = sorted({d.suffix for d in detectors.every if d.suffix})
     folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
     searched = ~F.arrays_overlap(folders, F.array(*map(F.lit, UNSEARCHED)))
-    ends = F.array_compact(F.array(*(F.when(searched & F.col("path").endswith(s), F.lit(s)) for s in suffixes))) if suffixes else F.array().cast("array<string>")
-    none = F.array().cast("array<string>")
     package = _package(detectors)
-    configured = files.filter(F.col("path").isin(_package_paths())).select("repo", none.alias("present"), none.alias("ends"), package.alias("package"))
-    paths = files.select("repo", _present(detectors).alias("present"), ends.alias("ends"), F.lit(None).cast(configured.schema["package"].dataType).alias("package"))
-    once = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
-    return paths.union(configured).groupBy("repo").agg(once("present").alias("present"), once("ends").alias("suffixes"), F.array_sort(F.collect_set("package")).alias("packages"))
+    kind = files.select(package.alias("p")).schema["p"].dataType
+    # What many files of a repository say is said once before it is gathered; a row with nothing keeps the repository.
+    none = lambda t: F.lit(None).cast(t)
+    paths = files.select("repo", F.explode(_present(detectors)).alias("present")).distinct().select("repo", "present", none("string").alias("suffix"), none(kind).alias("package"))
+    told = paths.union(files.filter(F.col("path").isin(_package_paths())).select("repo", none("string"), none("string"), package))
+    for s in suffixes:
+        told = told.union(files.filter(F.col("path").endswith(s) & searched).select("repo", none("string"), F.lit(s), none(kind)).distinct())
+    return told.groupBy("repo").agg(F.collect_set("present").alias("present"), F.collect_set("suffix").alias("suffixes"), F.array_sort(F.collect_set("package")).alias("packages"))
 
 
 def _has(path: Column | str) -> Column:
@@ -223,10 +224,12 @@ def _projects(evidence: DataFrame, detectors: Detectors) -> DataFrame:
 
 def _modules(files: DataFrame, projects: DataFrame) -> DataFrame:
     """repo, module, label: the folders below the feature folder, or those of the root that are no infrastructure."""
-    parts = F.split("path", "/")
     homes = [h for f, _ in ROOTS for h in (f, *(f"{f}/{x}" for x in FEATURE_FOLDERS))]
-    child = lambda home: F.when(F.col("path").startswith(home + "/") & (F.size(parts) > home.count("/") + 2), F.struct(F.lit(home).alias("home"), F.get(parts, F.lit(home.count("/") + 1)).alias("module")))
-    children = files.select("repo", F.explode(F.array_compact(F.array(*map(child, homes)))).alias("c")).select("repo", "c.home", "c.module").distinct()
+    upto = lambda k: F.substring_index("path", "/", k)
+    # At most one home of each depth holds a file; one that stands in the home itself is no module's.
+    child = lambda k: F.when(upto(k).isin([h for h in homes if h.count("/") + 1 == k]) & (upto(k + 1) != F.col("path")), F.struct(upto(k).alias("home"), F.substring_index(upto(k + 1), "/", -1).alias("module")))
+    depths = sorted({h.count("/") + 1 for h in homes})
+    children = files.select("repo", F.explode(F.array(*map(child, depths))).alias("c")).filter("c is not null").select("repo", "c.home", "c.module").distinct()
     home = F.concat_ws("/", "frontend_root", "feature_folder")
     chosen = projects.select("repo", home.alias("home"), F.col("feature_folder").isNull().alias("plain"))
     kept = children.join(chosen, ["repo", "home"]).filter(~F.col("plain") | ~F.col("module").isin(INFRASTRUCTURE))

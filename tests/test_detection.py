@@ -123,3 +123,24 @@ def test_nulls_repeats_and_empty(spark):
     assert detected.modules.count() == 1
     empty = detection.detect(spark.createDataFrame([], schema))
     assert [d.count() for d in (empty.projects, empty.modules, empty.aliases, detection.summary(empty))] == [0, 0, 0, 0]
+
+
+def test_files_are_read_without_functions_on_arrays_and_odd_paths_count_as_before(spark):
+    paths = ["front//src/a.ts", "front/src//x.ts", "/front/src/m/b.ts", "front/src/features/", "front/src/features/a/", "back/*", "src", "src/x", "src/x/y/z", "", "back/*/x", "api/.b/c", "api/n/", "server/node_modules/y", "app/src/pages/p/q/r.ts", "deep/bin/a.csproj"]
+    files = spark.createDataFrame([(f"r{i}", p, None) for i, p in enumerate(paths)], "repo string, path string, content string")
+    known = detection.Detectors()
+    probed, want, below = set(detection._probed(known)), {}, set()
+    homes = [h for f, _ in detection.ROOTS for h in (f, *(f"{f}/{x}" for x in detection.FEATURE_FOLDERS))]
+    for i, p in enumerate(paths):
+        parts = p.split("/")
+        want[f"r{i}"] = {"/".join(parts[:k]) for k in range(1, len(parts) + 1)} & probed
+        if parts[0] in {b for _, b in detection.ROOTS if b} and len(parts) > 2 and not parts[1].startswith(".") and parts[1] != "node_modules":
+            want[f"r{i}"].add(parts[0] + "/*")
+        below |= {(f"r{i}", h, parts[h.count("/") + 1]) for h in homes if p.startswith(h + "/") and len(parts) > h.count("/") + 2}
+    seen = detection._evidence(files, known)
+    assert {r.repo: set(r.present) for r in seen.collect()} == want and all(r.suffixes == [] for r in seen.collect())
+    projects = files.select("repo").crossJoin(spark.createDataFrame([(h.rsplit("/", 1)[0], h.rsplit("/", 1)[1]) if h.rsplit("/", 1)[-1] in detection.FEATURE_FOLDERS else (h, None) for h in homes], "frontend_root string, feature_folder string"))
+    found = detection._modules(files, projects).select("repo", "module")
+    assert sorted(map(tuple, found.collect())) == sorted((r, m) for r, h, m in below if h.rsplit("/", 1)[-1] in detection.FEATURE_FOLDERS or m not in detection.INFRASTRUCTURE)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan(seen) and "transform(" not in plan(seen) and "lambdafunction" not in plan(found)  # these ran for every file

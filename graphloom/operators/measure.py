@@ -49,7 +49,8 @@ def quality_evidence(nodes: DataFrame, edges: DataFrame, folder: str, entry_path
     plain = nodes.filter(~F.col("type").isin("entity", "table")).select("id", "module")
     end = lambda a, b: plain.select(F.col("id").alias(a), F.col("module").alias(b))
     kept = edges.select("src", "dst").join(end("src", "src_module"), "src").join(end("dst", "dst_module"), "dst")
-    related = kept.select(F.col("dst").alias("id"), F.col("dst_module").alias("own"), F.col("src_module").alias("other"), F.lit(0).alias("out")).union(kept.select("src", "src_module", "dst_module", F.lit(1)))
+    side = lambda a, b, out: F.struct(F.col(a).alias("id"), F.col(f"{a}_module").alias("own"), F.col(f"{b}_module").alias("other"), F.lit(out).alias("out"))
+    related = kept.select(F.inline(F.array(side("dst", "src", 0), side("src", "dst", 1))))  # a union would join twice
     away = F.col("own") != F.col("other")
     counts = related.groupBy("id").agg(
         F.count_if(~away).alias("internal"), F.count_if(away).alias("external"), F.count_if(F.col("out") == 1).alias("outgoing"), F.count_if(F.col("out") == 0).alias("incoming"),

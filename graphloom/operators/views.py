@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.files import MOST_BYTES
+from ..sources.work import cut
 from ..functions.text import health_key, title_case
 from .components import connected_components
 from .rules import positioned
@@ -59,19 +60,20 @@ def inside_rectangle(placed: DataFrame, left: float, top: float, right: float, b
     return placed.filter(x.between(left, right) & y.between(top, bottom) & F.col("id").isNotNull()).select("id")
 
 
-def narratives(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, related: int = 8, named: int = 6) -> DataFrame:
+def narratives(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, related: int = 8, named: int = 6, write=cut) -> DataFrame:
     """id, cohesion, coupling, related: measures in words, and the first related nodes by id.
 
     ``evidence(id, internal_relations, external_relations, outgoing, incoming, inside_folder)``.
     External modules are named in order; of outgoing dependencies on other modules the
     first labels are.  The first few of a node's neighbours are found with a ranked window,
-    which Spark cuts down before it shuffles.
+    which Spark cuts down before it shuffles.  The edges with both ends' names are joined
+    and written once, as all three lists read them from either side.
     """
     module = nodes.select("id", "module", "label")
     end = lambda c: module.select(F.col("id").alias(c), F.col("module").alias(f"{c}_module"), F.col("label").alias(f"{c}_label"))
-    joined = edges.select("src", "dst").filter("src <> dst").distinct().join(end("src"), "src").join(end("dst"), "dst")
-    out = joined.select(F.col("src").alias("id"), F.col("dst").alias("other"), F.col("src_module").alias("own"), F.col("dst_module").alias("module"), F.col("dst_label").alias("label"), F.lit(True).alias("out"))
-    both = out.union(joined.select("dst", "src", "dst_module", "src_module", "src_label", F.lit(False)))
+    joined = write(edges.select("src", "dst").filter("src <> dst").distinct().join(end("src"), "src").join(end("dst"), "dst"))
+    side = lambda a, b, out: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.col(f"{a}_module").alias("own"), F.col(f"{b}_module").alias("module"), F.col(f"{b}_label").alias("label"), F.lit(out).alias("out"))
+    both = joined.select(F.inline(F.array(side("src", "dst", True), side("dst", "src", False))))
     outside = both.filter("own <> module")
     modules = outside.groupBy("id").agg(F.array_sort(F.collect_set("module")).alias("modules"))  # as many as there are modules at most
     first = lambda df, key, n, name: df.withColumn("__n", F.row_number().over(W.partitionBy("id").orderBy(*key))).filter(F.col("__n") <= n).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("__n", key[0]))).alias("__l")).select("id", F.transform("__l", lambda x: x[key[0]]).alias(name))

@@ -178,7 +178,7 @@ def nodes_in_rectangle(spark, sf_dir):
 
 
 def _narrated(spark, sf_dir) -> DataFrame:
-    n, e = _graph(spark, sf_dir)
+    n, e = map(cut, _graph(spark, sf_dir))
     seen = measure.quality_evidence(n, e, FOLDER, ENTRY_PATHS, SUFFIXES)
     return views.narratives(n, e, seen.select("id", F.col("internal").alias("internal_relations"), F.col("external").alias("external_relations"), "outgoing", "incoming", F.lit(False).alias("inside_folder")))
 

@@ -1,4 +1,4 @@
-from graphloom.operators import submaps, views
+from graphloom.operators import measure, submaps, views
 from graphloom.operators.submaps import Stored
 from graphloom.plans import cgraph, queries
 from graphloom.sources.work import cut
@@ -95,3 +95,17 @@ def test_a_submap_reads_written_tables(spark, sf_dir):
     for part in ("nodes", "edges", "boundaries", "access"):
         assert "l_quantity" not in plan(getattr(without, part)) and "o_custkey" not in plan(getattr(without, part))
         assert sorted(map(str, getattr(without, part).collect())) == sorted(map(str, getattr(found, part).collect()))
+
+
+def test_edges_are_joined_once_for_words_and_evidence(spark):
+    nodes = spark.createDataFrame([(x, "hook", "m" + x[0], f"l{x}", None) for x in ("a", "a2", "b", "c")], "id string, type string, module string, label string, path string")
+    edges = cut(spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("a", "a2"), ("a", "a"), ("a", "b"), ("a", "nowhere")], "src string, dst string"))
+    seen = measure.quality_evidence(nodes, edges, "x", [], [])
+    assert sorted((r.id, r.internal, r.external, r.outgoing, r.incoming, r.external_modules) for r in seen.collect()) == [("a", 3, 4, 5, 2, 2), ("a2", 1, 0, 0, 1, 0), ("b", 0, 3, 1, 2, 1), ("c", 0, 1, 0, 1, 0)]
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    evidence = nodes.selectExpr("id", "1 as internal_relations", "2 as external_relations", "3 as outgoing", "4 as incoming", "false as inside_folder")
+    told = views.narratives(nodes, edges, evidence)
+    assert not set(edges.inputFiles()) & set(told.inputFiles())
+    assert {r.id: (r.related, r.coupling.split("dependencies; ")[1]) for r in told.collect()} == {
+        "a": (["a2", "b", "c"], "2 external modules: mb, mc; external deps: lb, lc"), "a2": (["a"], "0 external modules: none"), "b": (["a"], "1 external modules: ma; external deps: la"), "c": (["a"], "1 external modules: ma"),
+    }

@@ -131,14 +131,14 @@ def tiered_lookup(wanted: DataFrame, declared: DataFrame, is_test) -> DataFrame:
 def positioned(rows: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Adds each row's place, from 0, in a total order.
 
-    Rows are dealt into ranges of that order; numbers run within a range and are
-    offset by the sizes of the ranges before it, so no task holds more than a range.
+    Rows are dealt into ranges of that order, sorted and numbered as they are written, and
+    offset by the sizes of the ranges before theirs, so no task holds more than a range.
     """
-    ranged = cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
-    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    ranged = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))  # the range above 33 bits of place
+    of_range = F.shiftright("__at", 33).alias("__range")
+    sizes = ranged.groupBy(of_range).agg(F.count("*").alias("n"))
     first = sizes.select("__range", F.coalesce(F.sum("n").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__first"))
-    place = F.row_number().over(W.partitionBy("__range").orderBy(*order)) - 1
-    full = ranged.withColumn("__place", place).join(F.broadcast(first), "__range")
+    full = ranged.select(*rows.columns, of_range, F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__place")).join(F.broadcast(first), "__range")
     return full.select(*rows.columns, (F.col("__first") + F.col("__place")).alias(name))
 
 

@@ -140,16 +140,23 @@ def domain_order(nodes: DataFrame, relations: DataFrame, write, drop=lambda t: N
     within one, nodes with more neighbours, with more outgoing and fewer incoming
     relations, then by label and id.  Nodes without relations are components of their own.
     """
-    inner = relations.select("src", "dst").join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    both = inner.filter("src <> dst").union(inner.filter("src <> dst").select("dst", "src")).toDF("id", "other").distinct()
-    degree = both.groupBy("id").agg(F.count("*").alias("degree"))
-    sides = inner.select(F.col("src").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(inner.select("dst", F.lit(0), F.lit(1))).groupBy("id").agg(F.sum("o").alias("outgoing"), F.sum("i").alias("incoming"))
+    named = write(nodes.select("id", "label"))
+    end = lambda c: named.select(F.col("id").alias(c))
+    inner = write(relations.select("src", "dst").join(end("src"), "src", "left_semi").join(end("dst"), "dst", "left_semi").select("src", "dst"))
+    side = lambda a, b, out: F.struct(F.col(a).alias("id"), F.col(b).alias("other"), F.lit(out).alias("o"), F.lit(1 - out).alias("i"))
+    both = inner.select(F.inline(F.array(side("src", "dst", 1), side("dst", "src", 0))))
     comp = connected_components(inner.select(F.col("src").alias("u"), F.col("dst").alias("v")), write, drop)
-    known = nodes.select("id", "label").join(degree, "id", "left").join(sides, "id", "left").join(comp.select(F.col("node").alias("id"), "component"), "id", "left")
-    known = known.select("id", "label", F.coalesce("component", "id").alias("component"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "outgoing", "incoming")))
+    # What is known of a node is added up by id and joined once.
+    none = F.lit(None).cast("string")
+    near = both.filter("id <> other").select("id", "other").distinct()
+    told = near.select("id", F.lit(1).alias("degree"), F.lit(0).alias("outgoing"), F.lit(0).alias("incoming"), none.alias("component"))
+    told = told.union(both.select("id", F.lit(0), "o", "i", none)).union(comp.select("node", F.lit(0), F.lit(0), F.lit(0), F.col("component").cast("string")))
+    told = told.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("degree", "outgoing", "incoming")), F.max("component").alias("component"))
+    known = named.join(told, "id", "left").select("id", "label", F.coalesce("component", "id").alias("component"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("degree", "outgoing", "incoming")))
     whole = known.groupBy("component").agg(F.sum("degree").alias("whole"), F.min("label").alias("first_label"))
     order = [F.col("whole").desc(), F.col("first_label"), F.col("component"), F.col("degree").desc(), F.col("outgoing").desc(), F.col("incoming"), F.col("label"), F.col("id")]
-    return positioned(known.join(whole, "component"), order).select("id", "component", "position")
+    # Written first, since ranges are drawn by reading the rows once more.
+    return positioned(write(known.join(whole, "component")), order).select("id", "component", "position")
 
 
 def skipped_warning(skipped: DataFrame, limit_mib: int = MOST_BYTES >> 20) -> str | None:

@@ -1,4 +1,4 @@
-from graphloom.operators import measure, submaps, views
+from graphloom.operators import measure, rules, submaps, views
 from graphloom.operators.submaps import Stored
 from graphloom.plans import cgraph, queries
 from graphloom.sources.work import cut
@@ -97,6 +97,17 @@ def test_a_submap_reads_written_tables(spark, sf_dir):
         assert sorted(map(str, getattr(without, part).collect())) == sorted(map(str, getattr(found, part).collect()))
 
 
+def test_a_domain_reads_its_nodes_once(spark, monkeypatch):
+    nodes = cut(spark.createDataFrame([(f"n{i:03}", f"L{i % 7}") for i in range(200)], "id string, label string"))
+    links = spark.createDataFrame([(f"n{i:03}", f"n{i * 3 % 100:03}") for i in range(0, 90)], "src string, dst string")
+    kept = []
+    write = lambda t: kept.append(t) or cut(t)
+    monkeypatch.setattr(rules, "cut", write)
+    got = views.domain_order(nodes, links, write)
+    assert sorted(r.position for r in got.collect()) == list(range(200))
+    assert sum(bool(set(nodes.inputFiles()) & set(t.inputFiles())) for t in kept) == 1
+
+
 def test_edges_are_joined_once_for_words_and_evidence(spark):
     nodes = spark.createDataFrame([(x, "hook", "m" + x[0], f"l{x}", None) for x in ("a", "a2", "b", "c")], "id string, type string, module string, label string, path string")
     edges = cut(spark.createDataFrame([("a", "b"), ("b", "a"), ("a", "c"), ("a", "a2"), ("a", "a"), ("a", "b"), ("a", "nowhere")], "src string, dst string"))

@@ -6,13 +6,14 @@ Many nodes are traced at once.  Every table carries the node it belongs to as
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.work import cut
 from . import trace
+from .nearest import nearest, part_of
 from .trace import REACH
 
 #: Types that may go on from an ancestor, and types of ancestors that may carry them on.
@@ -44,13 +45,6 @@ def spread(starts: DataFrame, adjacent: DataFrame, bound: int = REACH) -> DataFr
     return cut(known)
 
 
-def _target(best: DataFrame, kinds: DataFrame, key: list[str], wanted: tuple[str, ...]) -> DataFrame:
-    """(key, id): of each key the cheapest node of the first of the wanted types that it reaches, then the smaller id."""
-    near = best.join(kinds.filter(F.col("type").isin(*wanted)), "id")
-    firsts = [F.min(F.when(F.col("type") == t, F.struct("cost", "id"))) for t in wanted]
-    return near.groupBy(*key).agg(F.coalesce(*firsts).alias("t")).select(*key, F.col("t.id").alias("id"))
-
-
 def node_paths(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entry_paths: tuple[str, ...] = ()) -> DataFrame:
     """The ways of node_traces() alone: its ``paths`` without the counts of members, which cost a search from and to all stores."""
     return _sides(nodes, edges, selected, entry_paths)[0]
@@ -77,35 +71,48 @@ def node_traces(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entry_p
 def _sides(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entry_paths: tuple[str, ...]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Both ways of each source; and allowed edges, types of nodes, origins, all from written tables."""
     optional = lambda c: F.col(c) if c in nodes.columns else F.lit(None).cast("string")
-    known = cut(nodes.select("id", "type", "module", "label", "path", optional("action").alias("action"), optional("method").alias("method")))
-    allowed = cut(trace.trace_edges(edges, nodes).withColumn("base", trace.edge_weight()).select("id", "src", "dst", "base"))
-    chosen = cut(known.join(selected.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("source"), "type", "module", "label"))
+    known = cut(nodes.select("id", "type", "module", "label", "path", optional("action").alias("action"), optional("method").alias("method"), part_of(F.col("type")).alias("part")), "part")
+    ends = [part_of(F.col("src_type")).alias("near"), part_of(F.col("dst_type")).alias("far")]
+    allowed = cut(trace.trace_edges(edges, known).withColumn("base", trace.edge_weight()).select("id", "src", "dst", "base", *ends), "near", "far")
+    chosen = cut(known.join(selected.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("source"), "type", "module", "label", "part"))
     origin = (F.col("type") == "route") & (F.coalesce(F.col("path").isin(*entry_paths), F.lit(False)) if entry_paths else F.lit(True))
-    starts = chosen.select("source", F.col("source").alias("id"))
+    starts = chosen.select("source", F.col("source").alias("id"), "part")
+    none, free = F.array().cast("array<string>"), F.lit(0.0)
+
+    def behind(new: DataFrame, parts: list[int]) -> DataFrame:
+        of = known.filter(F.col("part").isin(parts)).select("id", F.when(origin, 0).alias("goal"))
+        return new.join(of, "id").select("group", "id", "part", free.alias("gain"), free.alias("penalty"), "goal")
 
-    back = cut(allowed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("id").alias("edge"), "base"))
-    behind = cut(trace.cheapest_by(back, starts, ["source"], F.greatest(F.lit(0.25), F.col("base"))))
-    first = behind.join(known.filter(origin).select("id"), "id", "left_semi").groupBy("source").agg(F.min(F.struct("cost", "id")).alias("t")).select("source", "t.id")
-    left = cut(trace.ways(behind, first, ["source"]))
+    left = nearest(starts.withColumn("group", F.lit("")), ["source"], allowed, behind, back=True).ways()
 
-    above = left.select("source", F.posexplode("nodes").alias("at", "id")).filter("at > 0").join(known.filter(~origin & F.col("type").isin(*CONTAINERS)).select("id", F.col("module").alias("their"), F.col("label").alias("name")), "id")
-    containers = cut(above.join(chosen.select("source", "module", "type"), "source").filter("their <=> module").select("source", "at", "id", "type", "name"))
+    holds = known.filter(F.col("part").isin(*(part_of(F.lit(t)) for t in CONTAINERS))).filter(~origin & F.col("type").isin(*CONTAINERS)).select("id", F.col("module").alias("their"), F.col("label").alias("name"), "part")
+    above = left.select("source", F.posexplode("nodes").alias("at", "id")).filter("at > 0").join(holds, "id")
+    containers = cut(above.join(chosen.select("source", "module", "type"), "source").filter("their <=> module").select("source", "at", "id", "type", "name", "part"))
     named = containers.groupBy("source").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", trace.token_column(F.col("name")).alias("t")))), lambda x: x["t"])).alias("more"))
-    none = F.array().cast("array<string>")
-    wants = cut(chosen.join(named, "source", "left").select("source", F.array_distinct(F.concat(trace.token_column(F.col("label")), F.coalesce("more", none))).alias("tokens")).withColumn("singles", trace.singulars(F.col("tokens"))))
+    tokens = F.array_sort(F.array_distinct(F.concat(trace.token_column(F.col("label")), F.coalesce("more", none))))
+    asked = chosen.join(named, "source", "left").select("source", tokens.alias("tokens"))
+    groups = cut(asked.groupBy("tokens").agg(F.min("source").alias("group")).withColumn("singles", trace.singulars(F.col("tokens"))))
+    grouped = cut(asked.join(groups, "tokens").select("source", "group"))
+    words, hay = trace.boost_parts(F.col("kind"), F.col("label"), F.col("path"), F.col("action"))
+
+    def ahead(new: DataFrame, parts: list[int]) -> DataFrame:
+        of = known.filter(F.col("part").isin(parts)).select("id", F.col("type").alias("kind"), "label", "path", "action", "method")
+        # whatever gains holds a token; only then its words are taken apart
+        gain = F.when(F.exists("singles", lambda t: F.contains(hay, t)), trace.boost_of(F.col("kind"), words, hay, F.col("tokens"), F.col("singles"))).otherwise(0.0)
+        penalty = trace.intent_penalty(F.col("kind"), F.col("action"), F.col("method"), F.col("tokens"))
+        goal = F.when(F.col("kind") == "table", 0).when(F.col("kind") == "entity", 1)
+        return new.join(of, "id").join(groups, "group").select("group", "id", "part", gain.alias("gain"), penalty.alias("penalty"), goal.alias("goal"))
 
-    words, hay = trace.boost_parts(F.col("type"), F.col("label"), F.col("path"), F.col("action"))
-    toward = known.select(F.col("id").alias("dst"), F.col("type").alias("kind"), words.alias("words"), hay.alias("hay"), "action", "method")
-    on = cut(allowed.select("src", "dst", F.col("id").alias("edge"), "base").join(toward, "dst"))
-    price = _price(F.col("tokens"), F.col("singles"))
     kinds = known.select("id", "type")
-    ahead = cut(trace.cheapest_by(on, starts, ["source"], price, wants))
-    right = cut(trace.ways(ahead, _target(ahead, kinds, ["source"], ("table", "entity")), ["source"]))
+    right = nearest(starts.join(grouped, "source"), ["source"], allowed, ahead, kinds=2).ways()
 
-    lost = containers.filter(F.col("type").isin(*CONTINUED)).join(right.select("source"), "source", "left_anti").select("source", "at", "id")
-    wide = cut(trace.cheapest_by(on, lost, ["source", "at"], price, wants))
-    nearest = _target(wide, kinds, ["source", "at"], ("table", "entity")).groupBy("source").agg(F.min(F.struct("at", "id")).alias("n")).select("source", "n.at", "n.id")
-    carried = cut(trace.ways(wide, nearest, ["source", "at"]).select("source", F.get("nodes", F.lit(0)).alias("continued_from"), F.col("nodes").alias("c_nodes"), F.col("edges").alias("c_edges")))
+    lost = cut(containers.filter(F.col("type").isin(*CONTINUED)).join(right.select("source"), "source", "left_anti").join(grouped, "source").select("source", "at", "group", "id", "part"))
+    carried = lost.select("source", F.col("id").alias("continued_from"), none.alias("c_nodes"), none.alias("c_edges"))
+    if lost.first() is not None:
+        wide = nearest(lost, ["source", "at"], allowed, ahead, kinds=2)
+        first = wide.found.groupBy("source").agg(F.min("at").alias("at"))
+        ways = replace(wide, found=cut(wide.found.join(first, ["source", "at"]))).ways()
+        carried = ways.select("source", F.get("nodes", F.lit(0)).alias("continued_from"), F.col("nodes").alias("c_nodes"), F.col("edges").alias("c_edges"))
 
     alone = F.array("source")
     joined = chosen.select("source").join(left.select("source", F.col("nodes").alias("l"), F.col("edges").alias("l_edges")), "source", "left").join(right.select("source", F.col("nodes").alias("r"), F.col("edges").alias("r_edges")), "source", "left").join(carried, "source", "left")
@@ -118,11 +125,6 @@ def _sides(nodes: DataFrame, edges: DataFrame, selected: DataFrame, entry_paths:
     return sides, allowed, kinds, known.filter(origin).select("id")
 
 
-def _price(tokens: Column, singles: Column) -> Column:
-    gain = trace.boost_of(F.col("kind"), F.col("words"), F.col("hay"), tokens, singles)
-    return F.greatest(F.lit(0.25), F.col("base") - gain) + trace.intent_penalty(F.col("kind"), F.col("action"), F.col("method"), tokens)
-
-
 def _members(sides: DataFrame, allowed: DataFrame, kinds: DataFrame, origins: DataFrame) -> DataFrame:
     """(source, id): all on a way from the root on to a table (an entity, if no table is reached) or from an origin to the
     root, the root being the source or the ancestor it goes on from; and the source and its way back."""

@@ -22,10 +22,11 @@ def work_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows read back from a written table, so that loops keep short plans and lost executors cost little."""
+def cut(df: DataFrame, *by: str) -> DataFrame:
+    """The same rows read back from a written table, in folders by some columns if any are named, so that loops keep short plans and lost executors cost little."""
     path = f"{work_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df = df.select(*(c for c in df.columns if c not in by), *by) if by else df  # as they are read, also if there are no rows and so no folders
+    df.write.partitionBy(*by).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loom_path = path  # type: ignore[attr-defined]
     return out

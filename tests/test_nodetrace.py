@@ -3,10 +3,12 @@
 import heapq
 import random
 
+import pyarrow.parquet as pq
 import pytest
 
-from graphloom.operators import nodetrace, trace
+from graphloom.operators import nearest, nodetrace, trace
 from graphloom.operators.nodetrace import CONTAINERS, CONTINUED, node_traces
+from graphloom.sources import work
 
 NODE = "id string, label string, type string, layer string, module string, path string, action string, method string"
 EDGE = "id string, src string, dst string, type string, confidence string"
@@ -190,3 +192,35 @@ def test_ways_longer_than_those_followed_edge_by_edge(spark):
         best = spark.createDataFrame([(1, f"v{i:03}", float(i), f"v{i - 1:03}" if i else None, f"e{i}" if i else None) for i in range(n + 1)], "k int, id string, cost double, previous string, edge string")
         got = trace.ways(best, spark.createDataFrame([(1, f"v{n:03}")], "k int, id string"), ["k"]).collect()
         assert [(r.nodes, r.edges) for r in got] == [([f"v{i:03}" for i in range(n + 1)], [f"e{i}" for i in range(1, n + 1)])]
+
+
+def test_pages_of_the_same_words_share_one_search(spark, monkeypatch, tmp_path):
+    """No table that is written has more rows than there are edges, though every page reaches all tables."""
+    n = [("r", "route", "m", "Home", "front/r"), ("e", "endpoint", "m", "GET /", None), ("h", "handler", "m", "H", "back/h")]
+    n += [(f"p{i:02}", "page", "m", f"Ships {i}", f"front/p{i}") for i in range(12)]
+    n += [(f"{k}{i:02}", kind, "m", "x", None) for k, kind in (("d", "repository"), ("t", "table")) for i in range(40)]
+    e = [("r", f"p{i:02}", "imports", "high") for i in range(12)] + [(f"p{i:02}", "e", "calls-api", "high") for i in range(12)] + [("e", "h", "handled-by", "high")]
+    e += [("h", f"d{i:02}", "depends-on", "high" if i == 7 else "low") for i in range(40)] + [(f"d{i:02}", f"t{i:02}", "queries-table", "high") for i in range(40)]
+    nodes = spark.createDataFrame(n, "id string, type string, module string, label string, path string")
+    edges = spark.createDataFrame([(f"{a}::{t}::{b}", a, b, t, c) for a, b, t, c in e], EDGE)
+    monkeypatch.setattr(work, "work_dir", lambda s: f"file://{tmp_path}")
+    for user in (trace, nearest):
+        monkeypatch.setattr(user, "drop", lambda *tables: None)
+    got = nodetrace.node_paths(nodes, edges, nodes.filter("type = 'page'").select("id")).collect()
+    assert {r.source: r.primary_nodes for r in got} == {f"p{i:02}": ["r", f"p{i:02}", "e", "h", "d07", "t07"] for i in range(12)}
+    assert all(r.right_edges == [f"{r.source}::calls-api::e", "e::handled-by::h", "h::depends-on::d07", "d07::queries-table::t07"] for r in got)
+    rows = [sum(pq.read_metadata(f).num_rows for f in t.rglob("*.parquet")) for t in tmp_path.iterdir()]
+    assert max(rows) == len(e)
+
+
+def test_tables_of_a_long_way_are_merged(spark, monkeypatch):
+    """A chain with an edge that leads back and two that cost the same, of which the smaller id counts."""
+    monkeypatch.setattr(nearest, "MOST", 2)
+    kinds = ["route", "page", *["component", "service"] * 3, "table"]
+    nodes = spark.createDataFrame([(f"n{i}", k, "m", "x", None) for i, k in enumerate(kinds)], "id string, type string, module string, label string, path string")
+    e = [(f"{i}", f"n{i}", f"n{i + 1}", "imports", "high") for i in range(len(kinds) - 1)] + [("3x", "n3", "n4", "sends", "high"), ("back", "n6", "n2", "imports", "high"), ("last", "n2", "n8", "imports", "low"), ("dear", "n3", "n8", "queries-table", "low")]
+    (r,) = nodetrace.node_paths(nodes, spark.createDataFrame(e, EDGE), nodes.filter("id = 'n1'").select("id")).collect()
+    assert (r.left_nodes, r.left_edges, r.right_nodes, r.right_edges) == (["n1", "n0"], ["0"], ["n1", "n2", "n8"], ["1", "last"])
+    far = [x for x in e if x[0] != "last"]
+    (r,) = nodetrace.node_paths(nodes, spark.createDataFrame(far, EDGE), nodes.filter("id = 'n1'").select("id")).collect()
+    assert (r.right_nodes, r.right_edges) == ([f"n{i}" for i in range(1, 9)], [str(i) for i in range(1, 8)])
